@@ -1,0 +1,41 @@
+"""Row-level left join that spreads hot keys over many tasks."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, functions as F
+
+# A key is hot when it holds more than 1/HOT_SHARE of all rows. So there are never more than
+# HOT_SHARE hot keys, nor more than twice that many slices, whatever the size of the data.
+HOT_SHARE = 2000
+
+
+def hot_keys(rows: DataFrame, key: str, share: int = HOT_SHARE) -> DataFrame:
+    """Hot keys with the number of slices each needs; at most ``share`` rows."""
+    counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
+    all_rows = counts.agg(F.sum("_n")).scalar()
+    weight = F.col("_n") * share / all_rows
+    return counts.where(weight > 1).select(key, F.ceil(weight).cast("bigint").alias("_slices"))
+
+
+def salted_left_join(
+    rows: DataFrame, lookup: DataFrame, key: str, spread_by: Sequence[str], share: int = HOT_SHARE
+) -> DataFrame:
+    """``rows`` left-joined to ``lookup`` on ``key``.
+
+    Needed where ``lookup`` is itself grouped by the key: adaptive execution cannot split a
+    skewed partition of such a join. Rows of a hot key are dealt to slices by a hash of
+    ``spread_by``, and only that key's lookup rows are repeated, once per slice. Rows without
+    a key match nothing and are dealt out likewise. The salt is a function of the row, so a
+    recomputed task deals it to the same slice.
+    """
+    hot = F.broadcast(hot_keys(rows, key, share))
+    deal = F.xxhash64(*spread_by)
+    salted = rows.join(hot, key, "left").withColumn(
+        "_slice", F.pmod(deal, F.when(F.col(key).isNull(), share).otherwise(F.coalesce("_slices", F.lit(1))))
+    ).drop("_slices")
+    repeated = lookup.join(hot, key, "left").withColumn(
+        "_slice", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("_slices", F.lit(1)) - 1))
+    ).drop("_slices")
+    return salted.join(repeated, [key, "_slice"], "left").drop("_slice")
