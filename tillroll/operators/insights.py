@@ -15,14 +15,15 @@ from tillroll.functions.text import plain_number
 
 # --- KPIs ----------------------------------------------------------------------------------
 
-def kpis(sales: DataFrame) -> DataFrame:
-    """Top-line figures in one row; ratios without a base are 0."""
+def kpis_with_lines(sales: DataFrame) -> DataFrame:
+    """The headline figures and, as ``lines``, how many sales lines they come from."""
     sums = sales.agg(
         total(F.col("sales_amount")).cast("double").alias("revenue"),
         total(F.col("profit")).cast("double").alias("profit"),
         F.count_distinct("order_number").alias("orders"),
         F.count_distinct("customer_key").alias("customers"),
         total(F.col("quantity")).alias("units"),
+        F.count("*").alias("lines"),
     )
 
     def per_order(c: str) -> Column:
@@ -37,9 +38,15 @@ def kpis(sales: DataFrame) -> DataFrame:
         "units",
         per_order("revenue").alias("aov"),
         per_order("units").alias("items_per_order"),
+        "lines",
     )
 
 
+def kpis(sales: DataFrame) -> DataFrame:
+    """Top-line figures in one row; ratios without a base are 0."""
+    return kpis_with_lines(sales).drop("lines")
+
+
 def revenue_per_customer(sales: DataFrame) -> DataFrame:
     """Revenue per distinct customer; NULL when there is none."""
     revenue, customers = total(F.col("sales_amount")), F.count_distinct("customer_key")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tillroll.functions.numbers import percent
 from tillroll.functions.text import grouped_number, plain_number
 from tillroll.operators import frames
-from tillroll.operators.insights import kpis
+from tillroll.operators.insights import kpis, kpis_with_lines
 
 TOP_N = 5
 GROUPINGS = ("category", "customer_segment", "order_year", "country", "product_name")
@@ -65,10 +65,6 @@ def top_figures(sales: DataFrame, column: str, n: int = TOP_N) -> DataFrame:
     return _ranked(frames.top_by_revenue(sales, column, n), F.col("sales_amount").desc(), column)
 
 
-def _has_lines(sales: DataFrame) -> Column:
-    return sales.limit(1).agg(F.count("*")).scalar() > 0
-
-
 def _long(rows: DataFrame, section: str, key: Column, **metrics: str) -> DataFrame:
     """One output row per group and metric."""
     figures = F.array(*[
@@ -78,16 +74,26 @@ def _long(rows: DataFrame, section: str, key: Column, **metrics: str) -> DataFra
         F.lit(section).alias("section"), F.col("rank"), key.cast("string").alias("key"), F.inline(figures))
 
 
+def _headline_rows(sales: DataFrame) -> DataFrame:
+    """The KPI rows, or the one row that says there is nothing to report."""
+    headline = kpis_with_lines(sales)
+    metrics = [c for c in headline.columns if c not in ("items_per_order", "lines")]
+
+    def entry(section: str, key: str | None, metric: str | None, value: Column) -> Column:
+        return F.struct(
+            F.lit(section).alias("section"), F.lit(1).alias("rank"),
+            F.lit(key).cast("string").alias("key"), F.lit(metric).cast("string").alias("metric"),
+            value.cast("double").alias("value"))
+
+    figures = F.array(*[entry("kpi", None, m, F.col(m)) for m in metrics])
+    nothing = F.array(entry("no_data", NO_DATA, None, F.lit(None)))
+    return headline.select(F.inline(F.when(F.col("lines") > 0, figures).otherwise(nothing)))
+
+
 def snapshot(sales: DataFrame) -> DataFrame:
     """Rows of (section, rank, key, metric, value); one ``no_data`` row for an empty frame."""
-    has_lines = _has_lines(sales)
-    headline = kpi_figures(sales).withColumn("rank", F.lit(1))
-    nothing = headline.where(~has_lines).select(
-        F.lit("no_data").alias("section"), "rank", F.lit(NO_DATA).alias("key"),
-        F.lit(None).cast("string").alias("metric"), F.lit(None).cast("double").alias("value"))
     return _union([
-        nothing,
-        _long(headline.where(has_lines), "kpi", F.lit(None), **{c: c for c in headline.columns if c != "rank"}),
+        _headline_rows(sales),
         _long(category_figures(sales), "category", F.col("category"), revenue="revenue", margin="margin"),
         _long(segment_figures(sales), "segment", F.col("customer_segment"),
               revenue="revenue", customers="customers"),
@@ -99,47 +105,58 @@ def snapshot(sales: DataFrame) -> DataFrame:
 
 # --- rendered text -------------------------------------------------------------------------
 
-def _lines(rows: DataFrame, section: int, rank: Column, line: Column) -> DataFrame:
-    return rows.select(F.lit(section).alias("section"), rank.cast("int").alias("rank"), line.alias("line"))
-
+def _texts(rows: DataFrame, section: int, text: Column) -> DataFrame:
+    return rows.select(F.lit(section).alias("section"), F.col("rank"), text.alias("line"))
 
-def _joined_line(rows: DataFrame, section: int, label: str, key: str) -> DataFrame:
-    """``- label: key: figure, key: figure`` in rank order, from a handful of ranked rows."""
-    piece = F.concat(F.col(key).cast("string"), F.lit(": "), grouped_number(F.col("sales_amount")))
-    pieces = F.array_sort(F.collect_list(F.struct(F.col("rank"), piece.alias("text"))))
-    line = F.concat(F.lit(f"- {label}: "), F.array_join(F.col("pieces.text"), ", "))
-    return _lines(rows.agg(pieces.alias("pieces")), section, F.lit(0), line)
 
-
-def _headline_lines(sales: DataFrame) -> DataFrame:
+def _headings(sales: DataFrame) -> DataFrame:
+    """The lines every snapshot has, as rank 0 of their section; or only the no-data line."""
     money = F.format_string(
         MONEY_LINE, grouped_number(F.col("revenue")), grouped_number(F.col("profit")),
         plain_number(F.col("margin"), 1))
     counts = F.format_string(
         COUNT_LINE, *[grouped_number(F.col(c)) for c in ("orders", "customers", "units", "aov")])
-    texts = F.posexplode(F.array(F.lit(HEADING), money, counts)).alias("rank", "line")
-    return kpi_figures(sales).select(texts).select(F.lit(0).alias("section"), "rank", "line")
+
+    def entry(section: int, rank: int, line: Column) -> Column:
+        return F.struct(F.lit(section).alias("section"), F.lit(rank).alias("rank"), line.alias("line"))
+
+    texts = F.array(
+        entry(0, 0, F.lit(HEADING)), entry(0, 1, money), entry(0, 2, counts),
+        entry(1, 0, F.lit(CATEGORY_HEADING)), entry(2, 0, F.lit(SEGMENT_HEADING)),
+        entry(3, 0, F.lit(YEAR_LABEL)), entry(4, 0, F.lit(COUNTRY_LABEL)), entry(5, 0, F.lit(PRODUCT_LABEL)))
+    nothing = F.array(entry(0, 0, F.lit(NO_DATA)))
+    return kpis_with_lines(sales).select(F.inline(F.when(F.col("lines") > 0, texts).otherwise(nothing)))
 
 
 def snapshot_lines(sales: DataFrame) -> DataFrame:
     """The snapshot as text, one row per line, ordered by (section, rank)."""
-    has_lines = _has_lines(sales)
-    head = _headline_lines(sales)
     category = F.format_string(
         CATEGORY_LINE, F.col("category"), grouped_number(F.col("revenue")), plain_number(F.col("margin"), 0))
     segment = F.format_string(
         SEGMENT_LINE, F.col("customer_segment"), grouped_number(F.col("revenue")),
         grouped_number(F.col("customers")))
-    heading = head.where(F.col("rank") == 0)
-    text = _union([
-        head,
-        _lines(heading, 1, F.lit(0), F.lit(CATEGORY_HEADING)),
-        _lines(category_figures(sales), 1, F.col("rank"), category),
-        _lines(heading, 2, F.lit(0), F.lit(SEGMENT_HEADING)),
-        _lines(segment_figures(sales), 2, F.col("rank"), segment),
-        _joined_line(year_figures(sales), 3, YEAR_LABEL, "order_year"),
-        _joined_line(top_figures(sales, "country"), 4, COUNTRY_LABEL, "country"),
-        _joined_line(top_figures(sales, "product_name"), 5, PRODUCT_LABEL, "product_name"),
-    ]).where(has_lines)
-    nothing = _lines(heading, 0, F.lit(0), F.lit(NO_DATA)).where(~has_lines)
-    return text.unionByName(nothing).orderBy("section", "rank")
+
+    def figure(key: str) -> Column:
+        return F.concat(F.col(key).cast("string"), F.lit(": "), grouped_number(F.col("sales_amount")))
+
+    headings = _headings(sales)
+    # sections 3 to 5 are one line each: the label and a handful of figures in rank order
+    pieces = _union([
+        headings.where(F.col("section") >= 3),
+        _texts(year_figures(sales), 3, figure("order_year")),
+        _texts(top_figures(sales, "country"), 4, figure("country")),
+        _texts(top_figures(sales, "product_name"), 5, figure("product_name")),
+    ])
+    ordered = F.array_sort(F.collect_list(F.struct("rank", "line")))
+    parts = pieces.groupBy("section").agg(ordered.alias("parts")).select(
+        "section", F.col("parts.line").alias("parts"))
+    joined = parts.select(
+        "section", F.lit(0).alias("rank"),
+        F.concat(F.lit("- "), F.col("parts")[0], F.lit(": "),
+                 F.array_join(F.slice("parts", F.lit(2), F.size("parts")), ", ")).alias("line"))
+    return _union([
+        headings.where(F.col("section") < 3),
+        _texts(category_figures(sales), 1, category),
+        _texts(segment_figures(sales), 2, segment),
+        joined,
+    ]).orderBy("section", "rank")
