@@ -13,6 +13,10 @@ def _every(key: Column, n: int) -> Column:
     return key % n == 0
 
 
+def _compact(date: Column) -> Column:
+    return F.replace(date.cast("string"), F.lit("-"), F.lit(""))
+
+
 def _copies(*extra: Column) -> Column:
     """One array entry for the row itself and one for each further copy it gets."""
     return F.explode(F.filter(F.array(F.lit(0), *extra), lambda v: v.isNotNull()))
@@ -31,9 +35,9 @@ def crm_sales_details(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(_every(key, 113), F.concat(F.col("o_custkey").cast("string"), F.lit(".0")))
         .otherwise(F.col("o_custkey").cast("string")).alias("sls_cust_id"),
         F.when(_every(key, 101), "0").when(_every(key, 103), "2013").when(_every(key, 107), "20130230")
-        .otherwise(F.concat(F.lit(" "), F.date_format(ordered, "yyyyMMdd"))).alias("sls_order_dt"),
-        F.date_format(F.col("l_shipdate").cast("date"), "yyyyMMdd").alias("sls_ship_dt"),
-        F.date_format(F.date_add(ordered, 12), "yyyyMMdd").alias("sls_due_dt"),
+        .otherwise(F.concat(F.lit(" "), _compact(ordered))).alias("sls_order_dt"),
+        _compact(F.col("l_shipdate").cast("date")).alias("sls_ship_dt"),
+        _compact(F.date_add(ordered, 12)).alias("sls_due_dt"),
         F.when(_every(key, 11), "").when(_every(key, 13), "999999")
         .otherwise((qty * price).cast("string")).alias("sls_sales"),
         F.when(_every(key, 127), "0").otherwise(qty.cast("string")).alias("sls_quantity"),

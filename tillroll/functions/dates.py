@@ -6,12 +6,15 @@ import datetime as dt
 
 from pyspark.sql import Column, functions as F
 
-from tillroll.functions.text import strip
+from tillroll.functions.text import SPACES
 
-# The first and last whole day a 64-bit nanosecond timestamp can hold.
-# Text dates outside this span read as unknown.
-FIRST_DAY = dt.date(1677, 9, 22)
-LAST_DAY = dt.date(2262, 4, 11)
+# Fixed value: nanoseconds per day. A text date whose nanoseconds do not fit 64 bits (before
+# 1677-09-22 or after 2262-04-11) reads as unknown.
+DAY_NANOS = 86_400_000_000_000
+
+_ISO_DATE = r"^([0-9]{4}-[0-9]{2}-[0-9]{2})$"
+# any other text is replaced whole, by dashes alone, which is no date
+_COMPACT_DATE = f"(?s)^(?:{SPACES}([0-9]{{4}})([0-9]{{2}})([0-9]{{2}}){SPACES}|.*)$"
 
 
 def as_of_date(as_of: dt.date | Column | None) -> Column:
@@ -21,19 +24,20 @@ def as_of_date(as_of: dt.date | Column | None) -> Column:
     return as_of if isinstance(as_of, Column) else F.lit(as_of)
 
 
-def _in_span(d: Column) -> Column:
-    return F.when(d.between(F.lit(FIRST_DAY), F.lit(LAST_DAY)), d)
+def _in_nanos(d: Column) -> Column:
+    """The date, NULL when its nanoseconds overflow; ``d`` is evaluated once."""
+    nanos = F.try_multiply(F.unix_date(d).cast("bigint"), F.lit(DAY_NANOS))
+    return F.date_from_unix_date(F.call_function("div", nanos, F.lit(DAY_NANOS)).cast("int"))
 
 
 def parse_iso_date(c: Column) -> Column:
     """``yyyy-MM-dd`` text to date; unparsable text is NULL."""
-    return _in_span(F.try_to_date(c, "yyyy-MM-dd"))
+    return _in_nanos(F.regexp_extract(c, _ISO_DATE, 1).try_cast("date"))
 
 
 def parse_compact_date(c: Column) -> Column:
     """``yyyyMMdd`` text to date; anything but eight digits of a real day is NULL."""
-    text = strip(c)
-    return _in_span(F.when(text.rlike("^[0-9]{8}$"), F.try_to_date(text, "yyyyMMdd")))
+    return _in_nanos(F.regexp_replace(c, _COMPACT_DATE, "$1-$2-$3").try_cast("date"))
 
 
 def months_crossed(start: Column, end: Column) -> Column:

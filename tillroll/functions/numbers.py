@@ -4,31 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from tillroll.functions.text import strip
+from tillroll.functions.text import padded, strip
 
-_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
-_INTEGER = r"^[+-]?[0-9]+$"
+_NUMBER = padded(r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?")
+_INTEGER = padded("[+-]?[0-9]+")
 
 
 def parse_number(c: Column) -> Column:
     """Text to double; text that is no finite decimal number is NULL."""
-    text = strip(c)
-    return F.when(text.rlike(_NUMBER), text.try_cast("double"))
+    return F.regexp_extract(c, _NUMBER, 1).try_cast("double")
 
 
 def strict_integer(c: Column, what: str) -> Column:
     """Text to bigint; text that is no whole number fails the job."""
-    text = strip(c)
-    return F.when(text.rlike(_INTEGER), text.cast("bigint")).otherwise(
-        F.raise_error(F.concat(F.lit(f"{what} is not a whole number: "), F.coalesce(c, F.lit("NULL"))))
-    )
+    failure = F.raise_error(F.concat(F.lit(f"{what} is not a whole number: "), F.coalesce(c, F.lit("NULL"))))
+    return F.coalesce(F.regexp_extract(c, _INTEGER, 1).try_cast("bigint"), failure.cast("bigint"))
+
+
+def is_whole(c: Column) -> Column:
+    """True for a number without a fraction and for NULL."""
+    return F.coalesce(c == F.floor(c), F.lit(True))
 
 
 def whole(c: Column, what: str) -> Column:
     """Double to bigint; a fraction fails the job instead of being cut off."""
-    return F.when(c.isNull() | (c == F.floor(c)), c.cast("bigint")).otherwise(
-        F.raise_error(F.concat(F.lit(f"{what} is not a whole number: "), c.cast("string")))
-    )
+    return F.when(is_whole(c), c.cast("bigint")).otherwise(F.raise_error(F.lit(f"{what} is not a whole number")))
 
 
 def lookup_integer(c: Column, what: str) -> Column:

@@ -12,6 +12,9 @@ WHITESPACE = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 
+# the same set as a regular expression for any number of them
+SPACES = "[" + "".join(f"\\x{{{ord(s):x}}}" for s in WHITESPACE) + "]*"
+
 UNKNOWN = "n/a"
 
 
@@ -25,14 +28,20 @@ def is_blank(c: Column) -> Column:
     return F.coalesce(strip(c), F.lit("")) == ""
 
 
-def decode(c: Column, labels: dict[str, str], otherwise: Column | str = UNKNOWN) -> Column:
-    """Map codes to labels; anything not listed, NULL included, becomes ``otherwise``."""
-    pairs = list(labels.items())
-    code, label = pairs[0]
-    out = F.when(c == code, label)
-    for code, label in pairs[1:]:
-        out = out.when(c == code, label)
-    return out.otherwise(otherwise)
+def padded(pattern: str) -> str:
+    """A regular expression for a whole text made of ``pattern`` (group 1) and outer spaces."""
+    return f"^{SPACES}({pattern}){SPACES}$"
+
+
+def lookup(c: Column, labels: dict[str, str]) -> Column:
+    """The label of a code, NULL when it is not listed."""
+    entries = [F.lit(part) for pair in labels.items() for part in pair]
+    return F.try_element_at(F.create_map(*entries), c)
+
+
+def decode(c: Column, labels: dict[str, str]) -> Column:
+    """The label of a code; anything not listed, NULL included, is unknown."""
+    return F.coalesce(lookup(c, labels), F.lit(UNKNOWN))
 
 
 def decode_code(c: Column, labels: dict[str, str]) -> Column:

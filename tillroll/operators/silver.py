@@ -10,8 +10,8 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tillroll.functions.dates import as_of_date, parse_compact_date, parse_iso_date
-from tillroll.functions.numbers import parse_number, strict_integer, whole
-from tillroll.functions.text import UNKNOWN, decode, decode_code, is_blank, strip
+from tillroll.functions.numbers import is_whole, parse_number, strict_integer
+from tillroll.functions.text import UNKNOWN, decode_code, is_blank, lookup, strip
 
 # Source codes and their labels.
 MARITAL_LABELS = {"M": "Married", "S": "Single"}
@@ -139,9 +139,12 @@ def clean_crm_sales_details(bronze: DataFrame, strict_null: bool = True) -> Data
         "sls_sales", repaired_sales(F.col("sls_sales"), quantity, price, strict_null))
     with_price = with_sales.withColumn(
         "sls_price", repaired_price(price, F.col("sls_sales"), quantity))
+    # one check for both amounts keeps the generated code small enough for the JIT compiler
+    sales, both_whole = F.col("sls_sales"), is_whole(F.col("sls_sales")) & is_whole(quantity)
     return with_price.withColumns({
-        "sls_sales": whole(F.col("sls_sales"), "sls_sales"),
-        "sls_quantity": whole(quantity, "sls_quantity"),
+        "sls_sales": F.when(both_whole, sales.cast("bigint")).otherwise(
+            F.raise_error(F.lit("sls_sales or sls_quantity is not a whole number"))),
+        "sls_quantity": quantity.cast("bigint"),
         "sls_price": F.col("sls_price").cast("bigint"),
     })
 
@@ -177,7 +180,7 @@ def undashed_key(c: Column) -> Column:
 def country_label(c: Column) -> Column:
     """Known codes decoded as written, blanks unknown, other names as they are."""
     name = strip(c)
-    return decode(name, COUNTRY_LABELS, F.when(is_blank(c), UNKNOWN).otherwise(name))
+    return F.coalesce(lookup(name, {**COUNTRY_LABELS, "": UNKNOWN}), name, F.lit(UNKNOWN))
 
 
 def clean_erp_loc_a101(bronze: DataFrame) -> DataFrame:

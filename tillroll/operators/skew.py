@@ -20,9 +20,10 @@ def hot_keys(rows: DataFrame, key: str, share: int = HOT_SHARE) -> DataFrame:
 
 
 def salted_left_join(
-    rows: DataFrame, lookup: DataFrame, key: str, spread_by: Sequence[str], share: int = HOT_SHARE
+    rows: DataFrame, lookup: DataFrame, key: str, spread_by: Sequence[str], hot: DataFrame,
+    share: int = HOT_SHARE,
 ) -> DataFrame:
-    """``rows`` left-joined to ``lookup`` on ``key``.
+    """``rows`` left-joined to ``lookup`` on ``key``, given the ``hot_keys`` of the rows.
 
     Needed where ``lookup`` is itself grouped by the key: adaptive execution cannot split a
     skewed partition of such a join. Rows of a hot key are dealt to slices by a hash of
@@ -30,11 +31,10 @@ def salted_left_join(
     a key match nothing and are dealt out likewise. The salt is a function of the row, so a
     recomputed task deals it to the same slice.
     """
-    hot = F.broadcast(hot_keys(rows, key, share))
+    hot = F.broadcast(hot)
     deal = F.xxhash64(*spread_by)
-    salted = rows.join(hot, key, "left").withColumn(
-        "_slice", F.pmod(deal, F.when(F.col(key).isNull(), share).otherwise(F.coalesce("_slices", F.lit(1))))
-    ).drop("_slices")
+    slices = F.when(F.col(key).isNull(), share).otherwise(F.coalesce("_slices", F.lit(1)))
+    salted = rows.join(hot, key, "left").withColumn("_slice", F.pmod(deal, slices)).drop("_slices")
     repeated = lookup.join(hot, key, "left").withColumn(
         "_slice", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("_slices", F.lit(1)) - 1))
     ).drop("_slices")

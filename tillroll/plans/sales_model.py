@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tillroll import schemas
 from tillroll.functions.dates import as_of_date, month_start, months_crossed, years_crossed
 from tillroll.operators import labels
-from tillroll.operators.skew import HOT_SHARE, salted_left_join
+from tillroll.operators.skew import HOT_SHARE, hot_keys, salted_left_join
 
 SALES_COLUMNS = tuple(schemas.SALES.fieldNames())
 _FROM_PRODUCTS = ("product_name", "category", "subcategory", "cost")
@@ -97,7 +97,8 @@ def build_sales(
             dated, customers, segments, as_of, wanted, segment_months, segment_spend)
         sales = salted_left_join(
             sales, profile, "customer_key",
-            spread_by=("product_key", "order_date", "quantity", "sales_amount"), share=hot_share)
+            spread_by=("product_key", "order_date", "quantity", "sales_amount"),
+            hot=hot_keys(dated, "customer_key", hot_share), share=hot_share)
         sales = sales.withColumn(
             "is_returning", F.coalesce(F.col("order_year") > F.col("_first_year"), F.lit(False)))
     return sales.select(*[c for c in SALES_COLUMNS if c in wanted])
