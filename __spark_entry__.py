@@ -164,8 +164,7 @@ REPORTS: dict[str, Query] = {
 }
 
 
-def gold_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = warehouse.build_gold(cleaned(spark, sf_dir))
+def key_summary(tables: dict[str, DataFrame]) -> DataFrame:
     key = {"dim_customers": "customer_key", "dim_products": "product_key", "fact_sales": "customer_key"}
     parts = [
         table.agg(F.count("*").alias("row_count"), F.sum(key[name]).alias("key_sum"))
@@ -175,6 +174,15 @@ def gold_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+def gold_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return key_summary(warehouse.build_gold(cleaned(spark, sf_dir)))
+
+
+def written_warehouse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return key_summary(warehouse.write_warehouse(
+        raw.bronze(spark, sf_dir), sinks.shared_folder(spark), AS_OF, inputs=[sf_dir]))
+
+
 def rebuilt_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = warehouse.build_warehouse(raw.bronze(spark, sf_dir), AS_OF)
     return explore.revenue_by_category(tables["fact_sales"], tables["dim_products"])
@@ -197,6 +205,7 @@ def _source_queries() -> dict[str, Query]:
         "a06_load_report_customers": stored(extracts.load_report_customers, REPORTS["customers"]),
         "a07_load_report_products": stored(extracts.load_report_products, REPORTS["products"]),
         "a08_save_gold_tables": save_gold,
+        "a08_write_warehouse": written_warehouse,
         "a09_export_slice_csv": export_slice,
         "a10_publish_report_view": publish_report,
     }

@@ -143,6 +143,14 @@ def on_raw(body: str) -> str:
     return "WITH " + ",\n".join([bronze.SQL, SILVER, GOLD]) + "\n" + body
 
 
+KEY_SUMMARY = on_raw(" UNION ALL ".join(
+    f"SELECT '{name}' AS table_name, count(*) AS row_count, CAST(sum({key}) AS BIGINT) AS key_sum FROM {source}"
+    for name, key, source in (
+        ("dim_customers", "customer_key", "g_customers"),
+        ("dim_products", "product_key", "g_products"),
+        ("fact_sales", "customer_key", "g_sales"))))
+
+
 def warehouse() -> dict[str, str]:
     return {
         "a01_read_bronze_csv": on_raw("SELECT * FROM crm_cust_info"),
@@ -186,12 +194,8 @@ def warehouse() -> dict[str, str]:
             "SELECT row_number() OVER (ORDER BY customer_id) AS customer_key, customer_id FROM dim_customers"),
         "c05_dim_products": on_raw("SELECT * FROM g_products"),
         "c06_fact_sales": on_raw("SELECT * FROM g_sales"),
-        "c07_gold_tables": on_raw(" UNION ALL ".join(
-            f"SELECT '{name}' AS table_name, count(*) AS row_count, CAST(sum({key}) AS BIGINT) AS key_sum FROM {source}"
-            for name, key, source in (
-                ("dim_customers", "customer_key", "g_customers"),
-                ("dim_products", "product_key", "g_products"),
-                ("fact_sales", "customer_key", "g_sales")))),
+        "c07_gold_tables": KEY_SUMMARY,
+        "a08_write_warehouse": KEY_SUMMARY,
         "c08_bronze_to_gold_revenue": on_raw(
             "SELECT category, CAST(sum(sales_amount) AS BIGINT) AS total_revenue "
             "FROM g_sales LEFT JOIN g_products USING (product_key) GROUP BY category"),

@@ -6,34 +6,35 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-# A key is hot when it holds more than 1/HOT_SHARE of all rows. So there are never more than
-# HOT_SHARE hot keys, nor more than twice that many slices, whatever the size of the data.
-HOT_SHARE = 2000
+# A key with more rows than one comfortable task is hot and gets one slice per so many rows.
+ROWS_PER_SLICE = 5_000_000
+# Only the hottest keys are dealt out, so the broadcast list stays within a few megabytes. Any
+# other key holds less than 1/MOST_HOT_KEYS of the rows and joins as it is.
+MOST_HOT_KEYS = 100_000
+# Rows without a key match nothing; they are dealt to this many slices.
+MISSING_KEY_SLICES = 2_000
 
 
-def hot_keys(rows: DataFrame, key: str, share: int = HOT_SHARE) -> DataFrame:
-    """Hot keys with the number of slices each needs; at most ``share`` rows."""
+def hot_keys(rows: DataFrame, key: str, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+    """Hot keys with the number of slices each needs, at most ``MOST_HOT_KEYS`` of them."""
     counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
-    all_rows = counts.agg(F.sum("_n")).scalar()
-    weight = F.col("_n") * share / all_rows
-    return counts.where(weight > 1).select(key, F.ceil(weight).cast("bigint").alias("_slices"))
+    hottest = counts.where(F.col("_n") > rows_per_slice).orderBy(F.col("_n").desc(), key).limit(MOST_HOT_KEYS)
+    return hottest.select(key, F.ceil(F.col("_n") / rows_per_slice).cast("bigint").alias("_slices"))
 
 
 def salted_left_join(
-    rows: DataFrame, lookup: DataFrame, key: str, spread_by: Sequence[str], hot: DataFrame,
-    share: int = HOT_SHARE,
+    rows: DataFrame, lookup: DataFrame, key: str, spread_by: Sequence[str], hot: DataFrame
 ) -> DataFrame:
     """``rows`` left-joined to ``lookup`` on ``key``, given the ``hot_keys`` of the rows.
 
     Needed where ``lookup`` is itself grouped by the key: adaptive execution cannot split a
     skewed partition of such a join. Rows of a hot key are dealt to slices by a hash of
-    ``spread_by``, and only that key's lookup rows are repeated, once per slice. Rows without
-    a key match nothing and are dealt out likewise. The salt is a function of the row, so a
-    recomputed task deals it to the same slice.
+    ``spread_by``, and only that key's lookup rows are repeated, once per slice. The slice is
+    a function of the row, so a recomputed task deals it the same way.
     """
     hot = F.broadcast(hot)
     deal = F.xxhash64(*spread_by)
-    slices = F.when(F.col(key).isNull(), share).otherwise(F.coalesce("_slices", F.lit(1)))
+    slices = F.when(F.col(key).isNull(), MISSING_KEY_SLICES).otherwise(F.coalesce("_slices", F.lit(1)))
     salted = rows.join(hot, key, "left").withColumn("_slice", F.pmod(deal, slices)).drop("_slices")
     repeated = lookup.join(hot, key, "left").withColumn(
         "_slice", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("_slices", F.lit(1)) - 1))

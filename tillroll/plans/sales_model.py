@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tillroll import schemas
 from tillroll.functions.dates import as_of_date, month_start, months_crossed, years_crossed
 from tillroll.operators import labels
-from tillroll.operators.skew import HOT_SHARE, hot_keys, salted_left_join
+from tillroll.operators.skew import ROWS_PER_SLICE, hot_keys, salted_left_join
 
 SALES_COLUMNS = tuple(schemas.SALES.fieldNames())
 _FROM_PRODUCTS = ("product_name", "category", "subcategory", "cost")
@@ -77,7 +77,7 @@ def build_sales(
     columns: Sequence[str] | None = None,
     segment_months: int = labels.SEGMENT_MONTHS,
     segment_spend: int = labels.SEGMENT_SPEND,
-    hot_share: int = HOT_SHARE,
+    rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
     """Dated sales lines with product, customer and segment attributes.
 
@@ -98,7 +98,7 @@ def build_sales(
         sales = salted_left_join(
             sales, profile, "customer_key",
             spread_by=("product_key", "order_date", "quantity", "sales_amount"),
-            hot=hot_keys(dated, "customer_key", hot_share), share=hot_share)
+            hot=hot_keys(dated, "customer_key", rows_per_slice))
         sales = sales.withColumn(
             "is_returning", F.coalesce(F.col("order_year") > F.col("_first_year"), F.lit(False)))
     return sales.select(*[c for c in SALES_COLUMNS if c in wanted])

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
 
 from tillroll.operators import gold, silver
+from tillroll.sources import extracts, sinks
 
 
 def build_silver(bronze: dict[str, DataFrame], as_of: dt.date | None = None) -> dict[str, DataFrame]:
@@ -35,3 +37,24 @@ def build_gold(cleaned: dict[str, DataFrame]) -> dict[str, DataFrame]:
 def build_warehouse(bronze: dict[str, DataFrame], as_of: dt.date | None = None) -> dict[str, DataFrame]:
     """Raw extracts straight to the star tables."""
     return build_gold(build_silver(bronze, as_of))
+
+
+def write_warehouse(
+    bronze: dict[str, DataFrame], out: str, as_of: dt.date | None = None, inputs: Iterable[str] = ()
+) -> dict[str, DataFrame]:
+    """Build and store the star tables, and return the stored ones.
+
+    The dimensions are stored first and the fact looks its keys up in the stored rows, so
+    they are cleaned once and a lost executor cannot change a key between the two.
+    """
+    cleaned = build_silver(bronze, as_of)
+    spark = cleaned["crm_sales_details"].sparkSession
+    paths = sinks.save_tables({
+        "dim_customers": gold.build_dim_customers(cleaned),
+        "dim_products": gold.build_dim_products(cleaned),
+    }, out, inputs=inputs)
+    customers = extracts.load_customers(spark, paths["dim_customers"])
+    products = extracts.load_products(spark, paths["dim_products"])
+    fact = gold.build_fact_sales(cleaned, products, customers)
+    path = sinks.save_tables({"fact_sales": fact}, out, inputs=inputs)["fact_sales"]
+    return {"dim_customers": customers, "dim_products": products, "fact_sales": extracts.load_fact(spark, path)}
