@@ -373,6 +373,8 @@ def _script_queries() -> dict[str, Query]:
         "e29_running_totals": on_fact(trend.running_totals, "order_date", "sales_amount", "price"),
         "e29_running_totals_monthly": on_fact(
             trend.running_totals, "order_date", "sales_amount", "price", grain="month"),
+        "e29_running_totals_exact": on_fact(
+            trend.running_totals, "order_date", "sales_amount", "price", exact=True),
         "e30_product_performance": fact_by_product(
             trend.product_performance, "order_date", "product_key", "sales_amount"),
         "e30_product_performance_dirty_keys": fact_by_product(

@@ -236,12 +236,16 @@ def activity(period: str, groups: str) -> str:
         f"{total('quantity')} AS total_quantity FROM fact_sales WHERE order_date IS NOT NULL GROUP BY {groups}")
 
 
-def running(grain: str) -> str:
+def running(grain: str, exact: bool = False) -> str:
+    if exact:
+        price, moving = exact_mean("price"), "avg(avg_price) OVER so_far"
+    else:
+        price, moving = int_mean("price"), "CAST(sum(avg_price) OVER so_far // count(avg_price) OVER so_far AS BIGINT)"
     return on_star(
-        f"SELECT order_date, total_sales, CAST(sum(total_sales) OVER so_far AS BIGINT) AS running_total_sales, "
-        "CAST(sum(avg_price) OVER so_far // count(avg_price) OVER so_far AS BIGINT) AS moving_average_price "
+        "SELECT order_date, total_sales, CAST(sum(total_sales) OVER so_far AS BIGINT) AS running_total_sales, "
+        f"{moving} AS moving_average_price "
         f"FROM (SELECT CAST(date_trunc('{grain}', order_date) AS DATE) AS order_date, "
-        f"{total('sales_amount')} AS total_sales, {int_mean('price')} AS avg_price "
+        f"{total('sales_amount')} AS total_sales, {price} AS avg_price "
         "FROM fact_sales WHERE order_date IS NOT NULL GROUP BY 1) WINDOW so_far AS (ORDER BY order_date)")
 
 
@@ -400,6 +404,7 @@ def scripts() -> dict[str, str]:
         "e28_activity_by_month_text": activity("strftime(order_date, '%Y-%b') AS order_date", "1"),
         "e29_running_totals": running("year"),
         "e29_running_totals_monthly": running("month"),
+        "e29_running_totals_exact": running("year", exact=True),
         "e30_product_performance": performance("fact_sales"),
         "e30_product_performance_dirty_keys": performance("dirty_fact_sales"),
         "e31_products_by_cost_band": on_star(

@@ -12,8 +12,9 @@ SMALLEST = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session(8, app="tests")
+def spark(tmp_path_factory):
+    catalog = str(tmp_path_factory.mktemp("catalog"))
+    session = local_session(8, app="tests", **{"spark.sql.warehouse.dir": catalog})
     yield session
     session.stop()
 

@@ -63,11 +63,19 @@ def test_previous_year_is_the_previous_sold_year(spark):
         (2014, 13, "Above Avg", 15, 0, "No Change")]
 
 
+def test_exact_mean_year(spark):
+    sold = lines(spark, ("1", 1, 1, d(2010), 10, 1), ("2", 1, 1, d(2011), 15, 1))
+    got = trend.product_performance(sold, products(spark, (1, "p", "c", 1)), exact=True).collect()
+    assert [(r.avg_sales, r.diff_avg, r.avg_change) for r in got] == [(12.5, -2.5, "Below Avg"), (12.5, 2.5, "Above Avg")]
+
+
 def test_running_totals(spark):
     sold = lines(spark, ("1", 1, 1, d(2010, 1), 10, 1), ("2", 1, 1, d(2010, 3), 15, 1), ("3", 1, 1, d(2011), 40, 1))
     got = [tuple(r) for r in trend.running_totals(sold).collect()]
     assert sorted(got) == [(d(2010), 25, 25, 12), (d(2011), 40, 65, 26)]
     assert trend.running_totals(sold, "month").count() == 3
+    exact = {r.order_date: r.moving_average_price for r in trend.running_totals(sold, exact=True).collect()}
+    assert exact == {d(2010): 12.5, d(2011): 26.25}
 
 
 def test_month_text_sorts_as_text(spark):

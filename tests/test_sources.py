@@ -25,6 +25,12 @@ def test_bronze_is_text_with_blanks(spark, tmp_path):
         ("211", "CO-RF-2", "NA", "007", "\t", "2003-07-01", "")]
 
 
+def test_quoted_line_breaks(spark, tmp_path):
+    path = write(tmp_path, "loc.csv", 'cid,cntry\nAW-1,"United\nStates"\nAW-2,DE\n')
+    got = extracts.read_bronze(spark, "erp_loc_a101", path, multi_line=True).orderBy("cid").collect()
+    assert [tuple(r) for r in got] == [("AW-1", "United\nStates"), ("AW-2", "DE")]
+
+
 def test_unexpected_header_is_an_error(spark, tmp_path):
     path = write(tmp_path, "loc.csv", "cid,country\nAW-1,US\n")
     with pytest.raises(Exception, match="(?i)header"):
@@ -75,6 +81,12 @@ def test_views_are_replaced(spark):
     assert sinks.publish_view(spark.range(5), "report_under_test").count() == 5
 
 
+def test_tables_are_replaced(spark):
+    sinks.publish_table(spark.range(3), "table_under_test")
+    assert sinks.publish_table(spark.range(5), "table_under_test").count() == 5
+    spark.sql("DROP TABLE table_under_test")
+
+
 def test_shared_folder_follows_the_session():
     def session(folder, master):
         return SimpleNamespace(

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from tillroll.functions.dates import month_start, year_start
-from tillroll.functions.numbers import mean
+from tillroll.functions.numbers import int_divide, mean, percent
 from tillroll.operators.totals import totals_by_dimension
 
 
@@ -38,25 +38,29 @@ def activity_by_month_text(fact: DataFrame) -> DataFrame:
     return _activity(fact, order_date=F.date_format("order_date", "yyyy-MMM"))
 
 
-def running_totals(fact: DataFrame, grain: str = "year") -> DataFrame:
+def _windowed_mean(c: str, window: WindowSpec, exact: bool) -> Column:
+    if exact:
+        return F.avg(c).over(window)
+    return int_divide(F.sum(c).over(window), F.count(c).over(window))
+
+
+def running_totals(fact: DataFrame, grain: str = "year", exact: bool = False) -> DataFrame:
     """Sales per period with their running total and the running mean of the mean price.
 
     The windows run over one row per period, so the single task they need stays small.
+    ``exact`` gives double means instead of integer ones.
     """
     start = {"year": year_start, "month": month_start}[grain]
     per_period = _dated(fact).select(
         start(F.col("order_date")).alias("_period"), "sales_amount", "price"
     ).groupBy("_period").agg(
-        F.sum("sales_amount").alias("total_sales"), mean(F.col("price")).alias("_avg_price"))
+        F.sum("sales_amount").alias("total_sales"), mean(F.col("price"), exact).alias("_avg_price"))
     so_far = Window.orderBy("_period")
-    running_price = F.call_function(
-        "div", F.sum("_avg_price").over(so_far),
-        F.nullif(F.count("_avg_price").over(so_far), F.lit(0)))
     return per_period.select(
         F.col("_period").alias("order_date"),
         "total_sales",
         F.sum("total_sales").over(so_far).alias("running_total_sales"),
-        running_price.alias("moving_average_price"),
+        _windowed_mean("_avg_price", so_far, exact).alias("moving_average_price"),
     )
 
 
@@ -64,7 +68,7 @@ def _direction(difference: Column, up: str, down: str, same: str) -> Column:
     return F.when(difference > 0, up).when(difference < 0, down).otherwise(same)
 
 
-def product_performance(fact: DataFrame, products: DataFrame) -> DataFrame:
+def product_performance(fact: DataFrame, products: DataFrame, exact: bool = False) -> DataFrame:
     """Yearly sales per product name against its mean year and its previous sold year."""
     yearly = _dated(fact).select(
         F.year("order_date").alias("order_year"), "product_key", "sales_amount"
@@ -74,11 +78,8 @@ def product_performance(fact: DataFrame, products: DataFrame) -> DataFrame:
         F.sum("current_sales").alias("current_sales"))
 
     same_product = Window.partitionBy("product_name")
-    avg_sales = F.call_function(
-        "div", F.sum("current_sales").over(same_product),
-        F.nullif(F.count("current_sales").over(same_product), F.lit(0)))
     compared = by_name.withColumns({
-        "avg_sales": avg_sales,
+        "avg_sales": _windowed_mean("current_sales", same_product, exact),
         "py_sales": F.lag("current_sales").over(same_product.orderBy("order_year")),
     }).withColumns({
         "diff_avg": F.col("current_sales") - F.col("avg_sales"),
@@ -100,7 +101,6 @@ def category_shares(fact: DataFrame, products: DataFrame) -> DataFrame:
     by_category = totals_by_dimension(
         fact, products, "product_key", ["category"], total_sales=(F.sum, "sales_amount"))
     overall = by_category.agg(F.sum("total_sales")).scalar()
-    share = F.try_divide(F.col("total_sales").cast("double"), F.col("overall_sales").cast("double")) * 100
     return by_category.withColumn("overall_sales", overall).withColumn(
-        "percentage_of_total", F.round(share, 2)
+        "percentage_of_total", F.round(percent(F.col("total_sales"), F.col("overall_sales")), 2)
     ).orderBy(F.col("total_sales").desc_nulls_last(), "category")

@@ -8,19 +8,23 @@ from pyspark.sql.types import StructType
 from tillroll import schemas
 
 
-def _csv_reader(reader, schema: StructType):
+def _csv_reader(reader, schema: StructType, multi_line: bool = False):
     return (
         reader.schema(schema)
         .option("header", True)
+        .option("multiLine", multi_line)
         .option("enforceSchema", False)  # a header that disagrees with the schema is an error
         .option("escape", '"')
         .option("dateFormat", "yyyy-MM-dd")
     )
 
 
-def read_bronze(spark: SparkSession, name: str, path: str) -> DataFrame:
-    """One raw extract, every column text, blanks as ``''`` rather than NULL."""
-    return _csv_reader(spark.read, schemas.BRONZE[name]).csv(path).na.fill("")
+def read_bronze(spark: SparkSession, name: str, path: str, multi_line: bool = False) -> DataFrame:
+    """One raw extract, every column text, blanks as ``''`` rather than NULL.
+
+    ``multi_line`` accepts quoted values with line breaks; such files cannot be split.
+    """
+    return _csv_reader(spark.read, schemas.BRONZE[name], multi_line).csv(path).na.fill("")
 
 
 def read_bronze_all(spark: SparkSession, paths: dict[str, str]) -> dict[str, DataFrame]:
