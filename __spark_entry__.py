@@ -22,6 +22,14 @@ from tillroll.operators import (
 from tillroll.plans import sales_model, warehouse
 from tillroll.sources import extracts, sinks
 
+try:
+    from tillroll.llm import queries as llm
+except ModuleNotFoundError as missing:
+    # the operators for training text may be absent as a whole, but not in part
+    if missing.name not in ("tillroll.llm", "corpus_pipeline"):
+        raise
+    llm = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 # The slice the dashboard-style operators run on besides the whole frame.
@@ -489,9 +497,10 @@ def queries() -> dict[str, Query]:
     return {
         **_source_queries(), **_silver_queries(), **_gold_queries(), **_model_queries(),
         **_script_queries(), **_dashboard_queries(), **_quality_queries(),
+        **(llm.queries() if llm else {}),
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL with the same result per query."""
-    return oracle.statements()
+    return {**oracle.statements(), **(llm.oracle_sql() if llm else {})}

@@ -5,8 +5,10 @@ import pytest
 import __spark_entry__ as entry
 from compare import difference, duck
 
-QUERIES = entry.queries()
 SQL = entry.oracle_sql()
+OWN = set(entry.queries()) - set(entry.llm.queries() if entry.llm else ())
+QUERIES = {name: query for name, query in entry.queries().items() if name in OWN}
+SQL = {name: sql for name, sql in SQL.items() if name in OWN}
 
 
 @pytest.fixture(scope="module")
