@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tillroll.llm import simhash, substrings
+from tillroll.llm import bpe, simhash, substrings
 from tillroll.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,10 +26,24 @@ def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("row.doc_id").alias("doc_id"), "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
 
 
+def vocabulary_path() -> str:
+    """The public vocabulary file of the tokenizer queries."""
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bpe.encode_decode(
+        read_table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary_path(), digest=True)
+    return found.select(
+        "row.doc_id", "n_tokens", F.col("ids").alias("ids_sha256"), F.col("decoded").alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_simhash": op1_simhash,
         "op4_substrings": op4_substrings,
+        "op9_bpe": op9_bpe,
     }
 
 
