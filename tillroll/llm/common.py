@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import posixpath
 import tempfile
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -17,10 +19,15 @@ MAX_BATCH_ROWS = 1000
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of whole texts small enough for a worker that meets many long ones."""
+    """Settings for Python workers: batches small enough for whole texts, and a way to this package."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= MAX_BATCH_ROWS:
         spark.conf.set(name, str(MAX_BATCH_ROWS))
+    # a local worker may start in another folder; on a cluster the package is installed or shipped
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, root])
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:

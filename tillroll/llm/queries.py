@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tillroll.llm import bpe, simhash, substrings
+from tillroll.llm import bpe, simhash, substrings, toxicity
 from tillroll.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,23 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         "component_id")
 
 
+def _judged(found: DataFrame, threshold: float) -> DataFrame:
+    doc_id = F.col("row.doc_id")
+    return found.select(
+        doc_id.alias("doc_id"), toxicity.held_out(doc_id).alias("held_out"), "score",
+        (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def fitted_grammar(spark: SparkSession, sf_dir: str) -> toxicity.Grammar:
+    labels = toxicity.training_rows(read_table(spark, sf_dir, "labels"))
+    return toxicity.fit(read_table(spark, sf_dir, "documents"), labels)
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _judged(toxicity.score(docs, fitted_grammar(spark, sf_dir)), 0.5)
+
+
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.remove_repeats(
         read_table(spark, sf_dir, "documents").select("doc_id", "text"), window=20, digest=True)
@@ -42,6 +59,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_simhash": op1_simhash,
+        "op3_toxicity": op3_toxicity,
         "op4_substrings": op4_substrings,
         "op9_bpe": op9_bpe,
     }
