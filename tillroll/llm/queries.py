@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tillroll.llm import bpe, simhash, substrings, toxicity
+from tillroll.llm import bpe, quality_rules, simhash, substrings, toxicity, url_rules
 from tillroll.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,28 @@ def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("row.doc_id").alias("doc_id"), "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
 
 
+# The rules of the query.
+URL_RULES = [
+    ("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    found = url_rules.match(read_table(spark, sf_dir, "pages").select("page_id", "url"), rules)
+    return found.select("row.page_id", "host", "path", "rule", "verdict")
+
+
+def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules.judge(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    n_words, n_repeat = F.col("counts.w.n_words").cast("long"), F.col("counts.w.n_repeat_words").cast("long")
+    base_failed = (n_words < 10) | (100 * n_repeat > 20 * n_words)
+    return found.select(
+        "row.doc_id", n_words.alias("n_words"), F.col("counts.word_chars").cast("long").alias("word_chars"),
+        F.col("counts.n_symbols").cast("long").alias("n_symbols"),
+        F.col("counts.l.n_dup_lines").cast("long").alias("n_dup_lines"), n_repeat.alias("n_repeat_words"),
+        base_failed.alias("base_failed"), (~base_failed & F.col("kept")).alias("kept"))
+
+
 def vocabulary_path() -> str:
     """The public vocabulary file of the tokenizer queries."""
     import public_tokenizers
@@ -61,7 +83,9 @@ def queries() -> dict[str, Query]:
         "op1_simhash": op1_simhash,
         "op3_toxicity": op3_toxicity,
         "op4_substrings": op4_substrings,
+        "op5_urls": op5_urls,
         "op9_bpe": op9_bpe,
+        "op10_rules": op10_rules,
     }
 
 
