@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tillroll.llm import bpe, quality_rules, simhash, substrings, toxicity, url_rules
+from tillroll.llm import bpe, mixing, quality_rules, simhash, substrings, toxicity, url_rules
 from tillroll.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +54,13 @@ def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.page_id", "host", "path", "rule", "verdict")
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mix(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"),
+                       weights=(5, 2, 1), cap=3, keep=["doc_id"])
+    return found.select("row.doc_id", "size", "source_size", "target",
+                        (F.col("copies") * F.col("size")).alias("taken"))
+
+
 def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules.judge(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     n_words, n_repeat = F.col("counts.w.n_words").cast("long"), F.col("counts.w.n_repeat_words").cast("long")
@@ -84,6 +91,7 @@ def queries() -> dict[str, Query]:
         "op3_toxicity": op3_toxicity,
         "op4_substrings": op4_substrings,
         "op5_urls": op5_urls,
+        "op7_mixing": op7_mixing,
         "op9_bpe": op9_bpe,
         "op10_rules": op10_rules,
     }
