@@ -4,8 +4,11 @@ Each source's target over its size is how often its documents should be taken: a
 times, and once more with the fraction left. Documents are paired one after the other; random
 transfers of words between the two keep their sum until one of them is in or out, and the other goes
 on. A group of documents so leaves at most one open; the open ones of many groups meet in a
-reduction tree. What a source takes misses its target by less than one document: a small one as a
-rule, because large documents are paired first.
+reduction tree.
+
+A large document, with over a hundredth of its source's words, is first paired with the pool of all
+smaller ones: it is drawn, and the pool's fraction makes up for it. So the last open document, by
+whose size a source can miss its target, is a small one.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from tillroll.llm.common import WORD, Batches, batch_of, packed, small_batches, stored
 
 GROUP_ROWS = 2_000  # documents of a source that are paired in one group
+LARGE_SHARE = 100   # a document is large if this many like it exceed its source
+POOL = -1           # bucket of a source's large documents, fewer than LARGE_SHARE
 FAN_IN = 16         # groups whose open documents meet in one group of the next level
 
 
@@ -76,6 +81,36 @@ def _is_open(words: float, size: float) -> bool:
     return 1e-9 * size < words < size * (1 - 1e-9)
 
 
+def _pooled(fraction: float, left: float, size: float, u: float) -> tuple[bool, float, float]:
+    """Draw a large document against the pool of ``left`` words: (taken, the pool's fraction, its words)."""
+    left -= size
+    taken = u < fraction
+    if 0 < fraction < 1 and left > 0:
+        fraction = min(1.0, max(0.0, fraction + (fraction - taken) * size / left))
+    return taken, fraction, left
+
+
+def _pool_rows(seed: int):
+    """Sorted large documents to the fraction that is left for the pool of each source."""
+    def run(batches: Batches) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("rank", pa.int64()), ("pooled", pa.float64())])
+        state = None
+        for batch in batches:
+            out = []
+            columns = [batch.column(c).to_pylist() for c in ("rank", "size", "source_size", "fraction", "draw")]
+            for rank, size, source_size, fraction, draw in zip(*columns):
+                if state is None or state[0] != rank:
+                    out += [state[:2]] if state else []
+                    state = (rank, fraction, float(source_size))
+                state = (rank, *_pooled(state[1], state[2], size, _draw(seed, -2, draw))[1:])
+            if out:
+                yield batch_of(schema, *zip(*out))
+        if state:
+            yield batch_of(schema, *zip(state[:2]))
+
+    return run
+
+
 def _paired(seed: int, level: int):
     """Sorted rows of one level with their words after pairing: 0, the size, or open for one row a group."""
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
@@ -130,10 +165,10 @@ def _fates(opened: DataFrame, seed: int, levels: int) -> DataFrame:
 def _settled(seed: int):
     """Level 0 again, on whole rows, with the fate of each group's open document at its front."""
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
-        group, held, fate, schema = None, None, False, None
+        group, held, fate, pool, schema = None, None, False, None, None
         for batch in batches:
             out: list[tuple] = []  # (row, source_size, target, size, copies)
-            names = ("rank", "bucket", "kind", "fate", "size", "words", "draw", "whole")
+            names = ("rank", "bucket", "kind", "fate", "size", "words", "draw", "whole", "fraction", "source_size")
             columns = [batch.column(c).to_pylist() for c in names]
             carried = [batch.column(c) for c in ("row", "source_size", "target")]
             schema = pa.schema([("row", carried[0].type), ("size", pa.int64()), ("source_size", pa.int64()),
@@ -142,16 +177,20 @@ def _settled(seed: int):
             def done(one: tuple, taken: bool) -> None:
                 out.append((*one[0], one[1], one[2] + taken))
 
-            for k, (rank, bucket, kind, said, size, words, draw, whole) in enumerate(zip(*columns)):
+            for k, (rank, bucket, kind, said, size, words, draw, whole, fraction, total) in enumerate(zip(*columns)):
                 if (rank, bucket) != group:
                     if held:
                         done(held, fate)
-                    group, held, fate = (rank, bucket), None, False
+                    group, held, fate, pool = (rank, bucket), None, False, None
                 if kind == 0:
                     fate = said
                     continue
                 mine = (tuple(c[k] for c in carried), size, whole, words, draw)
-                if not _is_open(words, size):
+                if bucket == POOL:
+                    pool = pool or (fraction, float(total))
+                    taken, *pool = _pooled(*pool, size, _draw(seed, -2, draw))
+                    done(mine, taken)
+                elif not _is_open(words, size):
                     # a text without words takes its chance alone
                     done(mine, words > 0 if size else _draw(seed, -1, draw) < words)
                 elif held is None:
@@ -205,13 +244,19 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3,
     groups = F.ceil(F.col("n_docs") / GROUP_ROWS)
     sources = stored(sources.select(
         F.col("source").alias("name"), "rank", "source_size", "target", groups.alias("groups"), ratio.alias("ratio")))
-    keyed = whole.join(sources, F.col("source").eqNullSafe(F.col("name"))).select(
-        "row", "rank", F.pmod("draw", "groups").alias("bucket"), "size", "source_size", "target", "draw",
-        F.floor("ratio").alias("whole"),
-        ((F.col("ratio") - F.floor("ratio")) * F.greatest(F.col("size"), F.lit(1))).alias("words"))
+    large = F.col("size") * LARGE_SHARE > F.col("source_size")
+    placed = whole.join(sources, F.col("source").eqNullSafe(F.col("name"))).select(
+        "row", "rank", F.when(large, F.lit(POOL)).otherwise(F.pmod("draw", "groups")).alias("bucket"),
+        "size", "source_size", "target", "draw", F.floor("ratio").alias("whole"),
+        (F.col("ratio") - F.floor("ratio")).alias("fraction"))
+    pools = stored(placed.where(F.col("bucket") == POOL).select("rank", "size", "source_size", "fraction", "draw")
+                   .repartition("rank").sortWithinPartitions("rank", F.desc("size"), "draw")
+                   .mapInArrow(_pool_rows(seed), "rank long, pooled double"))  # one row a source at most
+    keyed = placed.join(pools, "rank", "left").withColumn(
+        "words", F.coalesce("pooled", "fraction") * F.greatest(F.col("size"), F.lit(1))).drop("pooled")
 
     # level 0 leaves one open document per group; the tree decides them
-    slim = keyed.where("size > 0").select(
+    slim = keyed.where((F.col("size") > 0) & (F.col("bucket") != POOL)).select(
         "rank", "bucket", F.col("bucket").alias("origin"), F.col("size").cast("double").alias("size"), "words", "draw")
     paired = slim.repartition("rank", "bucket").sortWithinPartitions(
         "rank", "bucket", F.desc("size"), "draw") \
