@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tillroll.llm import bpe, mixing, quality_rules, simhash, substrings, toxicity, url_rules
+from tillroll.llm import bpe, mixing, parsing, quality_rules, simhash, substrings, toxicity, url_rules
 from tillroll.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +61,11 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op8_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = parsing.compare_edited(read_table(spark, sf_dir, "documents"), digest=True)
+    return found.withColumnsRenamed({"id": "doc_id", "edited": "edited_sha256"})
+
+
 def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules.judge(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     n_words, n_repeat = F.col("counts.w.n_words").cast("long"), F.col("counts.w.n_repeat_words").cast("long")
@@ -92,6 +97,7 @@ def queries() -> dict[str, Query]:
         "op4_substrings": op4_substrings,
         "op5_urls": op5_urls,
         "op7_mixing": op7_mixing,
+        "op8_parsing": op8_parsing,
         "op9_bpe": op9_bpe,
         "op10_rules": op10_rules,
     }
