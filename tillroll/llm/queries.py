@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tillroll.llm import bpe, mixing, parsing, quality_rules, simhash, substrings, toxicity, url_rules
+from tillroll.llm import bpe, mixing, parsing, quality_model, quality_rules, simhash, substrings, toxicity, url_rules
 from tillroll.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,12 @@ def _judged(found: DataFrame, threshold: float) -> DataFrame:
         (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_model.fit(docs, toxicity.training_rows(read_table(spark, sf_dir, "labels")))
+    return _judged(quality_model.score(docs, model), 0.3)
+
+
 def fitted_grammar(spark: SparkSession, sf_dir: str) -> toxicity.Grammar:
     labels = toxicity.training_rows(read_table(spark, sf_dir, "labels"))
     return toxicity.fit(read_table(spark, sf_dir, "documents"), labels)
@@ -93,6 +99,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_simhash": op1_simhash,
+        "op2_quality": op2_quality,
         "op3_toxicity": op3_toxicity,
         "op4_substrings": op4_substrings,
         "op5_urls": op5_urls,
