@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tillroll.llm import bpe, mixing, parsing, quality_model, quality_rules, simhash, substrings, toxicity, url_rules
+from tillroll.llm import bpe, language_model, mixing, parsing, quality_model, quality_rules, simhash, substrings, toxicity, url_rules
 from tillroll.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +60,12 @@ def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.page_id", "host", "path", "rule", "verdict")
 
 
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language_model.score(
+        read_table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mix(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"),
                        weights=(5, 2, 1), cap=3, keep=["doc_id"])
@@ -103,6 +109,7 @@ def queries() -> dict[str, Query]:
         "op3_toxicity": op3_toxicity,
         "op4_substrings": op4_substrings,
         "op5_urls": op5_urls,
+        "op6_language_model": op6_language_model,
         "op7_mixing": op7_mixing,
         "op8_parsing": op8_parsing,
         "op9_bpe": op9_bpe,
