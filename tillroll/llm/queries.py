@@ -6,7 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tillroll.llm import bpe, language_model, mixing, parsing, quality_model, quality_rules, simhash, substrings, toxicity, url_rules
+import corpus_pipeline
+from tillroll.llm import (
+    bpe, language_model, mixing, parsing, pipeline, quality_model, quality_rules, simhash, substrings, toxicity,
+    url_rules,
+)
 from tillroll.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,15 +93,9 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         base_failed.alias("base_failed"), (~base_failed & F.col("kept")).alias("kept"))
 
 
-def vocabulary_path() -> str:
-    """The public vocabulary file of the tokenizer queries."""
-    import public_tokenizers
-    return public_tokenizers.path("byte_bpe_50k.json")
-
-
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = bpe.encode_decode(
-        read_table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary_path(), digest=True)
+        read_table(spark, sf_dir, "documents").select("doc_id", "text"), pipeline.vocabulary_path(), digest=True)
     return found.select(
         "row.doc_id", "n_tokens", F.col("ids").alias("ids_sha256"), F.col("decoded").alias("decoded_sha256"))
 
@@ -114,8 +112,12 @@ def queries() -> dict[str, Query]:
         "op8_parsing": op8_parsing,
         "op9_bpe": op9_bpe,
         "op10_rules": op10_rules,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the queries that SQL can express; tests/llm checks the others against brute force."""
+    from tillroll.llm import oracle
+
+    return oracle.statements() | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
