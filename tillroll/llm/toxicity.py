@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import ahocorasick
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -283,8 +284,6 @@ def drop_toxic(docs: DataFrame, grammar: Grammar, text_col: str = "text", thresh
 
 def rejects(grammar: Grammar, threshold: float = 0.5):
     """A column function: whether a text is at or above the threshold."""
-    import pandas as pd
-
     insults, weights = grammar.insults, grammar.weights
 
     @F.pandas_udf("boolean")
