@@ -6,27 +6,35 @@ from tillroll.llm import quality_rules
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
-# Windows of 20 words; a window is a repeat if its words also start earlier.
+
+def _windows(n: int) -> str:
+    """Every window of n words of the words in ``flat``, as one text."""
+    following = ", ".join(f"lead(word, {k}) OVER w" for k in range(1, n))
+    return f"""
+    SELECT * FROM (
+        SELECT doc_id, pos, concat_ws(' ', word, {following}) AS words, lead(word, {n - 1}) OVER w AS last
+        FROM flat WINDOW w AS (PARTITION BY doc_id ORDER BY pos)
+    ) WHERE last IS NOT NULL"""
+
+
+# A window of 20 words is a repeat if its words also start earlier.
 OP4 = rf"""
 WITH docs AS (
     SELECT doc_id, {_WORDS} AS words FROM documents
-), starts AS (
-    SELECT doc_id, unnest(range(1, len(words) - 18)) AS pos, words FROM docs WHERE len(words) >= 20
-), windows AS (
-    SELECT doc_id, pos, row_number() OVER (
-        PARTITION BY array_to_string(words[pos:pos + 19], ' ') ORDER BY doc_id, pos) AS nth
-    FROM starts
-), removed AS (
-    SELECT doc_id, list_distinct(flatten(list(range(pos, pos + 20)))) AS gone
-    FROM windows WHERE nth > 1 GROUP BY doc_id
+), flat AS (
+    SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS pos FROM docs
+), windows AS ({_windows(20)}
+), ranked AS (
+    SELECT doc_id, pos, row_number() OVER (PARTITION BY words ORDER BY doc_id, pos) AS nth FROM windows
+), covered AS (
+    SELECT DISTINCT doc_id, unnest(range(pos, pos + 20)) AS pos FROM ranked WHERE nth > 1
 ), kept AS (
-    SELECT d.doc_id, len(words) AS n_words, coalesce(len(gone), 0) AS n_removed,
-           CASE WHEN gone IS NULL THEN words
-                ELSE list_transform(list_filter(list_zip(words, range(1, len(words) + 1)),
-                                                lambda p: NOT list_contains(gone, p[2])), lambda p: p[1]) END AS words
-    FROM docs d LEFT JOIN removed r ON d.doc_id = r.doc_id
+    SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS text
+    FROM flat ANTI JOIN covered USING (doc_id, pos) GROUP BY doc_id
 )
-SELECT doc_id, n_words, n_removed, sha256(array_to_string(words, ' ')) AS kept_sha256 FROM kept
+SELECT d.doc_id, len(words) AS n_words, len(words) - coalesce(n, 0) AS n_removed,
+       sha256(coalesce(text, '')) AS kept_sha256
+FROM docs d LEFT JOIN kept k ON d.doc_id = k.doc_id
 """
 
 OP5 = r"""
@@ -78,10 +86,11 @@ WITH texts AS (
     SELECT doc_id, text, {_WORDS} AS words,
            list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines
     FROM texts
-), windows AS (
-    SELECT doc_id, unnest(range(1, len(words) - 3)) AS pos, words FROM docs WHERE len(words) >= 5
+), flat AS (
+    SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS pos FROM docs
+), windows AS ({_windows(5)}
 ), counted AS (
-    SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id, words[pos:pos + 4]) AS n FROM windows
+    SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id, words) AS n FROM windows
 ), repeats AS (
     SELECT doc_id, len(list_distinct(flatten(list(range(pos, pos + 5))))) AS n_repeat
     FROM counted WHERE n > 1 GROUP BY doc_id
