@@ -8,6 +8,7 @@ generated test data, seen as a star schema (``fixtures/star.py``) or as raw, dir
 from __future__ import annotations
 
 import datetime as dt
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -62,7 +63,7 @@ def no_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def saved(spark: SparkSession, rows: DataFrame) -> DataFrame:
     """The rows as a stored table, for a report that reads them several times."""
-    path = sinks.save_tables({"rows": rows}, sinks.shared_folder(spark))["rows"]
+    path = sinks.save_tables({"rows": rows}, shared_folder(spark))["rows"]
     return spark.read.schema(rows.schema).parquet(path)
 
 
@@ -124,17 +125,26 @@ def on_silver(op: Callable[[dict[str, DataFrame]], DataFrame]) -> Query:
     return lambda spark, d: op(cleaned(spark, d))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder in the cluster's shared one; a local session without one is given its own."""
+    context = spark.sparkContext
+    if not (spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()) \
+            and context.master.startswith("local"):
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tillroll-"))
+    return sinks.shared_folder(spark)
+
+
 # --- sources and sinks ---------------------------------------------------------------------
 
 def read_bronze_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = raw.crm_cust_info(spark, sf_dir)
-    path = sinks.save_tables({"crm_cust_info": rows}, sinks.shared_folder(spark), "csv")["crm_cust_info"]
+    path = sinks.save_tables({"crm_cust_info": rows}, shared_folder(spark), "csv")["crm_cust_info"]
     return extracts.read_bronze(spark, "crm_cust_info", path)
 
 
 def stored(load: Callable, build: Query, fmt: str = "parquet") -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        paths = sinks.save_tables({"rows": build(spark, sf_dir)}, sinks.shared_folder(spark), fmt)
+        paths = sinks.save_tables({"rows": build(spark, sf_dir)}, shared_folder(spark), fmt)
         return load(spark, paths["rows"], fmt)
 
     return run
@@ -146,7 +156,7 @@ def save_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
         "dim_products": dim_products(spark, sf_dir),
         "fact_sales": fact_sales(spark, sf_dir),
     }
-    paths = sinks.save_tables(tables, sinks.shared_folder(spark), inputs=[sf_dir])
+    paths = sinks.save_tables(tables, shared_folder(spark), inputs=[sf_dir])
     loaded = {
         "dim_customers": extracts.load_customers(spark, paths["dim_customers"]),
         "dim_products": extracts.load_products(spark, paths["dim_products"]),
@@ -157,7 +167,7 @@ def save_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def export_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sales_slice(spark, sf_dir).select("order_number", "order_date", "category", "country", "sales_amount")
-    path = sinks.export_csv(rows, sinks.shared_folder(spark))
+    path = sinks.export_csv(rows, shared_folder(spark))
     return extracts.read_table(spark, rows.schema, path, "csv")
 
 
@@ -165,6 +175,10 @@ def publish_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.publish_view(REPORTS["products"](spark, sf_dir), "report_products")
 
 
+def publish_report_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.publish_table(REPORTS["customers"](spark, sf_dir), "tillroll_report_customers")
+
+
 REPORTS: dict[str, Query] = {
     "customers": fact_by_customer(
         reports.report_customers, as_of=AS_OF, segment_spend=HIGH_SPEND, keys_verified=True),
@@ -188,7 +202,7 @@ def gold_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def written_warehouse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return key_summary(warehouse.write_warehouse(
-        raw.bronze(spark, sf_dir), sinks.shared_folder(spark), AS_OF, inputs=[sf_dir]))
+        raw.bronze(spark, sf_dir), shared_folder(spark), AS_OF, inputs=[sf_dir]))
 
 
 def rebuilt_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,6 +230,7 @@ def _source_queries() -> dict[str, Query]:
         "a08_write_warehouse": written_warehouse,
         "a09_export_slice_csv": export_slice,
         "a10_publish_report_view": publish_report,
+        "a10_publish_report_table": publish_report_table,
     }
 
 
@@ -284,7 +299,7 @@ def _gold_queries() -> dict[str, Query]:
             lambda s: gold.join_customer_sources(s).select("customer_id", "gender")),
         "c03_customer_country": on_silver(
             lambda s: gold.join_customer_sources(s).select("customer_id", "country")),
-        "c04_dense_keys": lambda spark, d: keys.with_dense_key(
+        "c04_dense_keys": lambda spark, d: keys.dense_keys(
             dim_customers(spark, d).select("customer_id"), "customer_id", "customer_key"),
         "c05_dim_products": on_silver(gold.build_dim_products),
         "c06_fact_sales": on_silver(fact),

@@ -38,10 +38,10 @@ def crm_sales_details(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(F.lit(" "), _compact(ordered))).alias("sls_order_dt"),
         _compact(F.col("l_shipdate").cast("date")).alias("sls_ship_dt"),
         _compact(F.date_add(ordered, 12)).alias("sls_due_dt"),
-        F.when(_every(key, 11), "").when(_every(key, 13), "999999")
+        F.when(_every(key, 131), "15").when(_every(key, 11), "").when(_every(key, 13), "999999")
         .otherwise((qty * price).cast("string")).alias("sls_sales"),
-        F.when(_every(key, 127), "0").otherwise(qty.cast("string")).alias("sls_quantity"),
-        F.when(_every(key, 17), (-price).cast("string")).when(_every(key, 19), "")
+        F.when(_every(key, 131), "1.5").when(_every(key, 127), "0").otherwise(qty.cast("string")).alias("sls_quantity"),
+        F.when(_every(key, 131), "10").when(_every(key, 17), (-price).cast("string")).when(_every(key, 19), "")
         .otherwise(price.cast("string")).alias("sls_price"),
     )
 
@@ -150,10 +150,10 @@ crm_sales_details AS (
               ELSE ' ' || strftime(o_orderdate, '%Y%m%d') END AS sls_order_dt,
          strftime(l_shipdate, '%Y%m%d') AS sls_ship_dt,
          strftime(CAST(o_orderdate AS DATE) + 12, '%Y%m%d') AS sls_due_dt,
-         CASE WHEN l_orderkey % 11 = 0 THEN '' WHEN l_orderkey % 13 = 0 THEN '999999'
+         CASE WHEN l_orderkey % 131 = 0 THEN '15' WHEN l_orderkey % 11 = 0 THEN '' WHEN l_orderkey % 13 = 0 THEN '999999'
               ELSE CAST(qty * price AS VARCHAR) END AS sls_sales,
-         CASE WHEN l_orderkey % 127 = 0 THEN '0' ELSE CAST(qty AS VARCHAR) END AS sls_quantity,
-         CASE WHEN l_orderkey % 17 = 0 THEN CAST(-price AS VARCHAR) WHEN l_orderkey % 19 = 0 THEN ''
+         CASE WHEN l_orderkey % 131 = 0 THEN '1.5' WHEN l_orderkey % 127 = 0 THEN '0' ELSE CAST(qty AS VARCHAR) END AS sls_quantity,
+         CASE WHEN l_orderkey % 131 = 0 THEN '10' WHEN l_orderkey % 17 = 0 THEN CAST(-price AS VARCHAR) WHEN l_orderkey % 19 = 0 THEN ''
               ELSE CAST(price AS VARCHAR) END AS sls_price
   FROM (SELECT *, CAST(l_quantity AS BIGINT) AS qty,
                CAST(round(l_extendedprice) AS BIGINT) // CAST(l_quantity AS BIGINT) AS price

@@ -95,7 +95,7 @@ s_sales AS (
 ),
 s_details AS (
   SELECT sls_ord_num, sls_prd_key, sls_cust_id, sls_order_dt, sls_ship_dt, sls_due_dt,
-         CAST(sales2 AS BIGINT) AS sls_sales, CAST(qty AS BIGINT) AS sls_quantity,
+         CAST(sales2 AS BIGINT) AS sls_sales, CAST(round_even(qty, 0) AS BIGINT) AS sls_quantity,
          CAST(round_even(price2, 0) AS BIGINT) AS sls_price
   FROM s_sales
 ),
@@ -436,6 +436,7 @@ def scripts() -> dict[str, str]:
             f"SELECT '{t}' AS table_name, count(*) AS left_rows, count(*) AS right_rows, true AS matches FROM {t}"
             for t in ("dim_customers", "dim_products", "fact_sales"))),
         "a10_publish_report_view": on_star(products),
+        "a10_publish_report_table": on_star(report),
         "q01_null_counts": on_star(" UNION ALL ".join(
             f"SELECT '{c}' AS column_name, count(*) - count({c}) AS nulls FROM dirty_fact_sales"
             for c in ("product_key", "customer_key", "order_date", "order_number"))),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tillroll import schemas
 from tillroll.operators import gold, quality
-from tillroll.operators.keys import with_dense_key
+from tillroll.operators.keys import dense_keys
 from tillroll.plans import warehouse
 
 AS_OF = dt.date(2025, 1, 31)
@@ -75,7 +75,7 @@ def test_rebuilt_tables_pass_the_checks(bronze):
 
 def dense(spark, ids):
     rows = spark.createDataFrame([(i,) for i in ids], "id long").repartition(7)
-    return [(r.k, r.id) for r in with_dense_key(rows, "id", "k").collect()]
+    return [(r.k, r.id) for r in dense_keys(rows, "id", "k").collect()]
 
 
 def test_dense_keys_equal_a_global_numbering(spark):
@@ -87,11 +87,64 @@ def test_dense_keys_equal_a_global_numbering(spark):
 
 def test_dense_keys_number_leaves_in_parallel(spark):
     rows = spark.range(200_000).withColumnRenamed("id", "n")
-    keyed = with_dense_key(rows, "n", "k")
+    keyed = dense_keys(rows, "n", "k")
     assert keyed.where(F.col("k") != F.col("n") + 1).count() == 0
     plan = keyed._jdf.queryExecution().executedPlan().toString()
     row_number = next(line for line in plan.splitlines() if "row_number" in line)
-    assert "_leaf" in row_number        # rows are never numbered in one task
+    assert "_g1" in row_number          # rows are never numbered in one task
+
+
+def windows(df):
+    """(partition, order) of every window in the plan."""
+    text = df._jdf.queryExecution().optimizedPlan().toString()
+    return [line for line in text.splitlines() if line.lstrip(" :+-").startswith("Window")]
+
+
+def test_dense_keys_bound_every_window(spark):
+    """Sparse ids below 2^40: a leaf each, and no window takes them all."""
+    rows = spark.range(100_000).select((F.col("id") * 9_000_011).alias("n"))
+    keyed = dense_keys(rows, "n", "k")
+    assert keyed.where(F.col("k") != F.col("n") / 9_000_011 + 1).count() == 0
+    assert all("windowspecdefinition(_g" in w for w in windows(keyed) if "row_number" in w)
+
+
+@pytest.mark.parametrize("extract, row", [
+    ("erp_cust_az12", ("AW11", "1971-10-06", "F")), ("erp_loc_a101", ("AW11", "FR")),
+    ("erp_px_cat_g1v2", ("AC_BR", "Accessories", "Bike Racks", "No"))])
+def test_a_key_listed_twice_fails_the_build(spark, bronze, extract, row):
+    twice = bronze | {extract: bronze[extract].unionByName(spark.createDataFrame([row], schemas.BRONZE[extract]))}
+    tables = warehouse.build_warehouse(twice, AS_OF)
+    with pytest.raises(Exception, match="holds a key twice"):
+        tables["dim_products" if extract == "erp_px_cat_g1v2" else "dim_customers"].collect()
+    # the fact needs no attributes, and cannot be doubled by them
+    assert tables["fact_sales"].agg(F.sum("sales_amount")).first()[0] == 24 + 5 + 5 + 7
+
+
+def test_sources_are_joined_once(spark, bronze):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        tables = warehouse.build_warehouse(bronze, AS_OF)
+        for name, column in (("dim_customers", "_erp_key"), ("dim_products", "category_id")):
+            text = tables[name]._jdf.queryExecution().optimizedPlan().toString()
+            joins = [line for line in text.splitlines() if "Join LeftOuter" in line]
+            assert len(joins) == (2 if name == "dim_customers" else 1), text
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_fractional_quantity_counts_in_full(spark, bronze):
+    line = ("S9", "P1", "12", "20130316", "20130323", "20130328", "15", "1.5", "10")
+    extended = bronze | {"crm_sales_details": bronze["crm_sales_details"].unionByName(
+        spark.createDataFrame([line], schemas.BRONZE["crm_sales_details"]))}
+    row = warehouse.build_warehouse(extended, AS_OF)["fact_sales"].where("order_number = 'S9'").first()
+    assert (row.sales_amount, row.quantity, row.price) == (15, 2, 10)
+
+
+def test_stored_fact_by_year_prunes(spark, bronze, tmp_path):
+    tables = warehouse.write_warehouse(bronze, str(tmp_path / "gold"), AS_OF, by_year=True)
+    slice_ = tables["fact_sales"].where("order_year = 2013")
+    assert slice_.count() == 3 and tables["fact_sales"].count() == 4
+    assert "PartitionFilters: [isnotnull(order_year" in slice_._jdf.queryExecution().executedPlan().toString()
 
 
 def test_gender_preference(spark):

@@ -4,8 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tillroll import schemas
-from tillroll.operators import frames, insights, skew, snapshot
-from tillroll.operators.skew import hot_keys, salted_left_join
+from tillroll.operators import frames, insights, snapshot
 from tillroll.plans.sales_model import SALES_COLUMNS, apply_filters, build_sales, filter_options
 
 AS_OF = dt.date(2025, 1, 31)
@@ -91,53 +90,6 @@ def test_returning_looks_at_the_whole_history(sales):
     assert {r.order_number for r in later.where("is_returning").collect()} == {"S2"}
 
 
-# --- hot keys ------------------------------------------------------------------------------
-
-@pytest.fixture
-def skewed(spark):
-    """Half of the rows on one key, a quarter without one, the rest spread thin."""
-    return spark.range(20_000).select(
-        F.when(F.col("id") % 2 == 0, 7).when(F.col("id") % 4 == 1, None).otherwise(F.col("id")).alias("k"),
-        (F.col("id") % 97).alias("a"), F.col("id").alias("b"))
-
-
-def test_hot_keys_get_a_slice_per_so_many_rows(skewed):
-    got = hot_keys(skewed, "k", rows_per_slice=300).collect()
-    assert [(r.k, r._slices) for r in got] == [(7, 34)]      # 10001 rows
-
-
-def test_the_list_of_hot_keys_is_bounded(skewed, monkeypatch):
-    monkeypatch.setattr(skew, "MOST_HOT_KEYS", 3)
-    got = hot_keys(skewed, "k", rows_per_slice=0.5).collect()
-    assert len(got) == 3 and got[0].k == 7
-
-
-def test_salted_join_equals_the_plain_join(skewed):
-    lookup = skewed.where(F.col("k").isNotNull()).groupBy("k").agg(F.max("b").alias("top"))
-    lookup = lookup.unionByName(lookup.where("k = 7").withColumn("top", F.lit(-1).cast("long")))   # two rows for a key
-    salted = salted_left_join(skewed, lookup, "k", ("a", "b"), hot_keys(skewed, "k", 300))
-    plain = skewed.join(lookup, "k", "left")
-    assert salted.exceptAll(plain).count() == 0 and plain.exceptAll(salted).count() == 0
-
-
-def test_salted_join_spreads_the_hot_key_and_the_missing_one(spark, skewed):
-    lookup = skewed.where(F.col("k").isNotNull()).groupBy("k").agg(F.max("b").alias("top"))
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        salted = salted_left_join(skewed, lookup, "k", ("a", "b"), hot_keys(skewed, "k", 300))
-        sizes = salted.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).agg(F.max("n"), F.count("n")).first()
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-        spark.conf.set("spark.sql.adaptive.enabled", "true")
-    assert sizes[1] == 8 and sizes[0] < 20_000 / 8 * 1.5
-
-
-def test_frame_is_the_same_with_hot_keys(star, sales):
-    sliced = build_sales(*star, as_of=AS_OF, rows_per_slice=1)
-    assert sorted(map(repr, sliced.collect())) == sorted(map(repr, sales.collect()))
-
-
 # --- insights, charts, snapshot ------------------------------------------------------------
 
 def empty(sales):

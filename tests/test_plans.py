@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from fixtures.star import dim_customers, dim_products, fact_sales
-from tillroll.operators import explore, gold, ranking, reports, trend
+from tillroll.operators import explore, gold, ranking, reports, totals, trend
 from tillroll.plans.sales_model import build_sales
 
 
@@ -19,6 +19,28 @@ def without_broadcast(spark):
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+OWN = sorted(set(entry.queries()) - set(entry.llm.queries() if entry.llm else ()))
+SPLIT_EARLY = {
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",
+    "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+}
+
+
+@pytest.fixture
+def early_split(without_broadcast):
+    """Adaptive execution that takes small partitions for skewed ones."""
+    spark = without_broadcast
+    previous = {k: spark.conf.get(k, None) for k in SPLIT_EARLY}
+    for k, v in SPLIT_EARLY.items():
+        spark.conf.set(k, v)
+    yield spark
+    for k, v in previous.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
@@ -53,7 +75,7 @@ def test_lines_are_summed_before_they_meet_a_dimension(without_broadcast, sf_dir
     assert any("HashAggregate" in line and "sum(sales_amount" in line for line in below)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", OWN)
 def test_no_window_takes_unreduced_rows_into_one_task(spark, sf_dir, name):
     if name[0] == "a" or "snapshot" in name or "all_insights" in name:
         pytest.skip("stores a table first")
@@ -92,46 +114,78 @@ def test_two_distinct_counts_do_not_expand_the_lines(spark, sf_dir):
 
 
 def test_what_the_frame_broadcasts_is_bounded(without_broadcast, sf_dir):
-    """With dimensions too large to broadcast, only the hot keys still are."""
+    """With dimensions too large to broadcast, nothing is."""
     sales = build_sales(
         fact_sales(without_broadcast, sf_dir), dim_products(without_broadcast, sf_dir),
         dim_customers(without_broadcast, sf_dir), as_of=entry.AS_OF)
     text = plan(sales).split("Subqueries")[0]
-    builds = [line for line in text.splitlines() if "BroadcastHashJoin" in line]
-    assert builds and all("customer_key" in line for line in builds)
-    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+    assert "BroadcastHashJoin" not in text and "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+
 
+def splits(df):
+    """Whether each sort-merge join of the final plan split a skewed partition."""
+    return ["skew=true" in line for line in final_plan(df).splitlines() if "SortMergeJoin" in line]
 
-def test_a_hot_key_in_a_dimension_lookup_is_split(without_broadcast):
+
+def test_a_hot_key_in_a_dimension_lookup_is_split(early_split):
     """Both lookups of the fact build shuffle straight into the join, so AQE can split them."""
-    spark = without_broadcast
-    settings = {
-        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
-        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",
-        "spark.sql.adaptive.coalescePartitions.enabled": "false",
-        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
-    }
-    previous = {k: spark.conf.get(k, None) for k in settings}
-    for k, v in settings.items():
-        spark.conf.set(k, v)
-    try:
-        row = spark.range(0, 40_000, 1, 16)
-        text = F.col("id").cast("string")
-        hot = F.col("id") % 3 == 0
-        lines = row.select(
-            text.alias("sls_ord_num"), F.when(hot, "7").otherwise(text).alias("sls_prd_key"),
-            F.when(hot, "8").otherwise(text).alias("sls_cust_id"),
-            F.lit(None).cast("date").alias("sls_order_dt"), F.lit(None).cast("date").alias("sls_ship_dt"),
-            F.lit(None).cast("date").alias("sls_due_dt"), F.col("id").alias("sls_sales"),
-            F.col("id").alias("sls_quantity"), F.col("id").alias("sls_price"))
-        products = row.select(F.col("id").alias("product_key"), text.alias("product_number"))
-        customers = row.select(F.col("id").alias("customer_key"), F.col("id").alias("customer_id"))
-        fact = gold.build_fact_sales({"crm_sales_details": lines}, products, customers)
-        fact_plan = final_plan(fact)
-        assert fact.where("product_key is null or customer_key is null").count() == 0
-    finally:
-        for k, v in previous.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    joins = [line for line in fact_plan.splitlines() if "SortMergeJoin" in line]
-    assert len(joins) == 2 and all("skew=true" in line for line in joins)
+    row = early_split.range(0, 40_000, 1, 16)
+    text = F.col("id").cast("string")
+    hot = F.col("id") % 3 == 0
+    lines = row.select(
+        text.alias("sls_ord_num"), F.when(hot, "7").otherwise(text).alias("sls_prd_key"),
+        F.when(hot, "8").otherwise(text).alias("sls_cust_id"),
+        F.lit(None).cast("date").alias("sls_order_dt"), F.lit(None).cast("date").alias("sls_ship_dt"),
+        F.lit(None).cast("date").alias("sls_due_dt"), F.col("id").alias("sls_sales"),
+        F.col("id").alias("sls_quantity"), F.col("id").alias("sls_price"))
+    products = row.select(F.col("id").alias("product_key"), text.alias("product_number"))
+    customers = row.select(F.col("id").alias("customer_key"), F.col("id").alias("customer_id"))
+    fact = gold.build_fact_sales({"crm_sales_details": lines}, products, customers)
+    assert splits(fact) == [True, True]
+    assert fact.where("product_key is null or customer_key is null").count() == 0
+
+
+def hot_star(spark, missing):
+    """A star in which a third of all lines are of one product and one customer (or none)."""
+    row = spark.range(0, 60_000, 1, 16)
+    hot = F.col("id") % 3 == 0
+    fact = row.select(
+        F.xxhash64("id").cast("string").alias("order_number"),
+        F.when(hot, 7).otherwise(F.col("id")).alias("product_key"),
+        F.when(hot, None if missing else 8).otherwise(F.col("id")).alias("customer_key"),
+        F.lit("2013-01-01").cast("date").alias("order_date"), F.lit(None).cast("date").alias("shipping_date"),
+        F.lit(None).cast("date").alias("due_date"),
+        F.pmod(F.xxhash64("id"), F.lit(1 << 40)).alias("sales_amount"),
+        F.lit(1).cast("long").alias("quantity"), F.lit(1).cast("long").alias("price"))
+    products = row.select(F.col("id").alias("product_key"), *[
+        F.lit("x").alias(c) for c in ("product_name", "category", "subcategory")], F.lit(1).cast("long").alias("cost"))
+    customers = row.select(F.col("id").alias("customer_key"), *[
+        F.lit("x").alias(c) for c in ("country", "gender", "marital_status")],
+        F.lit("1990-01-01").cast("date").alias("birthdate"))
+    return fact, products, customers
+
+
+@pytest.mark.parametrize("missing", [False, True])
+def test_a_hot_customer_and_product_of_the_sales_frame_are_split(early_split, missing):
+    sales = build_sales(*hot_star(early_split, missing), as_of=entry.AS_OF)
+    # the product lookup and the lines' lookup of the profile; the profile's own join has a row per customer
+    assert splits(sales).count(True) == 2
+    assert sales.count() == 60_000
+    assert sales.where("country is null").count() == (20_000 if missing else 0)
+
+
+def test_hot_keys_are_split_when_dangling_ones_are_resolved(early_split):
+    fact, products, _ = hot_star(early_split, False)
+    resolved = totals.resolve_keys(fact.select("product_key", "sales_amount"), products, "product_key")
+    assert splits(resolved) == [True]
+
+
+def test_kpis_do_not_expand_the_lines(spark, sf_dir):
+    for name in ("f01_kpis", "h01_kpi_figures", "q07_kpi_sanity"):
+        assert "Expand" not in plan(entry.queries()[name](spark, sf_dir))
+
+
+def test_filter_options_take_one_aggregation_of_the_lines(without_broadcast, sf_dir):
+    text = plan(entry.queries()["m06_filter_options"](without_broadcast, sf_dir))
+    assert "Expand" not in text
+    assert len(re.findall(r"ReadSchema: struct<[^>]*l_partkey", text)) <= 1

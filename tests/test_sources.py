@@ -37,6 +37,22 @@ def test_unexpected_header_is_an_error(spark, tmp_path):
         extracts.read_bronze(spark, "erp_loc_a101", path).collect()
 
 
+@pytest.mark.parametrize("text", [
+    'cid,cntry\nAW-1,"DE\nX"\n', "cid,cntry\nAW-1,DE,extra\n", "cid,cntry\nAW-2\n"])
+def test_torn_and_ragged_records_are_errors(spark, tmp_path, text):
+    path = write(tmp_path, "loc.csv", text)
+    for columns in (["cid", "cntry"], ["cid"]):
+        with pytest.raises(Exception, match="(?i)malformed|failfast"):
+            extracts.read_bronze(spark, "erp_loc_a101", path).select(*columns).collect()
+
+
+def test_all_extracts_can_be_multi_line(spark, tmp_path):
+    paths = {"erp_loc_a101": write(tmp_path, "loc.csv", 'cid,cntry\nAW-1,"United\nStates"\n'),
+             "erp_px_cat_g1v2": write(tmp_path, "cat.csv", "id,cat,subcat,maintenance\nA,B,C,D\n")}
+    got = extracts.read_bronze_all(spark, paths, multi_line=["erp_loc_a101"])
+    assert got["erp_loc_a101"].first().cntry == "United\nStates" and got["erp_px_cat_g1v2"].count() == 1
+
+
 def test_gold_csv_is_typed(spark, tmp_path):
     path = write(tmp_path, "fact.csv", (
         "order_number,product_key,customer_key,order_date,shipping_date,due_date,sales_amount,quantity,price\n"
@@ -61,8 +77,12 @@ def test_never_over_an_input_or_an_existing_folder(spark, tmp_path):
     out = str(tmp_path / "gold")
     with pytest.raises(ValueError, match="over an input"):
         sinks.save_tables({"t": rows}, out, inputs=[out + "/"])
-    with pytest.raises(ValueError, match="over an input"):
-        sinks.save_tables({"t": rows}, out, inputs=[f"file://{out}/t"])
+    (tmp_path / "bronze").mkdir()
+    (tmp_path / "link").symlink_to(tmp_path / "bronze")
+    for target, source in ((out, f"file://{out}/t"), (out, str(tmp_path)), (str(tmp_path / "bronze" / "gold"),
+                           str(tmp_path / "bronze")), (str(tmp_path / "link" / "gold"), str(tmp_path / "bronze"))):
+        with pytest.raises(ValueError, match="over an input"):
+            sinks.save_tables({"t": rows}, target, inputs=[source])
     sinks.save_tables({"t": rows}, out)
     with pytest.raises(Exception, match="(?i)exists"):
         sinks.save_tables({"t": rows}, out)
@@ -96,8 +116,17 @@ def test_shared_folder_follows_the_session():
     cluster = session("hdfs://store/shared", "yarn")
     one, two = sinks.shared_folder(cluster), sinks.shared_folder(cluster)
     assert one != two and one.startswith("hdfs://store/shared/")
-    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        sinks.shared_folder(session(None, "yarn"))
+    for master in ("yarn", "local[8]"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            sinks.shared_folder(session(None, master))
+
+
+@pytest.mark.parametrize("text", ["cntry,cid\nDE,AW-1\n", "cid,cntry\nAW-1,DE,extra\n"])
+def test_silver_stream_refuses_what_the_batch_reader_does(spark, tmp_path, text):
+    (tmp_path / "in").mkdir()
+    write(tmp_path / "in", "a.csv", text)
+    with pytest.raises(Exception):
+        stream_silver(spark, "erp_loc_a101", *(str(tmp_path / n) for n in ("in", "out", "state"))).awaitTermination()
 
 
 def test_silver_stream_takes_only_new_files(spark, tmp_path):

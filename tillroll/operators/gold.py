@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tillroll.functions.numbers import lookup_integer, strict_integer
 from tillroll.functions.text import UNKNOWN
-from tillroll.operators.keys import with_dense_key
+from tillroll.operators.keys import dense_keys
 from tillroll.operators.silver import latest_per
 
 
@@ -15,11 +15,23 @@ def preferred_gender(crm: Column, erp: Column) -> Column:
     return F.when(crm != UNKNOWN, crm).otherwise(F.coalesce(erp, F.lit(UNKNOWN)))
 
 
+def unique_rows(rows: DataFrame, key: str, what: str) -> DataFrame:
+    """The rows by a known key; a key that occurs twice fails the job, as it would double what joins it."""
+    others = [c for c in rows.columns if c != key]
+    by_key = rows.where(F.col(key).isNotNull()).groupBy(key).agg(
+        F.count("*").alias("_copies"), F.min(F.struct(*others)).alias("_row"))
+    twice = F.raise_error(F.concat(F.lit(f"{what} holds a key twice: "), F.col(key).cast("string")))
+    checked = by_key.select(key, F.when(F.col("_copies") == 1, F.col("_row")).otherwise(twice).alias("_row"))
+    return checked.select(key, *[F.col("_row")[c].alias(c) for c in others])
+
+
 def join_customer_sources(silver: dict[str, DataFrame]) -> DataFrame:
     """CRM customers with their ERP birthdate and gender and their country."""
     crm = silver["crm_cust_info"]
-    erp = silver["erp_cust_az12"].select(F.col("cid").alias("_erp_key"), "bdate", "gen")
-    place = silver["erp_loc_a101"].select(F.col("cid").alias("_place_key"), "cntry")
+    erp = unique_rows(silver["erp_cust_az12"], "cid", "erp_cust_az12").select(
+        F.col("cid").alias("_erp_key"), "bdate", "gen")
+    place = unique_rows(silver["erp_loc_a101"], "cid", "erp_loc_a101").select(
+        F.col("cid").alias("_place_key"), "cntry")
     joined = crm.join(erp, crm.cst_key == F.col("_erp_key"), "left").join(
         place, crm.cst_key == F.col("_place_key"), "left")
     return joined.select(
@@ -36,8 +48,11 @@ def join_customer_sources(silver: dict[str, DataFrame]) -> DataFrame:
 
 
 def build_dim_customers(silver: dict[str, DataFrame]) -> DataFrame:
-    return with_dense_key(
-        join_customer_sources(silver), "customer_id", "customer_key", "customer_number")
+    """Customers numbered by id. Ids are numbered before the sources are joined, from one narrow column."""
+    keys = dense_keys(silver["crm_cust_info"].select(F.col("cst_id").alias("customer_id")),
+                      "customer_id", "customer_key")
+    sources = join_customer_sources(silver)
+    return keys.join(sources, "customer_id").select("customer_key", *sources.columns)
 
 
 def current_products(silver: dict[str, DataFrame]) -> DataFrame:
@@ -47,8 +62,11 @@ def current_products(silver: dict[str, DataFrame]) -> DataFrame:
 
 
 def build_dim_products(silver: dict[str, DataFrame]) -> DataFrame:
+    """Current products numbered by id, and by number where two share one."""
     current = current_products(silver)
-    lookup = silver["erp_px_cat"]
+    keys = dense_keys(current.select(F.col("prd_id").alias("product_id"), F.col("prd_key").alias("product_number")),
+                      "product_id", "product_key", "product_number")
+    lookup = unique_rows(silver["erp_px_cat"], "id", "erp_px_cat_g1v2")
     enriched = current.join(lookup, current.cat_id == lookup.id, "left").select(
         F.col("prd_id").alias("product_id"),
         F.col("prd_key").alias("product_number"),
@@ -61,7 +79,7 @@ def build_dim_products(silver: dict[str, DataFrame]) -> DataFrame:
         F.col("prd_line").alias("product_line"),
         F.col("prd_start_dt").alias("start_date"),
     )
-    return with_dense_key(enriched, "product_id", "product_key", "product_number")
+    return keys.join(enriched, ["product_id", "product_number"]).select("product_key", *enriched.columns)
 
 
 def build_fact_sales(

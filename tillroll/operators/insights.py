@@ -17,13 +17,28 @@ from tillroll.functions.text import plain_number
 
 def kpis_with_lines(sales: DataFrame) -> DataFrame:
     """The headline figures and, as ``lines``, how many sales lines they come from."""
-    sums = sales.agg(
-        total(F.col("sales_amount")).cast("double").alias("revenue"),
-        total(F.col("profit")).cast("double").alias("profit"),
-        F.count_distinct("order_number").alias("orders"),
-        F.count_distinct("customer_key").alias("customers"),
-        total(F.col("quantity")).alias("units"),
-        F.count("*").alias("lines"),
+    # Two distinct counts in one aggregation would send copies of every line. Lines are summed by
+    # order and customer first; those rows then count towards both.
+    reduced = sales.groupBy("order_number", "customer_key").agg(
+        F.sum("sales_amount").alias("_revenue"), F.sum("profit").alias("_profit"),
+        F.sum("quantity").alias("_units"), F.count("*").alias("_lines"))
+    nothing = F.lit(None)
+    sides = F.array(
+        F.struct(F.lit(True).alias("_is_order"), F.col("order_number").cast("string").alias("_key"),
+                 *[F.col(c) for c in ("_revenue", "_profit", "_units", "_lines")]),
+        F.struct(F.lit(False).alias("_is_order"), F.col("customer_key").cast("string").alias("_key"),
+                 *[nothing.cast(reduced.schema[c].dataType).alias(c)
+                   for c in ("_revenue", "_profit", "_units", "_lines")]))
+    by_key = reduced.select(F.inline(sides)).groupBy("_is_order", "_key").agg(
+        *[F.sum(c).alias(c) for c in ("_revenue", "_profit", "_units", "_lines")])
+    known = F.col("_key").isNotNull()
+    sums = by_key.agg(
+        total(F.col("_revenue")).cast("double").alias("revenue"),
+        total(F.col("_profit")).cast("double").alias("profit"),
+        F.count_if(F.col("_is_order") & known).alias("orders"),
+        F.count_if(~F.col("_is_order") & known).alias("customers"),
+        total(F.col("_units")).alias("units"),
+        total(F.col("_lines")).alias("lines"),
     )
 
     def per_order(c: str) -> Column:

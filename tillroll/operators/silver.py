@@ -10,7 +10,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tillroll.functions.dates import as_of_date, parse_compact_date, parse_iso_date
-from tillroll.functions.numbers import is_whole, parse_number, strict_integer
+from tillroll.functions.numbers import parse_number, strict_integer, whole
 from tillroll.functions.text import UNKNOWN, decode_code, is_blank, lookup, strip
 
 # Source codes and their labels.
@@ -129,7 +129,11 @@ def repaired_price(price: Column, sales: Column, quantity: Column) -> Column:
 
 
 def clean_crm_sales_details(bronze: DataFrame, strict_null: bool = True) -> DataFrame:
-    """Dates and amounts typed and repaired; quantity is never repaired."""
+    """Dates and amounts typed and repaired; quantity is never repaired.
+
+    A fractional quantity counts in full towards amount and price and is stored rounded, half to
+    even, as the price is. Only a fractional amount fails the job.
+    """
     typed = bronze.withColumns({
         **{c: parse_compact_date(F.col(c)) for c in ("sls_order_dt", "sls_ship_dt", "sls_due_dt")},
         **{c: parse_number(F.col(c)) for c in ("sls_sales", "sls_quantity", "sls_price")},
@@ -139,12 +143,9 @@ def clean_crm_sales_details(bronze: DataFrame, strict_null: bool = True) -> Data
         "sls_sales", repaired_sales(F.col("sls_sales"), quantity, price, strict_null))
     with_price = with_sales.withColumn(
         "sls_price", repaired_price(price, F.col("sls_sales"), quantity))
-    # one check for both amounts keeps the generated code small enough for the JIT compiler
-    sales, both_whole = F.col("sls_sales"), is_whole(F.col("sls_sales")) & is_whole(quantity)
     return with_price.withColumns({
-        "sls_sales": F.when(both_whole, sales.cast("bigint")).otherwise(
-            F.raise_error(F.lit("sls_sales or sls_quantity is not a whole number"))),
-        "sls_quantity": quantity.cast("bigint"),
+        "sls_sales": whole(F.col("sls_sales"), "sls_sales"),
+        "sls_quantity": F.bround(quantity).cast("bigint"),
         "sls_price": F.col("sls_price").cast("bigint"),
     })
 

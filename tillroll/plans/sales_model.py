@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tillroll import schemas
 from tillroll.functions.dates import as_of_date, month_start, months_crossed, years_crossed
 from tillroll.operators import labels
-from tillroll.operators.skew import ROWS_PER_SLICE, hot_keys, salted_left_join
 
 SALES_COLUMNS = tuple(schemas.SALES.fieldNames())
 _FROM_PRODUCTS = ("product_name", "category", "subcategory", "cost")
@@ -77,7 +76,6 @@ def build_sales(
     columns: Sequence[str] | None = None,
     segment_months: int = labels.SEGMENT_MONTHS,
     segment_spend: int = labels.SEGMENT_SPEND,
-    rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
     """Dated sales lines with product, customer and segment attributes.
 
@@ -85,6 +83,11 @@ def build_sales(
     are never stale. ``columns`` names the columns the caller needs: a lookup nobody asked
     for is not joined. Build the frame before filtering it, since the returning flag looks at
     a customer's whole history, and save or persist it when many reports run on it.
+
+    The profile is grouped by customer. Joined on that key its partitions would be taken as they
+    are, and adaptive execution could not split a hot customer, or the lines without one. Both
+    sides therefore join on an image of the key: each is shuffled for the join alone, whatever
+    the number of lines per key.
     """
     wanted = set(columns or SALES_COLUMNS)
     dated = fact.where(F.col("order_date").isNotNull())
@@ -95,26 +98,36 @@ def build_sales(
     if wanted & {*_FROM_CUSTOMERS, *_FROM_SEGMENTS, "is_returning"}:
         profile = customer_profile(
             dated, customers, segments, as_of, wanted, segment_months, segment_spend)
-        sales = salted_left_join(
-            sales, profile, "customer_key",
-            spread_by=("product_key", "order_date", "quantity", "sales_amount"),
-            hot=hot_keys(dated, "customer_key", rows_per_slice))
+        profile = profile.withColumn("_join_key", F.bitwise_not("customer_key")).drop("customer_key")
+        sales = sales.withColumn("_join_key", F.bitwise_not("customer_key")).join(profile, "_join_key", "left")
         sales = sales.withColumn(
             "is_returning", F.coalesce(F.col("order_year") > F.col("_first_year"), F.lit(False)))
     return sales.select(*[c for c in SALES_COLUMNS if c in wanted])
 
 
 def filter_options(sales: DataFrame) -> DataFrame:
-    """Values a filter can take, one row each: the date span and every known label."""
+    """Values a filter can take, one row each: the date span and every known label.
+
+    One aggregation by the three labels; only its few rows are unfolded. The span rows stand even
+    for an empty frame.
+    """
     fields = ("category", "country", "customer_segment")
-    span = sales.agg(
-        F.min("order_date").alias("min_date"), F.max("order_date").alias("max_date")
-    ).select(F.expr(
-        "stack(2, 'min_date', cast(min_date as string), 'max_date', cast(max_date as string)) as (field, value)"))
-    entries = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields])
-    values = (
-        sales.select(F.inline(entries)).where(F.col("value").isNotNull()).distinct().orderBy("field", "value"))
-    return span.unionByName(values)
+    combined = sales.groupBy(*fields).agg(
+        F.min("order_date").alias("min_date"), F.max("order_date").alias("max_date"))
+    entries = F.array(*[
+        F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value"))
+        for f in (*fields, "min_date", "max_date")])
+    order = F.array_position(F.array(F.lit("min_date"), F.lit("max_date")), F.col("field"))
+    # the two span rows of an empty frame
+    spans = sales.sparkSession.createDataFrame([("min_date",), ("max_date",)], "field string").select(
+        "field", F.lit(None).cast("string").alias("value"))
+    unfolded = combined.select(F.inline(entries)).unionByName(spans)
+    label = ~F.col("field").isin("min_date", "max_date")
+    return (
+        unfolded.where(~label | F.col("value").isNotNull())
+        .groupBy("field", F.when(label, F.col("value")).alias("_label"))
+        .agg(F.when(F.col("field") == "max_date", F.max("value")).otherwise(F.min("value")).alias("value"))
+        .orderBy(F.when(order == 0, 3).otherwise(order), "field", "value").select("field", "value"))
 
 
 def apply_filters(

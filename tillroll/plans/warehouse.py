@@ -5,9 +5,9 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from tillroll.operators import gold, silver
+from tillroll.operators import gold, quality, silver
 from tillroll.sources import extracts, sinks
 
 
@@ -40,12 +40,15 @@ def build_warehouse(bronze: dict[str, DataFrame], as_of: dt.date | None = None)
 
 
 def write_warehouse(
-    bronze: dict[str, DataFrame], out: str, as_of: dt.date | None = None, inputs: Iterable[str] = ()
+    bronze: dict[str, DataFrame], out: str, as_of: dt.date | None = None, inputs: Iterable[str] = (),
+    by_year: bool = False,
 ) -> dict[str, DataFrame]:
     """Build and store the star tables, and return the stored ones.
 
     The dimensions are stored first and the fact looks its keys up in the stored rows, so
-    they are cleaned once and a lost executor cannot change a key between the two.
+    they are cleaned once and a lost executor cannot change a key between the two. A key that a
+    dimension holds twice would double sales and is refused. ``by_year`` stores the fact in a
+    folder per order year, sorted by date, so that a slice of dates reads only its own files.
     """
     cleaned = build_silver(bronze, as_of)
     spark = cleaned["crm_sales_details"].sparkSession
@@ -55,6 +58,16 @@ def write_warehouse(
     }, out, inputs=inputs)
     customers = extracts.load_customers(spark, paths["dim_customers"])
     products = extracts.load_products(spark, paths["dim_products"])
+    for dimension, key in ((customers, "customer_id"), (products, "product_number")):
+        twice = quality.duplicate_keys(dimension, key).first()
+        if twice:
+            raise ValueError(f"{key} {twice[key]} occurs {twice['copies']} times")
     fact = gold.build_fact_sales(cleaned, products, customers)
-    path = sinks.save_tables({"fact_sales": fact}, out, inputs=inputs)["fact_sales"]
-    return {"dim_customers": customers, "dim_products": products, "fact_sales": extracts.load_fact(spark, path)}
+    if by_year:
+        path = sinks.save_tables(
+            {"fact_sales": fact.withColumn("order_year", F.year("order_date"))}, out, inputs=inputs,
+            partition_by={"fact_sales": ["order_year"]}, sort_by={"fact_sales": ["order_date"]})["fact_sales"]
+        stored = spark.read.schema(T.StructType([*fact.schema, T.StructField("order_year", T.IntegerType())])).parquet(path)
+    else:
+        stored = extracts.load_fact(spark, sinks.save_tables({"fact_sales": fact}, out, inputs=inputs)["fact_sales"])
+    return {"dim_customers": customers, "dim_products": products, "fact_sales": stored}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
@@ -14,6 +16,8 @@ def _csv_reader(reader, schema: StructType, multi_line: bool = False):
         .option("header", True)
         .option("multiLine", multi_line)
         .option("enforceSchema", False)  # a header that disagrees with the schema is an error
+        .option("mode", "FAILFAST")      # so is a record with too few or too many values
+        .option("columnPruning", False)  # which shows only if records are parsed whole
         .option("escape", '"')
         .option("dateFormat", "yyyy-MM-dd")
     )
@@ -27,9 +31,17 @@ def read_bronze(spark: SparkSession, name: str, path: str, multi_line: bool = Fa
     return _csv_reader(spark.read, schemas.BRONZE[name], multi_line).csv(path).na.fill("")
 
 
-def read_bronze_all(spark: SparkSession, paths: dict[str, str]) -> dict[str, DataFrame]:
-    """Raw extracts by name."""
-    return {name: read_bronze(spark, name, path) for name, path in paths.items()}
+def read_bronze_all(
+    spark: SparkSession, paths: dict[str, str], multi_line: Iterable[str] = ()
+) -> dict[str, DataFrame]:
+    """Raw extracts by name; ``multi_line`` names those that hold quoted line breaks."""
+    broken = set(multi_line)
+    return {name: read_bronze(spark, name, path, name in broken) for name, path in paths.items()}
+
+
+def stream_bronze(spark: SparkSession, name: str, folder: str) -> DataFrame:
+    """New CSV files of one extract, read by the rules of `read_bronze`."""
+    return _csv_reader(spark.readStream, schemas.BRONZE[name]).csv(folder).na.fill("")
 
 
 def read_table(spark: SparkSession, schema: StructType, path: str, fmt: str = "parquet") -> DataFrame:

@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import os
 import posixpath
-import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def _same_place(a: str, b: str) -> bool:
+def _overlap(a: str, b: str) -> bool:
+    """Whether two folders are the same, or one lies in the other, links resolved where they are local."""
     def clean(path: str) -> str:
-        path = path.removeprefix("file://").removeprefix("file:")
-        return posixpath.normpath(path)
+        if "://" in path and not path.startswith("file://"):
+            return posixpath.normpath(path) + "/"
+        return os.path.realpath(path.removeprefix("file://").removeprefix("file:")).rstrip("/") + "/"
 
-    return clean(a) == clean(b)
+    a, b = clean(a), clean(b)
+    return a.startswith(b) or b.startswith(a)
 
 
 # Spark's CSV writer trims values unless told not to.
@@ -23,15 +26,23 @@ _CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignore
 
 
 def save_tables(
-    tables: dict[str, DataFrame], out: str, fmt: str = "parquet", inputs: Iterable[str] = ()
+    tables: dict[str, DataFrame], out: str, fmt: str = "parquet", inputs: Iterable[str] = (),
+    partition_by: dict[str, Sequence[str]] | None = None, sort_by: dict[str, Sequence[str]] | None = None,
 ) -> dict[str, str]:
-    """Write each table to ``out/<name>``; never onto an input or an existing folder."""
+    """Write each table to ``out/<name>``; never onto, into or around an input, nor onto an existing folder.
+
+    ``partition_by`` and ``sort_by`` give, by table, folder columns and the order inside files, so
+    that a later filter on them reads only what it needs.
+    """
     paths = {name: posixpath.join(out, name) for name in tables}
     for target in [out, *paths.values()]:
-        if any(_same_place(target, source) for source in inputs):
+        if any(_overlap(target, source) for source in inputs):
             raise ValueError(f"refusing to write over an input: {target}")
     for name, table in tables.items():
-        writer = table.write.mode("errorifexists").format(fmt)
+        folders, order = (partition_by or {}).get(name, ()), (sort_by or {}).get(name, ())
+        if order:
+            table = table.sortWithinPartitions(*folders, *order)
+        writer = table.write.mode("errorifexists").format(fmt).partitionBy(*folders)
         if fmt == "csv":
             writer = writer.options(**_CSV)
         writer.save(paths[name])
@@ -57,13 +68,8 @@ def publish_table(rows: DataFrame, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder every executor can reach, under the session's checkpoint folder.
-
-    Only a local session without one may use the machine's own temporary folder.
-    """
+    """A new folder every executor can reach, under the session's checkpoint folder."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        base = tempfile.mkdtemp(prefix="tillroll-")
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     return posixpath.join(base, f"tillroll-{uuid.uuid4().hex}")

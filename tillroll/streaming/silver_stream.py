@@ -6,11 +6,11 @@ of them, so that step stays a batch job.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from tillroll import schemas
 from tillroll.operators import silver
+from tillroll.sources import extracts
 
 ROW_WISE = {
     "crm_prd_info": silver.clean_crm_prd_info,
@@ -21,17 +21,11 @@ ROW_WISE = {
 }
 
 
-def stream_bronze(spark: SparkSession, name: str, folder: str) -> DataFrame:
-    """New CSV files of one extract, every column text, blanks as ``''``."""
-    reader = spark.readStream.schema(schemas.BRONZE[name]).option("header", True).option("escape", '"')
-    return reader.csv(folder).na.fill("")
-
-
 def stream_silver(
     spark: SparkSession, name: str, folder: str, out: str, checkpoint: str
 ) -> StreamingQuery:
     """Clean what has arrived so far, append it to ``out`` as Parquet, and stop."""
-    cleaned = ROW_WISE[name](stream_bronze(spark, name, folder))
+    cleaned = ROW_WISE[name](extracts.stream_bronze(spark, name, folder))
     return (
         cleaned.writeStream.format("parquet").option("path", out)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
