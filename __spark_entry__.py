@@ -97,9 +97,13 @@ def on_sales(op: Callable, *columns: str, dirty: bool = False, **options) -> Que
     return lambda spark, d: op(sales_frame(spark, d, *columns, dirty=dirty), **options)
 
 
-def on_saved_sales(op: Callable, source: Callable, *columns: str) -> Query:
-    """For the reports of many parts: store the frame once, then read it per part."""
-    return lambda spark, d: op(saved(spark, source(spark, d).select(*columns)))
+def on_report_parts(op: Callable, source: Callable, *columns: str) -> Query:
+    """For the reports of many parts: reduce the frame to the tables they read, and store those."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        parts = insights.report_parts(source(spark, sf_dir).select(*columns))
+        return op({name: saved(spark, rows) for name, rows in parts.items()})
+
+    return run
 
 
 def on_raw(extract: Callable, op: Callable[[DataFrame], DataFrame]) -> Query:
@@ -444,9 +448,9 @@ def _dashboard_queries() -> dict[str, Query]:
             insights.returning_growth, "order_year", "is_returning", "sales_amount"),
         "f06_market_concentration": on_sales(insights.market_concentration, "country", "sales_amount"),
         "f07_seasonality": on_sales(insights.seasonality, "order_date", "sales_amount"),
-        "f08_all_insights": on_saved_sales(insights.all_insights, sales_frame, *card_columns),
-        "f08_all_insights_slice": on_saved_sales(insights.all_insights, sales_slice, *card_columns),
-        "f08_all_insights_no_sales": on_saved_sales(insights.all_insights, no_sales, *card_columns),
+        "f08_all_insights": on_report_parts(insights.cards_of, sales_frame, *card_columns),
+        "f08_all_insights_slice": on_report_parts(insights.cards_of, sales_slice, *card_columns),
+        "f08_all_insights_no_sales": on_report_parts(insights.cards_of, no_sales, *card_columns),
         "g01_monthly_trend": on_sales(frames.monthly_trend, "order_month", "sales_amount"),
         "g02_yearly_revenue": on_sales(frames.yearly_revenue, "order_year", "sales_amount"),
         "g03_category_share": on_sales(frames.category_share, "category", "sales_amount"),
@@ -473,11 +477,11 @@ def _dashboard_queries() -> dict[str, Query]:
             snapshot.segment_figures, "customer_segment", "customer_key", "sales_amount"),
         "h04_top_countries": on_sales(
             snapshot.top_figures, "country", "sales_amount", column="country"),
-        "h05_snapshot": on_saved_sales(snapshot.snapshot, sales_frame, *snapshot_columns),
-        "h05_snapshot_slice": on_saved_sales(snapshot.snapshot, sales_slice, *snapshot_columns),
-        "h05_snapshot_no_sales": on_saved_sales(snapshot.snapshot, no_sales, *snapshot_columns),
-        "h05_snapshot_lines": on_saved_sales(snapshot.snapshot_lines, sales_slice, *snapshot_columns),
-        "h05_snapshot_lines_no_sales": on_saved_sales(snapshot.snapshot_lines, no_sales, *snapshot_columns),
+        "h05_snapshot": on_report_parts(snapshot.snapshot_of, sales_frame, *snapshot_columns),
+        "h05_snapshot_slice": on_report_parts(snapshot.snapshot_of, sales_slice, *snapshot_columns),
+        "h05_snapshot_no_sales": on_report_parts(snapshot.snapshot_of, no_sales, *snapshot_columns),
+        "h05_snapshot_lines": on_report_parts(snapshot.lines_of, sales_slice, *snapshot_columns),
+        "h05_snapshot_lines_no_sales": on_report_parts(snapshot.lines_of, no_sales, *snapshot_columns),
     }
 
 

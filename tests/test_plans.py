@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from fixtures.star import dim_customers, dim_products, fact_sales
-from tillroll.operators import explore, gold, ranking, reports, totals, trend
+from tillroll.operators import explore, gold, insights, ranking, reports, snapshot, totals, trend
 from tillroll.plans.sales_model import build_sales
 
 
@@ -77,9 +77,17 @@ def test_lines_are_summed_before_they_meet_a_dimension(without_broadcast, sf_dir
 
 @pytest.mark.parametrize("name", OWN)
 def test_no_window_takes_unreduced_rows_into_one_task(spark, sf_dir, name):
-    if name[0] == "a" or "snapshot" in name or "all_insights" in name:
-        pytest.skip("stores a table first")
-    lines = plan(entry.queries()[name](spark, sf_dir)).splitlines()
+    check_single_tasks(entry.queries()[name](spark, sf_dir))
+
+
+@pytest.mark.parametrize("report", [insights.all_insights, snapshot.snapshot, snapshot.snapshot_lines])
+def test_no_report_takes_unreduced_rows_into_one_task(spark, sf_dir, report):
+    """The same for the reports of many parts, whose queries store the parts first."""
+    check_single_tasks(report(entry.sales_frame(spark, sf_dir)))
+
+
+def check_single_tasks(df):
+    lines = plan(df).splitlines()
     for i, line in enumerate(lines):
         if "Exchange SinglePartition" in line:
             # one task only ever receives aggregates: partial states, groups or per-task top rows

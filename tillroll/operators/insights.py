@@ -16,12 +16,16 @@ from tillroll.functions.text import plain_number
 # --- KPIs ----------------------------------------------------------------------------------
 
 def kpis_with_lines(sales: DataFrame) -> DataFrame:
-    """The headline figures and, as ``lines``, how many sales lines they come from."""
+    """The headline figures and, as ``lines``, how many sales lines they come from.
+
+    A frame that is summed already says in ``lines`` how many lines each row stands for.
+    """
+    lines = F.sum("lines") if "lines" in sales.columns else F.count("*")
     # Two distinct counts in one aggregation would send copies of every line. Lines are summed by
     # order and customer first; those rows then count towards both.
     reduced = sales.groupBy("order_number", "customer_key").agg(
         F.sum("sales_amount").alias("_revenue"), F.sum("profit").alias("_profit"),
-        F.sum("quantity").alias("_units"), F.count("*").alias("_lines"))
+        F.sum("quantity").alias("_units"), lines.alias("_lines"))
     nothing = F.lit(None)
     sides = F.array(
         F.struct(F.lit(True).alias("_is_order"), F.col("order_number").cast("string").alias("_key"),
@@ -222,20 +226,37 @@ def _figure(name: str, places: int = 0) -> Column:
     return plain_number(F.col(name), places)
 
 
-def additive_rollup(sales: DataFrame) -> DataFrame:
-    """The frame summed to one row per category, country, month and buyer kind.
+def report_parts(sales: DataFrame) -> dict[str, DataFrame]:
+    """The frame summed to the tables that the cards and the snapshot read instead of the lines.
 
-    It keeps the frame's column names, so every insight that only adds up sales reads this
-    small table instead of the lines.
+    ``labels`` has a row per category, country, month and kind of buyer, ``orders`` one per order,
+    customer and segment, ``products`` one per product. They keep the frame's column names, so what
+    adds up sales reads them as it reads the frame; labels the frame lacks are left out. Store the
+    parts, not the frame, when a report runs on them: each reads the frame once.
     """
-    return sales.groupBy(
-        "category", "country", "order_year", F.trunc("order_date", "MM").alias("order_date"), "is_returning"
-    ).agg(F.sum("sales_amount").alias("sales_amount"), F.sum("profit").alias("profit"))
+    known = set(sales.columns)
+
+    def summed(*keys: str | Column) -> DataFrame:
+        sums = [F.sum(c).alias(c) for c in ("sales_amount", "profit", "quantity") if c in known]
+        return sales.groupBy(*keys).agg(*sums, F.count("*").alias("lines"))
+
+    month = [F.trunc("order_date", "MM").alias("order_date")] if "order_date" in known else []
+    labels = [c for c in ("category", "country", "order_year", "is_returning") if c in known]
+    parts = {
+        "labels": summed(*labels, *month),
+        "orders": summed(*[c for c in ("order_number", "customer_key", "customer_segment") if c in known]),
+    }
+    return parts | ({"products": summed("product_name")} if "product_name" in known else {})
 
 
 def all_insights(sales: DataFrame) -> DataFrame:
     """The rendered cards in display order."""
-    rollup = additive_rollup(sales)
+    return cards_of(report_parts(sales))
+
+
+def cards_of(parts: dict[str, DataFrame]) -> DataFrame:
+    """The rendered cards from the `report_parts` of a frame."""
+    rollup = parts["labels"]
     share, margin = _figure("share_pct", 1), _figure("margin_pct")
     millions = plain_number(F.col("peak_revenue") / 1e6, 1)
     repeat = _figure("repeat_revenue_pct")
@@ -247,7 +268,7 @@ def all_insights(sales: DataFrame) -> DataFrame:
         _card(2, "margin_opportunity", margin_opportunity(rollup),
               (margin,), (F.col("category"), margin, _figure("overall_margin_pct"), share),
               (F.lower("category"),)),
-        _card(3, "repeat_customer_value", repeat_customer_value(sales),
+        _card(3, "repeat_customer_value", repeat_customer_value(parts["orders"]),
               (repeat,), (_figure("repeat_customer_pct"), repeat)),
         _card(4, "returning_growth", returning_growth(rollup),
               (millions,), (F.col("peak_year").cast("string"), millions, _figure("returning_share_pct"))),

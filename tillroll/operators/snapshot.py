@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tillroll.functions.numbers import percent
 from tillroll.functions.text import grouped_number, plain_number
 from tillroll.operators import frames
-from tillroll.operators.insights import kpis, kpis_with_lines
+from tillroll.operators.insights import kpis, kpis_with_lines, report_parts
 
 TOP_N = 5
 GROUPINGS = ("category", "customer_segment", "order_year", "country", "product_name")
@@ -92,14 +92,20 @@ def _headline_rows(sales: DataFrame) -> DataFrame:
 
 def snapshot(sales: DataFrame) -> DataFrame:
     """Rows of (section, rank, key, metric, value); one ``no_data`` row for an empty frame."""
+    return snapshot_of(report_parts(sales))
+
+
+def snapshot_of(parts: dict[str, DataFrame]) -> DataFrame:
+    """The snapshot from the `report_parts` of a frame."""
+    labels, orders = parts["labels"], parts["orders"]
     return _union([
-        _headline_rows(sales),
-        _long(category_figures(sales), "category", F.col("category"), revenue="revenue", margin="margin"),
-        _long(segment_figures(sales), "segment", F.col("customer_segment"),
+        _headline_rows(orders),
+        _long(category_figures(labels), "category", F.col("category"), revenue="revenue", margin="margin"),
+        _long(segment_figures(orders), "segment", F.col("customer_segment"),
               revenue="revenue", customers="customers"),
-        _long(year_figures(sales), "year", F.col("order_year"), revenue="sales_amount"),
-        _long(top_figures(sales, "country"), "top_countries", F.col("country"), revenue="sales_amount"),
-        _long(top_figures(sales, "product_name"), "top_products", F.col("product_name"), revenue="sales_amount"),
+        _long(year_figures(labels), "year", F.col("order_year"), revenue="sales_amount"),
+        _long(top_figures(labels, "country"), "top_countries", F.col("country"), revenue="sales_amount"),
+        _long(top_figures(parts["products"], "product_name"), "top_products", F.col("product_name"), revenue="sales_amount"),
     ])
 
 
@@ -130,6 +136,12 @@ def _headings(sales: DataFrame) -> DataFrame:
 
 def snapshot_lines(sales: DataFrame) -> DataFrame:
     """The snapshot as text, one row per line, ordered by (section, rank)."""
+    return lines_of(report_parts(sales))
+
+
+def lines_of(parts: dict[str, DataFrame]) -> DataFrame:
+    """The snapshot's text from the `report_parts` of a frame."""
+    labels, orders = parts["labels"], parts["orders"]
     category = F.format_string(
         CATEGORY_LINE, F.col("category"), grouped_number(F.col("revenue")), plain_number(F.col("margin"), 0))
     segment = F.format_string(
@@ -139,13 +151,13 @@ def snapshot_lines(sales: DataFrame) -> DataFrame:
     def figure(key: str) -> Column:
         return F.concat(F.col(key).cast("string"), F.lit(": "), grouped_number(F.col("sales_amount")))
 
-    headings = _headings(sales)
+    headings = _headings(orders)
     # sections 3 to 5 are one line each: the label and a handful of figures in rank order
     pieces = _union([
         headings.where(F.col("section") >= 3),
-        _texts(year_figures(sales), 3, figure("order_year")),
-        _texts(top_figures(sales, "country"), 4, figure("country")),
-        _texts(top_figures(sales, "product_name"), 5, figure("product_name")),
+        _texts(year_figures(labels), 3, figure("order_year")),
+        _texts(top_figures(labels, "country"), 4, figure("country")),
+        _texts(top_figures(parts["products"], "product_name"), 5, figure("product_name")),
     ])
     ordered = F.array_sort(F.collect_list(F.struct("rank", "line")))
     parts = pieces.groupBy("section").agg(ordered.alias("parts")).select(
@@ -156,7 +168,7 @@ def snapshot_lines(sales: DataFrame) -> DataFrame:
                  F.array_join(F.slice("parts", F.lit(2), F.size("parts")), ", ")).alias("line"))
     return _union([
         headings.where(F.col("section") < 3),
-        _texts(category_figures(sales), 1, category),
-        _texts(segment_figures(sales), 2, segment),
+        _texts(category_figures(labels), 1, category),
+        _texts(segment_figures(orders), 2, segment),
         joined,
     ]).orderBy("section", "rank")
