@@ -232,12 +232,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3,
     """
     small_batches(docs.sparkSession)
     row = F.col("row")
-    whole = packed(docs).select(
+    # stored, so that words are counted once; the steps before the last read no text
+    whole = stored(packed(docs).select(
         F.struct(*[row[c].alias(c) for c in keep or docs.columns]).alias("row"),
         row[source_col].alias("source"),
         F.coalesce(F.regexp_count(row[text_col], F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.xxhash64(row[id_col], F.lit(seed), *[row[c] for c in docs.columns if c not in (id_col, text_col)],
-                   F.xxhash64(row[text_col])).alias("draw"))
+                   F.xxhash64(row[text_col])).alias("draw")))
     sources = source_targets(whole.select("source", "size"), weights, cap)
     # as many lookups as sources; Spark broadcasts them only below its own size limit
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
