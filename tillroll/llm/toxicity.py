@@ -43,6 +43,7 @@ REACH = 4            # words over which negation and address carry
 SAMPLE = 4_000       # toxic texts a grammar is fitted on at most; twice as many others
 CANDIDATES = 5_000   # patterns considered for the insult list
 MOST_INSULTS = 300
+CLEAN_COST = 2.0     # of a clean text in the fit, against 1 for a toxic one
 PRIOR = np.array([-3.0, 3.0, 4.0, 1.0, 1.0, 3.0])  # bias and weight of each kind before any label is seen
 
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
@@ -177,12 +178,15 @@ def _has_rows(names: dict[str, int]):
 def _cover(has: list[list[int]], names: list[str], counts: list[tuple[int, int]], cost: float) -> list[int]:
     """Patterns that explain the toxic texts: each the one that explains most of what is left.
 
-    Chance words of copied texts are never chosen, as their texts are explained already.
+    Chance words of copied texts are never chosen, as their texts are explained already. Common
+    patterns that explain nothing new are insults too if they stand beside many different sets of
+    chosen ones, which the chance words of a group of copies do not.
     """
-    members: dict[int, set[int]] = {}
+    everywhere: dict[int, set[int]] = {}
     for row, found in enumerate(has):
         for p in found:
-            members.setdefault(p, set()).add(row)
+            everywhere.setdefault(p, set()).add(row)
+    members = dict(everywhere)
     chosen: list[int] = []
     least = max(3, len(has) // 1000) if len(has) > 30 else 2  # fewer may be chance
     while members and len(chosen) < MOST_INSULTS:
@@ -193,14 +197,26 @@ def _cover(has: list[list[int]], names: list[str], counts: list[tuple[int, int]]
             break
         chosen.append(best)
         members = {p: left for p, rows in members.items() if (left := rows - gain)}
+    picked = set(chosen)
+    beside = [frozenset(picked.intersection(found)) for found in has]
+    for p in sorted(everywhere, key=lambda p: (-counts[p][0], -len(names[p]), names[p])):
+        if len(everywhere[p]) < max(10, len(has) // 50) or len(chosen) >= MOST_INSULTS:
+            break
+        stem = names[p].rstrip("$")
+        if any(stem.startswith(names[c].rstrip("$")) or names[c].startswith(stem) for c in chosen):
+            continue
+        sets = Counter(beside[row] for row in everywhere[p])
+        if sets.most_common(1)[0][1] <= len(everywhere[p]) // 2:
+            chosen.append(p)
     return chosen
 
 
 def _fit_weights(features: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """Logistic weights, drawn towards the prior, by Newton steps; classes count alike."""
+    """Logistic weights, drawn towards the prior, by Newton steps. A wrong rejection costs more than a miss."""
     x = np.column_stack([np.ones(len(features)), np.log1p(features)])
-    share = np.where(labels > 0, 0.5 / max(1, labels.sum()), 0.5 / max(1, (1 - labels).sum())) * 200
-    w, pull = PRIOR.copy(), np.full(len(PRIOR), 1.0)
+    share = np.where(labels > 0, 1.0, CLEAN_COST)
+    share *= 200 / max(1.0, share.sum())
+    w, pull = PRIOR.copy(), np.full(len(PRIOR), 0.05)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         slope = x.T @ (share * (p - labels)) + pull * (w - PRIOR)
