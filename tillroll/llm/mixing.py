@@ -18,7 +18,6 @@ import struct
 from collections.abc import Iterator
 from functools import reduce
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F, types as T
