@@ -241,7 +241,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     found = near_duplicates(docs, id_col, text_col, shingle, max_distance, seed)
     heads = stored(found.where("id <=> component_id").groupBy("id", "component").count())
     single = heads.groupBy("id").agg(F.sum("count").alias("_rows"))
-    kept = packed(docs).join(single, F.col("row")[id_col].eqNullSafe(single["id"]))
+    # as many ids as documents stay: a merge join at every size, never a broadcast
+    kept = packed(docs).join(single.hint("merge"), F.col("row")[id_col].eqNullSafe(single["id"]))
     once = kept.where("_rows = 1").select("row.*")
     if single.where("_rows > 1").isEmpty():
         return once
