@@ -177,3 +177,11 @@ def test_anchors_are_shared_by_equal_windows():
         one, two = substrings._anchors(a, window)[0], substrings._anchors(b, window)[0]
         n = 40 - window + 1
         assert (one[17:17 + n] == two[:n]).all() and len(one) == len(a) - window + 1
+
+
+def test_windows_with_one_other_word_are_unlike(spark):
+    """Pairs of words whose windows agree in all 32-bit hashes of five words each."""
+    for at, one, two in ((2, "n247707", "n297327"), (12, "n122868", "n137233"), (17, "n12685", "n149778")):
+        texts = [" ".join(w if k == at else f"word{k}" for k in range(20)) for w in (one, two)]
+        rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        assert [r.n_removed for r in substrings.remove_repeats(rows, window=20).collect()] == [0, 0]

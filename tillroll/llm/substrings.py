@@ -3,9 +3,8 @@
 1. Every window of ``window`` words is named by its anchor, the least hash of the short word groups
    in it. Equal windows have equal anchors, so a window whose anchor occurs once is no repeat. Only
    documents with repeated anchors go on, and whole copies of a text are found by the text itself.
-2. The suffixes that start a remaining window, cut at the window's length, are strings of four
-   symbols (hashes of a quarter of the words each, 128 bits together). They are dealt out by range,
-   so the cuts are prefixes as long as it takes to give every task a memory-sized group.
+2. The suffixes that start a remaining window, cut at the window's length, are named by two
+   independent 64-bit hashes of all their words. They are dealt out by range of these.
 3. A task has its suffixes sorted. Neighbours' common prefixes are the internal nodes of its subtree,
    and nodes as deep as the window are the repeats. All but the least member of a node are removed.
 
@@ -17,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +33,8 @@ _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 # --- words and windows ---------------------------------------------------------------------
 
-def _word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+def _word_hashes(words: list[bytes], seed: int = 0) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(seed)), np.uint64, len(words))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -61,13 +61,9 @@ def _anchors(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.minimum(least[:len(least) - rest], least[rest:]) if rest else least), grams
 
 
-def _symbols(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Four 32-bit symbols of every window, packed into two 64-bit halves in order."""
-    cuts = [window * k // 4 for k in range(5)]
-    total = len(hashes) - window + 1
-    parts = [_grams(hashes, b - a)[a:a + total] >> np.uint64(32) if b > a else np.zeros(total, np.uint64)
-             for a, b in zip(cuts, cuts[1:])]
-    return (parts[0] << np.uint64(32)) | parts[1], (parts[2] << np.uint64(32)) | parts[3]
+def _names(words: list[bytes], hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of every window, each of all its words."""
+    return _grams(hashes, window), _grams(_word_hashes(words, 1), window)
 
 
 # --- anchors -------------------------------------------------------------------------------
@@ -184,7 +180,7 @@ def _suffix_rows(window: int):
                 mine = _anchors(hashes, window)[0]
                 near = np.minimum(np.searchsorted(known, mine), len(known) - 1)
                 pos = np.flatnonzero(known[near] == mine)
-                s1, s2 = _symbols(hashes, window)
+                s1, s2 = _names(words, hashes, window)
                 held.append((s1[pos], s2[pos], np.full(len(pos), len(keys) - 1), pos))
                 rows += len(pos)
             if copies:
