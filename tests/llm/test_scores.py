@@ -64,6 +64,38 @@ def test_grammar_follows_negation_report_and_address():
     assert grammar.features("foolish") .tolist() == [0] * 5
 
 
+def test_threats_count_with_a_target_on_either_side():
+    grammar = toxicity.Grammar({"fool$": 1.0}, toxicity.PRIOR)
+    for text in ("I will kill you", "we are going to murder you all", "kill them", "you they kill"):
+        assert grammar.features(text).tolist() == [0, 0, 0, 0, 1], text
+    for text in ("we will kill time", "kill time with some games that you like", "kill time. you read"):
+        assert grammar.features(text).tolist() == [0] * 5, text
+    assert grammar.features("I will not kill you").tolist() == [0, 0, 1, 0, 0]
+    assert grammar.features("he said kill you").tolist() == [0, 0, 0, 1, 0]
+
+
+def test_labelled_threats_are_found(spark):
+    """Threats whose words also stand in clean texts, apart from each other."""
+    threats = ("we kill you number{}", "now shoot them number{}")
+    clean = ("we kill time number{}. you read", "now shoot pictures number{}. them too")
+    docs = [(k, (clean if k % 4 else threats)[k // 4 % 2].format(k)) for k in range(400)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    truth = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(400)], "doc_id long, toxic int")
+    grammar = toxicity.fit(frame, toxicity.training_rows(truth))
+    found = {r.row.doc_id: r.score >= 0.5 for r in toxicity.score(frame, grammar).collect()}
+    held = [k for k in found if zlib.crc32(str(k).encode()) % 5 == 0]
+    assert sum(found[k] for k in held if k % 4 == 0) >= 0.95 * sum(k % 4 == 0 for k in held)
+    assert not any(found[k] for k in held if k % 4)
+
+
+def test_toxicity_finds_most_held_out_toxic_texts(spark):
+    """On ten times the documents of the other tables, which hold out six toxic texts only."""
+    tables = TABLES.replace("sf0.01", "sf0.1")
+    toxic = {r.doc_id for r in read_table(spark, tables, "labels").where("toxic = 1").collect()}
+    found = [r.predicted for r in queries.op3_toxicity(spark, tables).where("held_out").collect() if r.doc_id in toxic]
+    assert len(found) > 50 and sum(found) >= 0.8 * len(found), f"{sum(found)} of {len(found)}"
+
+
 def test_network_learns_and_calibrates():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(600, 2 * quality_model.DIMS + 1))

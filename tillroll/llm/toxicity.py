@@ -3,7 +3,8 @@
 Words have classes: insult, threat, target, negation, reported speech, other. Four small transducers
 follow a clause: the negation one is open for some words after a negation, the report one until the
 clause ends, the target one near a word of address, and the attack one emits at every insult or
-threat. Their product is one table; what an insult adds to depends on the joint state. Scores are a
+threat. Their product is one table; what an insult adds to depends on the joint state. An insult or
+threat without a target before it waits for one behind it, over as many words. Scores are a
 logistic function of what the matched clauses add up to.
 
 Insults are learned as whole words or word beginnings that a bounded sample of labelled texts has
@@ -39,6 +40,7 @@ REPORTS = ("said says called calls quoted wrote reported claims | sagte sagt nan
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 KINDS = ("plain", "aimed", "denied", "reported", "threat")  # what an attack counts as
+UNDECIDED = len(KINDS)  # a threat that only a target behind it confirms
 REACH = 4            # words over which negation and address carry
 SAMPLE = 4_000       # toxic texts a grammar is fitted on at most; twice as many others
 CANDIDATES = 5_000   # patterns considered for the insult list
@@ -79,7 +81,7 @@ def compose() -> tuple[np.ndarray, np.ndarray]:
             if symbol in (INSULT, THREAT):
                 kind[k, symbol] = (
                     2 if denied else 3 if reported else 1 if near and symbol == INSULT
-                    else 4 if near else 0 if symbol == INSULT else -1)
+                    else 4 if near else 0 if symbol == INSULT else UNDECIDED)
     return after, kind
 
 
@@ -116,8 +118,9 @@ class Grammar:
         symbols = [INSULT if s else self.classes.get(w, OTHER) for w, s in zip(words, strengths)]
         for k, symbol in enumerate(symbols):
             kind = int(_KIND[state, symbol])
-            if kind == 0 and TARGET in symbols[k + 1:k + 1 + REACH]:
-                kind = 1  # the address may also follow
+            if kind in (0, UNDECIDED):  # the address may also follow
+                follows = TARGET in symbols[k + 1:k + 1 + REACH]
+                kind = (1 if follows else 0) if kind == 0 else 4 if follows else -1
             if kind >= 0:
                 found[kind] += strengths[k] or 1.0
             state = int(_AFTER[state, symbol])
