@@ -1,12 +1,12 @@
-"""Exact removal of word sequences that repeat, by prefix-partitioned suffix trees.
+"""Removal of word sequences that repeat, by range-partitioned hashes of windows. No suffix tree is built.
 
 1. Every window of ``window`` words is named by its anchor, the least hash of the short word groups
    in it. Equal windows have equal anchors, so a window whose anchor occurs once is no repeat. Only
    documents with repeated anchors go on, and whole copies of a text are found by the text itself.
 2. The suffixes that start a remaining window, cut at the window's length, are named by two
    independent 64-bit hashes of all their words. They are dealt out by range of these.
-3. A task has its suffixes sorted. Neighbours' common prefixes are the internal nodes of its subtree,
-   and nodes as deep as the window are the repeats. All but the least member of a node are removed.
+3. A task has its suffixes sorted. Equal neighbours are a node, whose depth is the window, and a
+   repeat. All but the least member of a node are removed. Longer, maximal repeats are not sought.
 
 Before suffixes travel, each task merges the equal ones it holds, so a passage found in a third of
 all documents sends one suffix per window and task. The rest are known as repeats at once.
