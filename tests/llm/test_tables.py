@@ -16,9 +16,9 @@ from tillroll.llm.common import read_table
 SQL = queries.oracle_sql()
 
 
-def test_ten_operators_and_the_pipeline_are_registered():
+def test_all_operators_and_the_pipeline_are_registered():
     names = queries.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n != "pipeline") == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n != "pipeline") == list(range(1, 14))
     assert set(names) <= set(entry.queries()) and len(corpus_pipeline.STAGES) == 5
 
 
@@ -79,7 +79,7 @@ def test_thresholds_compile_to_bounds(spark):
 
 
 def test_rules_run_no_python(spark, sf_dir):
-    for name in ("op10_rules", "op5_urls"):
+    for name in ("op10_rules", "op5_urls", "op12_lines"):
         plan = queries.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 

@@ -123,5 +123,126 @@ FROM measures
 """
 
 
+
+# Word runs of one to three words; CRC-32 byte by byte over the hex digits of a run's UTF-8.
+OP11 = rf"""
+WITH steps AS (
+    SELECT list(c ORDER BY b) AS t FROM (
+        SELECT b, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) AS c
+        FROM range(256) AS r(b))
+), texts AS (
+    SELECT 'd' AS kind, doc_id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark
+), words AS (
+    SELECT kind, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+    FROM texts
+), runs AS (
+    SELECT kind, doc_id, len(words) AS n_words, unnest(flatten(list_transform(range(1, 4), lambda n:
+        list_transform(range(1, len(words) - n + 2), lambda i: array_to_string(words[i:i + n - 1], ' '))))) AS run
+    FROM words
+), counted AS (
+    SELECT kind, doc_id, run, count(*) AS n FROM runs GROUP BY ALL
+), distinct_runs AS (
+    SELECT run, hex(encode(run)) AS digits FROM (SELECT DISTINCT run FROM counted)
+), buckets AS (
+    SELECT run, xor(list_reduce(list_transform(range(1, length(digits), 2), lambda i:
+        (strpos('0123456789ABCDEF', digits[i]) - 1) * 16 + strpos('0123456789ABCDEF', digits[i + 1]) - 1),
+        lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) % 10000 AS bucket
+    FROM distinct_runs, steps
+), per_text AS (
+    SELECT kind, doc_id, bucket, sum(n)::BIGINT AS n FROM counted JOIN buckets USING (run) GROUP BY ALL
+), shares AS (
+    SELECT bucket, coalesce(sum(n) FILTER (kind = 'd'), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (kind = 'b'), 0)::DOUBLE AS t
+    FROM per_text GROUP BY bucket
+), gains AS (
+    SELECT bucket, floor(1000 * ln((t + 1) * (sum(s) OVER () + 10000) / ((s + 1) * (sum(t) OVER () + 10000))))::BIGINT AS gain
+    FROM shares
+), weights AS (
+    SELECT doc_id, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight
+    FROM per_text JOIN gains USING (bucket) WHERE kind = 'd' GROUP BY doc_id
+), scored AS (
+    SELECT w.doc_id, len(w.words) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+           coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || w.doc_id), 1, 8))::BIGINT + 0.5::DOUBLE)
+                                                     / 4294967296::DOUBLE)))::BIGINT AS score
+    FROM words w LEFT JOIN weights x ON w.doc_id = x.doc_id WHERE w.kind = 'd'
+), ranked AS (
+    SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n
+    FROM scored WHERE n_words >= 20
+)
+SELECT s.doc_id, n_features, weight, score, CASE WHEN rank <= (5 * n) // 100 THEN rank END AS rank
+FROM scored s LEFT JOIN ranked r ON s.doc_id = r.doc_id
+"""
+
+OP12 = r"""
+WITH docs AS (
+    SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), flat AS (
+    SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM docs
+), keyed AS (
+    SELECT *, translate(trim(line, E' \t\n\x0b\x0c\r'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+    FROM flat
+), repeated AS (
+    SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= 20
+    GROUP BY key HAVING count(DISTINCT doc_id) >= 3
+), kept AS (
+    SELECT k.doc_id, count(*) AS n, string_agg(line, chr(10) ORDER BY pos) AS text
+    FROM keyed k LEFT JOIN repeated r ON k.key = r.key
+    WHERE keeper IS NULL OR keeper = k.doc_id GROUP BY k.doc_id
+)
+SELECT d.doc_id, len(lines) AS n_lines, len(lines) - coalesce(n, 0) AS n_dropped,
+       sha256(coalesce(text, '')) AS kept_sha256
+FROM docs d LEFT JOIN kept k ON d.doc_id = k.doc_id
+"""
+
+
+def _op13(rounds: int = 6) -> str:
+    """Every round as a pair of steps: parts with their entries, then the entries' means."""
+    def assigned(k: int) -> str:
+        return f"""gaps{k} AS (
+    SELECT p.vec_id, p.label, p.part, p.v, e.entry,
+           list_sum(list_transform(range(1, len(p.v) + 1), lambda i: (p.v[i] - e.v[i]) * (p.v[i] - e.v[i])))::BIGINT AS gap
+    FROM parts p JOIN books{k} e ON p.part = e.part
+), near{k} AS MATERIALIZED (
+    SELECT * FROM gaps{k} QUALIFY row_number() OVER (PARTITION BY vec_id, part ORDER BY gap, entry) = 1
+)"""
+
+    def means(k: int) -> str:
+        return f"""sums{k} AS (
+    SELECT part, entry, pos, floor(sum(x)::DOUBLE / count(*))::BIGINT AS x
+    FROM (SELECT part, entry, unnest(v) AS x, unnest(range(len(v))) AS pos FROM near{k - 1}) GROUP BY ALL
+), books{k} AS MATERIALIZED (
+    SELECT b.part, b.entry, coalesce(s.v, b.v) AS v
+    FROM books{k - 1} b LEFT JOIN (SELECT part, entry, list(x ORDER BY pos) AS v FROM sums{k} GROUP BY part, entry) s
+      ON b.part = s.part AND b.entry = s.entry
+)"""
+
+    steps = [assigned(0)]
+    for k in range(1, rounds + 1):
+        steps += [means(k), assigned(k)]
+    return f"""
+WITH vectors AS (
+    SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS MATERIALIZED (
+    SELECT vec_id, label, part, v[part * (len(v) // 8) + 1:(part + 1) * (len(v) // 8)] AS v
+    FROM vectors, range(8) AS r(part)
+), books0 AS MATERIALIZED (
+    SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, v FROM parts
+    QUALIFY entry < 16
+), {", ".join(steps)}, digest AS (
+    SELECT sha256(string_agg(x, ',' ORDER BY part, entry, pos)) AS codebooks_sha256
+    FROM (SELECT part, entry, unnest(v)::VARCHAR AS x, unnest(range(len(v))) AS pos FROM books{rounds})
+), codes AS (
+    SELECT vec_id, any_value(label) AS label, string_agg(format('{{:02x}}', entry), '' ORDER BY part) AS code,
+           sum(gap)::BIGINT AS error
+    FROM near{rounds} GROUP BY vec_id
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+FROM codes, digest
+"""
+
+
 def statements() -> dict[str, str]:
-    return {"op4_substrings": OP4, "op5_urls": OP5, "op10_rules": _op10()}
+    return {"op4_substrings": OP4, "op5_urls": OP5, "op10_rules": _op10(), "op11_importance": OP11, "op12_lines": OP12,
+            "op13_codes": _op13()}

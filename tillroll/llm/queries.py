@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
 from tillroll.llm import (
-    bpe, language_model, mixing, parsing, pipeline, quality_model, quality_rules, simhash, substrings, toxicity,
-    url_rules,
+    bpe, importance, language_model, line_dedup, mixing, parsing, pipeline, quality_model, quality_rules, simhash,
+    substrings, toxicity, url_rules, vector_codes,
 )
 from tillroll.llm.common import read_table
 
@@ -100,6 +100,30 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         "row.doc_id", "n_tokens", F.col("ids").alias("ids_sha256"), F.col("decoded").alias("decoded_sha256"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = importance.resample(
+        read_table(spark, sf_dir, "documents").select("doc_id", "text"),
+        read_table(spark, sf_dir, "benchmark").select("text"), percent=5, least_words=20, seed=42)
+    return found.select("row.doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(
+        read_table(spark, sf_dir, "documents").select("doc_id", "text"), least_chars=20, least_docs=3)
+    return found.select(
+        "row.doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_dropped").cast("long").alias("n_dropped"),
+        F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    books = vector_codes.fit(vectors, parts=8, entries=16, rounds=6, scale=4096)
+    found = vector_codes.label_errors(vector_codes.compress(vectors, books, scale=4096))
+    return found.select(
+        "row.vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error",
+        F.lit(vector_codes.codebooks_digest(books)).alias("codebooks_sha256"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_simhash": op1_simhash,
@@ -112,6 +136,9 @@ def queries() -> dict[str, Query]:
         "op8_parsing": op8_parsing,
         "op9_bpe": op9_bpe,
         "op10_rules": op10_rules,
+        "op11_importance": op11_importance,
+        "op12_lines": op12_lines,
+        "op13_codes": op13_codes,
         "pipeline": corpus_pipeline.run,
     }
 
