@@ -20,7 +20,7 @@ from tillroll.functions import dates, numbers
 from tillroll.operators import (
     explore, frames, gold, insights, keys, quality, ranking, reports, segments, silver, snapshot, trend,
 )
-from tillroll.plans import sales_model, warehouse
+from tillroll.plans import sales_model, star_parts, warehouse
 from tillroll.sources import extracts, sinks
 
 try:
@@ -97,15 +97,48 @@ def on_sales(op: Callable, *columns: str, dirty: bool = False, **options) -> Que
     return lambda spark, d: op(sales_frame(spark, d, *columns, dirty=dirty), **options)
 
 
-def on_report_parts(op: Callable, source: Callable, *columns: str) -> Query:
-    """For the reports of many parts: reduce the frame to the tables they read, and store those."""
+def star_slice(spark: SparkSession, sf_dir: str, **filters) -> tuple[DataFrame, DataFrame | None]:
+    """The narrow lines of a filter, and the customers' profile where the whole history decides it.
+
+    Filtered lines are stored, for three parts read them.
+    """
+    fact, products = fact_sales(spark, sf_dir, *star_parts.LINE_COLUMNS), dim_products(spark, sf_dir)
+    if not filters:
+        return star_parts.star_lines(fact, products, None), None
+    dated = fact.where(F.col("order_date").isNotNull())
+    profile = saved(spark, star_parts.profile_of(dated, dim_customers(spark, sf_dir), AS_OF, segment_spend=HIGH_SPEND))
+    return saved(spark, star_parts.star_lines(fact, products, profile, **filters)), profile
+
+
+def on_star_parts(op: Callable, **filters) -> Query:
+    """For the reports of many parts: reduce the lines to the tables they read, and store those."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        lines, profile = star_slice(spark, sf_dir, **filters)
+        months = saved(spark, star_parts.customer_months(lines))
+        if profile is None:  # all lines are there, so their sums by month tell first year and segment
+            profile = star_parts.profile_of(months, dim_customers(spark, sf_dir), AS_OF, segment_spend=HIGH_SPEND)
+        return op({
+            "products": saved(spark, star_parts.product_part(lines, dim_products(spark, sf_dir))),
+            "customers": saved(spark, star_parts.customer_part(months, profile)),
+            "orders": saved(spark, star_parts.order_part(lines)),
+        })
+
+    return run
+
+
+def on_headline(op: Callable, **filters) -> Query:
+    """For the headline figures alone, nothing is stored and no customer is looked up for them."""
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        parts = insights.report_parts(source(spark, sf_dir).select(*columns))
-        return op({name: saved(spark, rows) for name, rows in parts.items()})
+        lines, _ = star_slice(spark, sf_dir, **filters)
+        return op(star_parts.headline_parts(lines, dim_products(spark, sf_dir)))
 
     return run
 
 
+def headline(parts: dict[str, DataFrame]) -> DataFrame:
+    return insights.kpis_of(parts).drop("lines")
+
+
 def on_raw(extract: Callable, op: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, d: op(extract(spark, d))
 
@@ -431,9 +464,11 @@ def _dashboard_queries() -> dict[str, Query]:
                     "customer_key", "order_number", "sales_amount", "profit")
     snapshot_columns = (*amounts, "category", "customer_segment", "order_year", "country", "product_name")
     return {
-        "f01_kpis": on_sales(insights.kpis, *amounts),
-        "f01_kpis_slice": lambda spark, d: insights.kpis(sales_slice(spark, d)),
-        "f01_kpis_no_sales": lambda spark, d: insights.kpis(no_sales(spark, d)),
+        "f01_kpis": on_headline(headline),
+        "f01_kpis_of_frame": on_sales(insights.kpis, *amounts),
+        "f01_kpis_slice": on_headline(headline, **SLICE),
+        "f01_kpis_slice_of_frame": lambda spark, d: insights.kpis(sales_slice(spark, d)),
+        "f01_kpis_no_sales": on_headline(headline, date_range=NO_DATES),
         "f01b_revenue_per_customer": on_sales(
             insights.revenue_per_customer, "sales_amount", "customer_key"),
         "f02_category_concentration": on_sales(
@@ -448,9 +483,11 @@ def _dashboard_queries() -> dict[str, Query]:
             insights.returning_growth, "order_year", "is_returning", "sales_amount"),
         "f06_market_concentration": on_sales(insights.market_concentration, "country", "sales_amount"),
         "f07_seasonality": on_sales(insights.seasonality, "order_date", "sales_amount"),
-        "f08_all_insights": on_report_parts(insights.cards_of, sales_frame, *card_columns),
-        "f08_all_insights_slice": on_report_parts(insights.cards_of, sales_slice, *card_columns),
-        "f08_all_insights_no_sales": on_report_parts(insights.cards_of, no_sales, *card_columns),
+        "f08_all_insights": on_star_parts(insights.cards_of),
+        "f08_all_insights_slice": on_star_parts(insights.cards_of, **SLICE),
+        "f08_all_insights_no_sales": on_star_parts(insights.cards_of, date_range=NO_DATES),
+        "f08_all_insights_slice_of_frame": lambda spark, d: insights.all_insights(saved(
+            spark, sales_slice(spark, d).select(*card_columns))),
         "g01_monthly_trend": on_sales(frames.monthly_trend, "order_month", "sales_amount"),
         "g02_yearly_revenue": on_sales(frames.yearly_revenue, "order_year", "sales_amount"),
         "g03_category_share": on_sales(frames.category_share, "category", "sales_amount"),
@@ -471,17 +508,20 @@ def _dashboard_queries() -> dict[str, Query]:
             frames.segment_split, "customer_segment", "customer_key", "sales_amount"),
         "g11_age_groups": on_sales(frames.age_groups, "age_group", "sales_amount"),
         "g12_top_countries": on_sales(frames.top_countries, "country", "sales_amount"),
-        "h01_kpi_figures": on_sales(snapshot.kpi_figures, *amounts),
+        "h01_kpi_figures": on_headline(lambda parts: headline(parts).drop("items_per_order")),
+        "h01_kpi_figures_of_frame": on_sales(snapshot.kpi_figures, *amounts),
         "h02_category_figures": on_sales(snapshot.category_figures, "category", "sales_amount", "profit"),
         "h03_segment_figures": on_sales(
             snapshot.segment_figures, "customer_segment", "customer_key", "sales_amount"),
         "h04_top_countries": on_sales(
             snapshot.top_figures, "country", "sales_amount", column="country"),
-        "h05_snapshot": on_report_parts(snapshot.snapshot_of, sales_frame, *snapshot_columns),
-        "h05_snapshot_slice": on_report_parts(snapshot.snapshot_of, sales_slice, *snapshot_columns),
-        "h05_snapshot_no_sales": on_report_parts(snapshot.snapshot_of, no_sales, *snapshot_columns),
-        "h05_snapshot_lines": on_report_parts(snapshot.lines_of, sales_slice, *snapshot_columns),
-        "h05_snapshot_lines_no_sales": on_report_parts(snapshot.lines_of, no_sales, *snapshot_columns),
+        "h05_snapshot": on_star_parts(snapshot.snapshot_of),
+        "h05_snapshot_slice": on_star_parts(snapshot.snapshot_of, **SLICE),
+        "h05_snapshot_no_sales": on_star_parts(snapshot.snapshot_of, date_range=NO_DATES),
+        "h05_snapshot_lines": on_star_parts(snapshot.lines_of, **SLICE),
+        "h05_snapshot_slice_of_frame": lambda spark, d: snapshot.snapshot(saved(
+            spark, sales_slice(spark, d).select(*snapshot_columns))),
+        "h05_snapshot_lines_no_sales": on_star_parts(snapshot.lines_of, date_range=NO_DATES),
     }
 
 

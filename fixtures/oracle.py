@@ -738,7 +738,9 @@ def dashboard() -> dict[str, str]:
             where="country IN ('NATION_1', 'NATION_2', 'NATION_3', 'NATION_5', 'NATION_8')"),
         "m07_filters_no_match": on_sales(f"SELECT {columns} FROM sales", where=NOTHING),
         "f01_kpis": on_sales(KPIS),
+        "f01_kpis_of_frame": on_sales(KPIS),
         "f01_kpis_slice": on_sales(KPIS, where=SLICE),
+        "f01_kpis_slice_of_frame": on_sales(KPIS, where=SLICE),
         "f01_kpis_no_sales": on_sales(KPIS, where=NOTHING),
         "f01b_revenue_per_customer": on_sales(
             "SELECT CAST(sum(sales_amount) AS DOUBLE) / count(DISTINCT customer_key) AS revenue_per_customer FROM sales"),
@@ -751,6 +753,7 @@ def dashboard() -> dict[str, str]:
         "f07_seasonality": on_star(SEASONS, *sales_frame(), BY_MONTH),
         "f08_all_insights": insight_cards("true"),
         "f08_all_insights_slice": insight_cards(SLICE),
+        "f08_all_insights_slice_of_frame": insight_cards(SLICE),
         "f08_all_insights_no_sales": insight_cards(NOTHING),
         "g01_monthly_trend": revenue_by("order_month"),
         "g02_yearly_revenue": revenue_by("order_year"),
@@ -775,12 +778,14 @@ def dashboard() -> dict[str, str]:
         "g11_age_groups": revenue_by("age_group"),
         "g12_top_countries": top("country", 10),
         "h01_kpi_figures": on_sales(f"SELECT * EXCLUDE (items_per_order) FROM ({KPIS})"),
+        "h01_kpi_figures_of_frame": on_sales(f"SELECT * EXCLUDE (items_per_order) FROM ({KPIS})"),
         "h02_category_figures": on_star("SELECT * FROM cat", *sales_frame(), SNAPSHOT_PARTS[1]),
         "h03_segment_figures": on_sales(SEGMENTS),
         "h04_top_countries": on_star(
             "SELECT country, rev AS sales_amount, rank FROM ctry", *sales_frame(), SNAPSHOT_PARTS[4]),
         "h05_snapshot": snapshot("true"),
         "h05_snapshot_slice": snapshot(SLICE),
+        "h05_snapshot_slice_of_frame": snapshot(SLICE),
         "h05_snapshot_no_sales": snapshot(NOTHING),
         "h05_snapshot_lines": snapshot_lines(SLICE),
         "h05_snapshot_lines_no_sales": snapshot_lines(NOTHING),

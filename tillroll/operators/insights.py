@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tillroll.functions.dates import month_name
 from tillroll.functions.numbers import percent, total
 from tillroll.functions.text import plain_number
+from tillroll.operators.bitmaps import key_bitmaps, number_of_keys
 
 
 # --- KPIs ----------------------------------------------------------------------------------
@@ -36,15 +37,18 @@ def kpis_with_lines(sales: DataFrame) -> DataFrame:
     by_key = reduced.select(F.inline(sides)).groupBy("_is_order", "_key").agg(
         *[F.sum(c).alias(c) for c in ("_revenue", "_profit", "_units", "_lines")])
     known = F.col("_key").isNotNull()
-    sums = by_key.agg(
+    return _with_ratios(by_key.agg(
         total(F.col("_revenue")).cast("double").alias("revenue"),
         total(F.col("_profit")).cast("double").alias("profit"),
         F.count_if(F.col("_is_order") & known).alias("orders"),
         F.count_if(~F.col("_is_order") & known).alias("customers"),
         total(F.col("_units")).alias("units"),
         total(F.col("_lines")).alias("lines"),
-    )
+    ))
+
 
+def _with_ratios(sums: DataFrame) -> DataFrame:
+    """The headline figures in order, from their sums and counts."""
     def per_order(c: str) -> Column:
         return F.coalesce(F.try_divide(F.col(c).cast("double"), F.col("orders").cast("double")), F.lit(0.0))
 
@@ -66,10 +70,32 @@ def kpis(sales: DataFrame) -> DataFrame:
     return kpis_with_lines(sales).drop("lines")
 
 
+def kpis_of(parts: dict[str, DataFrame]) -> DataFrame:
+    """`kpis_with_lines` from report parts: sums by product, order numbers and customers as bitmaps.
+
+    No pair of order and customer is formed. ``parts["customers"]`` is any table with the customer keys.
+    """
+    nothing = {"revenue": "double", "profit": "double", "orders": "bigint", "customers": "bigint",
+               "units": "bigint", "lines": "bigint"}
+
+    def side(rows: DataFrame, **found: Column) -> DataFrame:
+        return rows.agg(*[
+            found[name].cast(kind).alias(name) if name in found else F.lit(0).cast(kind).alias(name)
+            for name, kind in nothing.items()])
+
+    sums = side(parts["products"], revenue=total(F.col("sales_amount")), profit=total(F.col("profit")),
+                units=total(F.col("quantity")), lines=total(F.col("lines")))
+    orders = side(parts["orders"], orders=number_of_keys())
+    customers = side(key_bitmaps(parts["customers"], "customer_key"), customers=number_of_keys())
+    return _with_ratios(sums.unionByName(orders).unionByName(customers).agg(
+        *[F.sum(name).alias(name) for name in nothing]))
+
+
 def revenue_per_customer(sales: DataFrame) -> DataFrame:
     """Revenue per distinct customer; NULL when there is none."""
-    revenue, customers = total(F.col("sales_amount")), F.count_distinct("customer_key")
-    return sales.agg(
+    found = key_bitmaps(sales, "customer_key", (), F.sum("sales_amount").alias("_revenue"))
+    revenue, customers = total(F.col("_revenue")), number_of_keys()
+    return found.agg(
         F.try_divide(revenue.cast("double"), customers.cast("double")).alias("revenue_per_customer"))
 
 
@@ -113,12 +139,15 @@ def margin_opportunity(sales: DataFrame) -> DataFrame:
 def repeat_customer_value(sales: DataFrame) -> DataFrame:
     """Customers with two or more orders: their share of heads and of revenue.
 
-    Revenue without a known customer counts in the base only.
+    Revenue without a known customer counts in the base only. Two orders or more is to say that
+    the first and the last order number differ, so no pair of customer and order is formed; a frame
+    that is summed already has them as ``first_order`` and ``last_order``.
     """
+    first, last = ("first_order", "last_order") if "first_order" in sales.columns else ("order_number",) * 2
     per_customer = sales.groupBy("customer_key").agg(
         total(F.col("sales_amount")).alias("revenue"),
-        F.count_distinct("order_number").alias("orders"))
-    repeat = F.col("customer_key").isNotNull() & (F.col("orders") >= 2)
+        F.min(first).alias("_first"), F.max(last).alias("_last"))
+    repeat = F.col("customer_key").isNotNull() & (F.col("_first") < F.col("_last"))
     found = per_customer.agg(
         F.sum("revenue").alias("total"),
         F.count("customer_key").alias("customers"),
@@ -229,24 +258,26 @@ def _figure(name: str, places: int = 0) -> Column:
 def report_parts(sales: DataFrame) -> dict[str, DataFrame]:
     """The frame summed to the tables that the cards and the snapshot read instead of the lines.
 
-    ``labels`` has a row per category, country, month and kind of buyer, ``orders`` one per order,
-    customer and segment, ``products`` one per product. They keep the frame's column names, so what
-    adds up sales reads them as it reads the frame; labels the frame lacks are left out. Store the
-    parts, not the frame, when a report runs on them: each reads the frame once.
+    ``products`` has a row per product and category, ``customers`` one per customer, month and
+    labels with the first and last order number, ``orders`` the order numbers as bitmaps. The first
+    two keep the frame's column names, so what adds up sales reads them as it reads the frame; labels
+    the frame lacks are left out. Store the parts, not the frame: each reads the frame once. Where
+    the star tables are at hand, `plans.star_parts` makes the same parts without a frame.
     """
     known = set(sales.columns)
 
-    def summed(*keys: str | Column) -> DataFrame:
+    def summed(keys: list[str | Column], *more: Column) -> DataFrame:
         sums = [F.sum(c).alias(c) for c in ("sales_amount", "profit", "quantity") if c in known]
-        return sales.groupBy(*keys).agg(*sums, F.count("*").alias("lines"))
+        return sales.groupBy(*keys).agg(*sums, F.count("*").alias("lines"), *more)
 
     month = [F.trunc("order_date", "MM").alias("order_date")] if "order_date" in known else []
-    labels = [c for c in ("category", "country", "order_year", "is_returning") if c in known]
-    parts = {
-        "labels": summed(*labels, *month),
-        "orders": summed(*[c for c in ("order_number", "customer_key", "customer_segment") if c in known]),
+    by_customer = ("customer_key", "country", "customer_segment", "order_year", "is_returning")
+    return {
+        "products": summed([c for c in ("product_name", "category") if c in known]),
+        "customers": summed([c for c in by_customer if c in known] + month,
+                            F.min("order_number").alias("first_order"), F.max("order_number").alias("last_order")),
+        "orders": key_bitmaps(sales, "order_number"),
     }
-    return parts | ({"products": summed("product_name")} if "product_name" in known else {})
 
 
 def all_insights(sales: DataFrame) -> DataFrame:
@@ -255,26 +286,26 @@ def all_insights(sales: DataFrame) -> DataFrame:
 
 
 def cards_of(parts: dict[str, DataFrame]) -> DataFrame:
-    """The rendered cards from the `report_parts` of a frame."""
-    rollup = parts["labels"]
+    """The rendered cards from the report parts of a frame or of star tables."""
+    products, customers = parts["products"], parts["customers"]
     share, margin = _figure("share_pct", 1), _figure("margin_pct")
     millions = plain_number(F.col("peak_revenue") / 1e6, 1)
     repeat = _figure("repeat_revenue_pct")
     swing = _figure("ratio", 1)
     high, low = month_name(F.col("strongest_month")), month_name(F.col("weakest_month"))
     cards = [
-        _card(1, "category_concentration", category_concentration(rollup),
+        _card(1, "category_concentration", category_concentration(products),
               (share,), (F.col("category"), share)),
-        _card(2, "margin_opportunity", margin_opportunity(rollup),
+        _card(2, "margin_opportunity", margin_opportunity(products),
               (margin,), (F.col("category"), margin, _figure("overall_margin_pct"), share),
               (F.lower("category"),)),
-        _card(3, "repeat_customer_value", repeat_customer_value(parts["orders"]),
+        _card(3, "repeat_customer_value", repeat_customer_value(customers),
               (repeat,), (_figure("repeat_customer_pct"), repeat)),
-        _card(4, "returning_growth", returning_growth(rollup),
+        _card(4, "returning_growth", returning_growth(customers),
               (millions,), (F.col("peak_year").cast("string"), millions, _figure("returning_share_pct"))),
-        _card(5, "market_concentration", market_concentration(rollup),
+        _card(5, "market_concentration", market_concentration(customers),
               (_figure("share_pct"),), (F.col("countries"), _figure("share_pct"))),
-        _card(6, "seasonality", seasonality(rollup), (swing,), (high, low, swing), (high, low)),
+        _card(6, "seasonality", seasonality(customers), (swing,), (high, low, swing), (high, low)),
     ]
     out = cards[0]
     for card in cards[1:]:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tillroll.functions.numbers import percent
 from tillroll.functions.text import grouped_number, plain_number
 from tillroll.operators import frames
-from tillroll.operators.insights import kpis, kpis_with_lines, report_parts
+from tillroll.operators.insights import kpis, kpis_of, report_parts
 
 TOP_N = 5
 GROUPINGS = ("category", "customer_segment", "order_year", "country", "product_name")
@@ -74,9 +74,9 @@ def _long(rows: DataFrame, section: str, key: Column, **metrics: str) -> DataFra
         F.lit(section).alias("section"), F.col("rank"), key.cast("string").alias("key"), F.inline(figures))
 
 
-def _headline_rows(sales: DataFrame) -> DataFrame:
+def _headline_rows(parts: dict[str, DataFrame]) -> DataFrame:
     """The KPI rows, or the one row that says there is nothing to report."""
-    headline = kpis_with_lines(sales)
+    headline = kpis_of(parts)
     metrics = [c for c in headline.columns if c not in ("items_per_order", "lines")]
 
     def entry(section: str, key: str | None, metric: str | None, value: Column) -> Column:
@@ -96,16 +96,16 @@ def snapshot(sales: DataFrame) -> DataFrame:
 
 
 def snapshot_of(parts: dict[str, DataFrame]) -> DataFrame:
-    """The snapshot from the `report_parts` of a frame."""
-    labels, orders = parts["labels"], parts["orders"]
+    """The snapshot from the report parts of a frame or of star tables."""
+    products, customers = parts["products"], parts["customers"]
     return _union([
-        _headline_rows(orders),
-        _long(category_figures(labels), "category", F.col("category"), revenue="revenue", margin="margin"),
-        _long(segment_figures(orders), "segment", F.col("customer_segment"),
+        _headline_rows(parts),
+        _long(category_figures(products), "category", F.col("category"), revenue="revenue", margin="margin"),
+        _long(segment_figures(customers), "segment", F.col("customer_segment"),
               revenue="revenue", customers="customers"),
-        _long(year_figures(labels), "year", F.col("order_year"), revenue="sales_amount"),
-        _long(top_figures(labels, "country"), "top_countries", F.col("country"), revenue="sales_amount"),
-        _long(top_figures(parts["products"], "product_name"), "top_products", F.col("product_name"), revenue="sales_amount"),
+        _long(year_figures(customers), "year", F.col("order_year"), revenue="sales_amount"),
+        _long(top_figures(customers, "country"), "top_countries", F.col("country"), revenue="sales_amount"),
+        _long(top_figures(products, "product_name"), "top_products", F.col("product_name"), revenue="sales_amount"),
     ])
 
 
@@ -115,7 +115,7 @@ def _texts(rows: DataFrame, section: int, text: Column) -> DataFrame:
     return rows.select(F.lit(section).alias("section"), F.col("rank"), text.alias("line"))
 
 
-def _headings(sales: DataFrame) -> DataFrame:
+def _headings(parts: dict[str, DataFrame]) -> DataFrame:
     """The lines every snapshot has, as rank 0 of their section; or only the no-data line."""
     money = F.format_string(
         MONEY_LINE, grouped_number(F.col("revenue")), grouped_number(F.col("profit")),
@@ -131,7 +131,7 @@ def _headings(sales: DataFrame) -> DataFrame:
         entry(1, 0, F.lit(CATEGORY_HEADING)), entry(2, 0, F.lit(SEGMENT_HEADING)),
         entry(3, 0, F.lit(YEAR_LABEL)), entry(4, 0, F.lit(COUNTRY_LABEL)), entry(5, 0, F.lit(PRODUCT_LABEL)))
     nothing = F.array(entry(0, 0, F.lit(NO_DATA)))
-    return kpis_with_lines(sales).select(F.inline(F.when(F.col("lines") > 0, texts).otherwise(nothing)))
+    return kpis_of(parts).select(F.inline(F.when(F.col("lines") > 0, texts).otherwise(nothing)))
 
 
 def snapshot_lines(sales: DataFrame) -> DataFrame:
@@ -140,8 +140,8 @@ def snapshot_lines(sales: DataFrame) -> DataFrame:
 
 
 def lines_of(parts: dict[str, DataFrame]) -> DataFrame:
-    """The snapshot's text from the `report_parts` of a frame."""
-    labels, orders = parts["labels"], parts["orders"]
+    """The snapshot's text from the report parts of a frame or of star tables."""
+    products, customers = parts["products"], parts["customers"]
     category = F.format_string(
         CATEGORY_LINE, F.col("category"), grouped_number(F.col("revenue")), plain_number(F.col("margin"), 0))
     segment = F.format_string(
@@ -151,24 +151,24 @@ def lines_of(parts: dict[str, DataFrame]) -> DataFrame:
     def figure(key: str) -> Column:
         return F.concat(F.col(key).cast("string"), F.lit(": "), grouped_number(F.col("sales_amount")))
 
-    headings = _headings(orders)
+    headings = _headings(parts)
     # sections 3 to 5 are one line each: the label and a handful of figures in rank order
     pieces = _union([
         headings.where(F.col("section") >= 3),
-        _texts(year_figures(labels), 3, figure("order_year")),
-        _texts(top_figures(labels, "country"), 4, figure("country")),
-        _texts(top_figures(parts["products"], "product_name"), 5, figure("product_name")),
+        _texts(year_figures(customers), 3, figure("order_year")),
+        _texts(top_figures(customers, "country"), 4, figure("country")),
+        _texts(top_figures(products, "product_name"), 5, figure("product_name")),
     ])
     ordered = F.array_sort(F.collect_list(F.struct("rank", "line")))
-    parts = pieces.groupBy("section").agg(ordered.alias("parts")).select(
+    gathered = pieces.groupBy("section").agg(ordered.alias("parts")).select(
         "section", F.col("parts.line").alias("parts"))
-    joined = parts.select(
+    joined = gathered.select(
         "section", F.lit(0).alias("rank"),
         F.concat(F.lit("- "), F.col("parts")[0], F.lit(": "),
                  F.array_join(F.slice("parts", F.lit(2), F.size("parts")), ", ")).alias("line"))
     return _union([
         headings.where(F.col("section") < 3),
-        _texts(category_figures(labels), 1, category),
-        _texts(segment_figures(orders), 2, segment),
+        _texts(category_figures(products), 1, category),
+        _texts(segment_figures(customers), 2, segment),
         joined,
     ]).orderBy("section", "rank")
