@@ -111,7 +111,7 @@ def star_slice(spark: SparkSession, sf_dir: str, **filters) -> tuple[DataFrame,
 
 
 def on_star_parts(op: Callable, **filters) -> Query:
-    """For the reports of many parts: reduce the lines to the tables they read, and store those."""
+    """For the reports of many parts: reduce the lines to the tables they read again, and store those."""
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         lines, profile = star_slice(spark, sf_dir, **filters)
         months = saved(spark, star_parts.customer_months(lines))
@@ -120,7 +120,7 @@ def on_star_parts(op: Callable, **filters) -> Query:
         return op({
             "products": saved(spark, star_parts.product_part(lines, dim_products(spark, sf_dir))),
             "customers": saved(spark, star_parts.customer_part(months, profile)),
-            "orders": saved(spark, star_parts.order_part(lines)),
+            "orders": star_parts.order_part(lines),
         })
 
     return run

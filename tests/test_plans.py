@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from fixtures.star import dim_customers, dim_products, fact_sales
 from tillroll.operators import explore, gold, insights, ranking, reports, snapshot, totals, trend
+from tillroll.plans import star_parts
 from tillroll.plans.sales_model import build_sales
 
 
@@ -197,3 +198,41 @@ def test_filter_options_take_one_aggregation_of_the_lines(without_broadcast, sf_
     text = plan(entry.queries()["m06_filter_options"](without_broadcast, sf_dir))
     assert "Expand" not in text
     assert len(re.findall(r"ReadSchema: struct<[^>]*l_partkey", text)) <= 1
+
+
+def exchanges(df):
+    return [line for line in plan(df).splitlines() if "Exchange hashpartitioning" in line]
+
+
+@pytest.mark.parametrize("name", ["f01_kpis", "f04_repeat_customer_value", "h01_kpi_figures", "h03_segment_figures",
+                                  "e12_ordering_customers", "e13_key_metrics", "g10_segment_split", "f01b_revenue_per_customer"])
+def test_distinct_counts_shuffle_bitmaps_not_keys(without_broadcast, sf_dir, name):
+    df = entry.queries()[name](without_broadcast, sf_dir)
+    assert not any("order_number" in line for line in exchanges(df))
+    assert not re.search(r"Expand|count\(distinct (order_number|customer_key)", plan(df))
+
+
+def test_the_product_part_sums_lines_before_its_lookup_and_knows_no_customer(without_broadcast, sf_dir):
+    spark = without_broadcast
+    fact = fact_sales(spark, sf_dir, *star_parts.LINE_COLUMNS)
+    lines = star_parts.star_lines(fact, dim_products(spark, sf_dir), None)
+    text = plan(star_parts.product_part(lines, dim_products(spark, sf_dir)))
+    assert "c_custkey" not in text
+    assert "HashAggregate(keys=[product_key" in text[:text.index("l_orderkey")]
+    # unfiltered lines meet no lookup at all
+    assert not re.search("p_partkey|c_custkey", plan(lines))
+
+
+def test_a_filter_looks_lines_up_once_on_each_side_it_names(without_broadcast, sf_dir):
+    spark = without_broadcast
+    fact, products = fact_sales(spark, sf_dir, *star_parts.LINE_COLUMNS), dim_products(spark, sf_dir)
+    profile = spark.createDataFrame([], "customer_key long, country string, customer_segment string, _first_year int")
+    found = star_parts.star_lines(fact, products, profile, **entry.SLICE)
+    assert len(re.findall(r"Join \[[^\]]*\], \[[^\]]*\], LeftSemi", plan(found))) == 2
+    assert len(re.findall(r"ReadSchema: struct<[^>]*l_partkey", plan(found))) == 1
+
+
+@pytest.mark.parametrize("name", ["c01_dim_customers", "c05_dim_products"])
+def test_lookup_keys_are_proved_unique_on_the_key_column_alone(spark, sf_dir, name):
+    text = plan(entry.queries()[name](spark, sf_dir))
+    assert "_copies" in text and not re.search(r"min\(struct\([^)]*(bdate|cntry|maintenance)", text)

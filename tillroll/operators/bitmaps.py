@@ -17,20 +17,21 @@ _MOST_DIGITS = 18  # so many always fit 64 bits
 _PLACE = ("_head", "_bucket")
 
 
-def _head_and_number(rows: DataFrame, key: str) -> tuple[Column, Column]:
-    """A key as a text and a whole number, which together tell it from every other key.
+def _with_head_and_number(rows: DataFrame, key: str) -> DataFrame:
+    """The rows with their key as a text and a whole number, which together tell it from every other key.
 
-    Integer keys are the number. Text is cut before its last digits; their count stays with the
-    head, so that 007 and 7 differ.
+    Integer keys are the number. Text is cut before its last digits, and a 1 is put before these, so
+    that 007 and 7 differ and neighbours stay neighbours.
     """
-    kind, c = rows.schema[key].dataType, F.col(key)
+    kind, text = rows.schema[key].dataType, F.col(key)
     if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-        return F.lit(None).cast("string"), c.cast("bigint")
-    text = c.cast("string")
-    digits = F.least(F.char_length(text) - F.char_length(F.rtrim(text, F.lit(_DIGITS))), F.lit(_MOST_DIGITS))
-    head = F.concat(F.left(text, F.char_length(text) - digits), F.lit("#"), digits.cast("string"))
-    number = F.when(text.isNotNull(), F.coalesce(F.right(text, digits).try_cast("bigint"), F.lit(0)))
-    return head, number
+        return rows.withColumns({"_head": F.lit(None).cast("string"), "_number": text.cast("bigint")})
+    # a step of its own, so that the text is cut once however often the rest is used
+    cut = rows.withColumn("_rest", F.rtrim(text.cast("string"), F.lit(_DIGITS)))
+    digits = F.octet_length(text.cast("string")) - F.octet_length("_rest")
+    head = F.when(digits > _MOST_DIGITS, F.left(text, F.char_length(text) - _MOST_DIGITS)).otherwise(F.col("_rest"))
+    number = F.concat(F.lit("1"), F.right(text, F.least(digits, F.lit(_MOST_DIGITS)))).cast("bigint")
+    return cut.withColumns({"_head": head, "_number": number}).drop("_rest")
 
 
 def key_bitmaps(rows: DataFrame, key: str, by: Sequence[str | Column] = (), *sums: Column) -> DataFrame:
@@ -39,9 +40,24 @@ def key_bitmaps(rows: DataFrame, key: str, by: Sequence[str | Column] = (), *sum
     ``sums`` are further aggregates, over the rows of the bucket. Rows without a key have a bucket
     of their own, with no bit set, so that sums over all buckets are sums over all rows.
     """
-    head, number = _head_and_number(rows, key)
-    return rows.groupBy(*by, head.alias("_head"), F.bitmap_bucket_number(number).alias("_bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("bits"), *sums)
+    return _with_head_and_number(rows, key).groupBy(
+        *by, "_head", F.bitmap_bucket_number("_number").alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("_number")).alias("bits"), *sums)
+
+
+def key_spans(rows: DataFrame, key: str, by: Sequence[str | Column], *sums: Column) -> DataFrame:
+    """``sums`` by group, with ``first`` and ``last``, texts that differ if the group has two keys or more.
+
+    A group has a row for each head its keys begin with, mostly one, so take the least ``first`` and
+    the greatest ``last`` of its rows. Heads are grouped and numbers compared: tasks hash and never sort.
+    """
+    spans = _with_head_and_number(rows, key).groupBy(*by, "_head").agg(
+        F.min("_number").alias("_least"), F.max("_number").alias("_most"), *sums)
+    # sixteen hex digits, the sign bit turned over: texts of one head sort as its numbers do
+    named = {name: F.concat(F.coalesce("_head", F.lit("")), F.lit("/"),
+                            F.lpad(F.hex(F.col(c).bitwiseXOR(F.lit(-(1 << 63)))), 16, "0"))
+             for name, c in (("first", "_least"), ("last", "_most"))}
+    return spans.withColumns(named).drop("_head", "_least", "_most")
 
 
 def merged(bitmaps: DataFrame, *by: str) -> DataFrame:

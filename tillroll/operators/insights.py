@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tillroll.functions.dates import month_name
 from tillroll.functions.numbers import percent, total
 from tillroll.functions.text import plain_number
-from tillroll.operators.bitmaps import key_bitmaps, number_of_keys
+from tillroll.operators.bitmaps import key_bitmaps, key_spans, number_of_keys
 
 
 # --- KPIs ----------------------------------------------------------------------------------
@@ -141,12 +141,13 @@ def repeat_customer_value(sales: DataFrame) -> DataFrame:
 
     Revenue without a known customer counts in the base only. Two orders or more is to say that
     the first and the last order number differ, so no pair of customer and order is formed; a frame
-    that is summed already has them as ``first_order`` and ``last_order``.
+    that is summed already has them as ``first`` and ``last``.
     """
-    first, last = ("first_order", "last_order") if "first_order" in sales.columns else ("order_number",) * 2
+    if "first" not in sales.columns:
+        sales = key_spans(sales, "order_number", ["customer_key"], F.sum("sales_amount").alias("sales_amount"))
     per_customer = sales.groupBy("customer_key").agg(
         total(F.col("sales_amount")).alias("revenue"),
-        F.min(first).alias("_first"), F.max(last).alias("_last"))
+        F.min("first").alias("_first"), F.max("last").alias("_last"))
     repeat = F.col("customer_key").isNotNull() & (F.col("_first") < F.col("_last"))
     found = per_customer.agg(
         F.sum("revenue").alias("total"),
@@ -259,23 +260,20 @@ def report_parts(sales: DataFrame) -> dict[str, DataFrame]:
     """The frame summed to the tables that the cards and the snapshot read instead of the lines.
 
     ``products`` has a row per product and category, ``customers`` one per customer, month and
-    labels with the first and last order number, ``orders`` the order numbers as bitmaps. The first
+    labels with the first and last order, ``orders`` the order numbers as bitmaps. The first
     two keep the frame's column names, so what adds up sales reads them as it reads the frame; labels
     the frame lacks are left out. Store the parts, not the frame: each reads the frame once. Where
     the star tables are at hand, `plans.star_parts` makes the same parts without a frame.
     """
     known = set(sales.columns)
 
-    def summed(keys: list[str | Column], *more: Column) -> DataFrame:
-        sums = [F.sum(c).alias(c) for c in ("sales_amount", "profit", "quantity") if c in known]
-        return sales.groupBy(*keys).agg(*sums, F.count("*").alias("lines"), *more)
-
+    sums = [F.sum(c).alias(c) for c in ("sales_amount", "profit", "quantity") if c in known]
+    sums.append(F.count("*").alias("lines"))
     month = [F.trunc("order_date", "MM").alias("order_date")] if "order_date" in known else []
     by_customer = ("customer_key", "country", "customer_segment", "order_year", "is_returning")
     return {
-        "products": summed([c for c in ("product_name", "category") if c in known]),
-        "customers": summed([c for c in by_customer if c in known] + month,
-                            F.min("order_number").alias("first_order"), F.max("order_number").alias("last_order")),
+        "products": sales.groupBy(*[c for c in ("product_name", "category") if c in known]).agg(*sums),
+        "customers": key_spans(sales, "order_number", [c for c in by_customer if c in known] + month, *sums),
         "orders": key_bitmaps(sales, "order_number"),
     }
 

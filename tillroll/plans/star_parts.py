@@ -14,7 +14,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tillroll.operators import labels
-from tillroll.operators.bitmaps import key_bitmaps
+from tillroll.operators.bitmaps import key_bitmaps, key_spans
 from tillroll.plans.sales_model import apply_filters, customer_profile
 
 LINE_COLUMNS = ("product_key", "customer_key", "order_number", "order_date", "sales_amount", "quantity")
@@ -69,10 +69,9 @@ def product_part(lines: DataFrame, products: DataFrame) -> DataFrame:
 
 
 def customer_months(lines: DataFrame) -> DataFrame:
-    """Sums by customer and month, with the first and the last order number."""
-    return lines.groupBy("customer_key", F.trunc("order_date", "MM").alias("order_date")).agg(
-        F.sum("sales_amount").alias("sales_amount"), F.count("*").alias("lines"),
-        F.min("order_number").alias("first_order"), F.max("order_number").alias("last_order"))
+    """Sums by customer and month, with the first and the last order."""
+    return key_spans(lines, "order_number", ["customer_key", F.trunc("order_date", "MM").alias("order_date")],
+                     F.sum("sales_amount").alias("sales_amount"), F.count("*").alias("lines"))
 
 
 def customer_part(months: DataFrame, profile: DataFrame) -> DataFrame:
