@@ -20,8 +20,8 @@ from tillroll.functions import dates, numbers
 from tillroll.operators import (
     explore, frames, gold, insights, keys, quality, ranking, reports, segments, silver, snapshot, trend,
 )
-from tillroll.plans import sales_model, star_parts, warehouse
-from tillroll.sources import extracts, sinks
+from tillroll.plans import co_located, sales_model, star_parts, warehouse
+from tillroll.sources import extracts, publication, sinks, views
 
 try:
     from tillroll.llm import queries as llm
@@ -40,6 +40,7 @@ SLICE = {
     "countries": ["NATION_1", "NATION_2", "NATION_3", "NATION_5", "NATION_8"],
     "segments": ["VIP", "Regular"],
 }
+STORED_SLICE = (dt.date(1996, 3, 10), dt.date(1996, 9, 20))
 NO_DATES = (dt.date(1900, 1, 1), dt.date(1900, 12, 31))
 
 
@@ -216,6 +217,62 @@ def publish_report_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.publish_table(REPORTS["customers"](spark, sf_dir), "tillroll_report_customers")
 
 
+def published(name: str) -> Query:
+    """Every row of a star table as published: built, checked, switched to and read back."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = shared_folder(spark)
+        warehouse.publish_warehouse(raw.bronze(spark, sf_dir), out, AS_OF, inputs=[sf_dir])
+        return publication.current(spark, out)[name].drop("order_year")
+
+    return run
+
+
+def published_star(spark: SparkSession, sf_dir: str, fact: Callable = fact_sales) -> str:
+    """The fixture's star, published; the folder."""
+    build = publication.Build(spark, shared_folder(spark), [sf_dir])
+    build.write("dim_customers", dim_customers(spark, sf_dir))
+    build.write("dim_products", dim_products(spark, sf_dir), sums=["cost"])
+    build.write("fact_sales", fact(spark, sf_dir).withColumn("order_year", F.year("order_date")),
+                sums=["sales_amount"], partition_by=["order_year"], cluster_by=["order_date", "order_number"])
+    build.publish()
+    return build.out
+
+
+def observed_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return publication.measured(spark, published_star(spark, sf_dir, dirty_fact_sales)).where(
+        "table_name = 'fact_sales' AND coalesce(column_name, '') <> 'order_year'")
+
+
+def stored_date_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fact = publication.current(spark, published_star(spark, sf_dir))["fact_sales"]
+    return sales_model.date_slice(fact, *STORED_SLICE).drop("order_year")
+
+
+def persistent_report(name: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        folder = shared_folder(spark)
+        paths = sinks.save_tables({
+            "dim_customers": dim_customers(spark, sf_dir), "dim_products": dim_products(spark, sf_dir),
+            "fact_sales": fact_sales(spark, sf_dir)}, folder, inputs=[sf_dir])
+        shown = views.publish_report_views(
+            spark, paths, "tillroll_view_customers", "tillroll_view_products", AS_OF, HIGH_SPEND)
+        return shown[f"tillroll_view_{name}"]
+
+    return run
+
+
+def co_located_sales(*columns: str, fact: Callable = fact_sales) -> Query:
+    """The sales frame from tables bucketed by customer; customers of over 100 lines count as hot here."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        name = f"tillroll_by_customer_{fact.__name__}"
+        co_located.store_by_customer(
+            fact(spark, sf_dir), dim_customers(spark, sf_dir), name, shared_folder(spark), buckets=8, hot_lines=100)
+        return co_located.build_co_located(
+            spark, name, dim_products(spark, sf_dir), AS_OF, columns=columns or None, segment_spend=HIGH_SPEND)
+
+    return run
+
+
 REPORTS: dict[str, Query] = {
     "customers": fact_by_customer(
         reports.report_customers, as_of=AS_OF, segment_spend=HIGH_SPEND, keys_verified=True),
@@ -265,9 +322,14 @@ def _source_queries() -> dict[str, Query]:
         "a07_load_report_products": stored(extracts.load_report_products, REPORTS["products"]),
         "a08_save_gold_tables": save_gold,
         "a08_write_warehouse": written_warehouse,
+        "a08_published_customers": published("dim_customers"),
+        "a08_published_products": published("dim_products"),
+        "a08_published_fact": published("fact_sales"),
         "a09_export_slice_csv": export_slice,
         "a10_publish_report_view": publish_report,
         "a10_publish_report_table": publish_report_table,
+        "a10_persistent_view_customers": persistent_report("customers"),
+        "a10_persistent_view_products": persistent_report("products"),
     }
 
 
@@ -374,9 +436,15 @@ def _model_queries() -> dict[str, Query]:
         "m05_returning_flag": on_sales(returning, "order_year", "is_returning", "sales_amount"),
         "m05_returning_flag_dirty_keys": on_sales(
             returning, "order_year", "is_returning", "sales_amount", dirty=True),
+        "m01_sales_frame_co_located": co_located_sales(),
+        "m05_returning_flag_co_located": lambda spark, d: returning(
+            co_located_sales("order_year", "is_returning", "sales_amount")(spark, d)),
+        "m05_returning_flag_co_located_dirty_keys": lambda spark, d: returning(
+            co_located_sales("order_year", "is_returning", "sales_amount", fact=dirty_fact_sales)(spark, d)),
         "m06_filter_options": on_sales(
             sales_model.filter_options, "order_date", "category", "country", "customer_segment"),
         "m07_filters": sales_slice,
+        "m07_filters_stored_date_slice": stored_date_slice,
         "m07_filters_half_open_range": half_open,
         "m07_filters_no_match": no_sales,
     }
@@ -533,6 +601,7 @@ def _quality_queries() -> dict[str, Query]:
     return {
         "q01_null_counts": lambda spark, d: quality.null_counts(
             dirty_fact_sales(spark, d), ["product_key", "customer_key", "order_date", "order_number"]),
+        "q01_measures_observed_while_written": observed_measures,
         "q02_orphan_customers": fact_by_customer(
             quality.orphan_keys, "customer_key", fact=dirty_fact_sales, key="customer_key"),
         "q02_orphan_products": fact_by_product(

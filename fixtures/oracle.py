@@ -196,6 +196,9 @@ def warehouse() -> dict[str, str]:
         "c06_fact_sales": on_raw("SELECT * FROM g_sales"),
         "c07_gold_tables": KEY_SUMMARY,
         "a08_write_warehouse": KEY_SUMMARY,
+        "a08_published_customers": on_raw("SELECT * FROM g_customers"),
+        "a08_published_products": on_raw("SELECT * FROM g_products"),
+        "a08_published_fact": on_raw("SELECT * FROM g_sales"),
         "c08_bronze_to_gold_revenue": on_raw(
             "SELECT category, CAST(sum(sales_amount) AS BIGINT) AS total_revenue "
             "FROM g_sales LEFT JOIN g_products USING (product_key) GROUP BY category"),
@@ -437,6 +440,17 @@ def scripts() -> dict[str, str]:
             for t in ("dim_customers", "dim_products", "fact_sales"))),
         "a10_publish_report_view": on_star(products),
         "a10_publish_report_table": on_star(report),
+        "a10_persistent_view_customers": on_star(report),
+        "a10_persistent_view_products": on_star(products),
+        "m07_filters_stored_date_slice": on_star(
+            "SELECT * FROM fact_sales WHERE order_date BETWEEN DATE '1996-03-10' AND DATE '1996-09-20'"),
+        "q01_measures_observed_while_written": on_star(" UNION ALL ".join([
+            "SELECT 'fact_sales' AS table_name, 'rows' AS measure, CAST(NULL AS VARCHAR) AS column_name, "
+            "count(*) AS value FROM dirty_fact_sales",
+            "SELECT 'fact_sales', 'sum', 'sales_amount', CAST(sum(sales_amount) AS BIGINT) FROM dirty_fact_sales",
+            *[f"SELECT 'fact_sales', 'nulls', '{c}', count(*) - count({c}) FROM dirty_fact_sales" for c in (
+                "order_number", "product_key", "customer_key", "order_date", "shipping_date", "due_date",
+                "sales_amount", "quantity", "price")]])),
         "q01_null_counts": on_star(" UNION ALL ".join(
             f"SELECT '{c}' AS column_name, count(*) - count({c}) AS nulls FROM dirty_fact_sales"
             for c in ("product_key", "customer_key", "order_date", "order_number"))),
@@ -729,6 +743,9 @@ def dashboard() -> dict[str, str]:
             f"SELECT product_key, {total('profit')} AS profit, count(profit) AS lines_with_profit FROM sales GROUP BY 1"),
         "m05_returning_flag": on_sales(returning),
         "m05_returning_flag_dirty_keys": on_sales(returning, dirty),
+        "m01_sales_frame_co_located": on_sales(f"SELECT {columns} FROM sales"),
+        "m05_returning_flag_co_located": on_sales(returning),
+        "m05_returning_flag_co_located_dirty_keys": on_sales(returning, dirty),
         "m06_filter_options": on_sales(
             "SELECT 'min_date' AS field, CAST(min(order_date) AS VARCHAR) AS value FROM sales "
             f"UNION ALL SELECT 'max_date', CAST(max(order_date) AS VARCHAR) FROM sales UNION ALL {fields}"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tillroll.operators.explore import customer_revenue
-from tillroll.operators.totals import resolve_keys, totals_by_dimension
+from tillroll.operators.totals import resolve_reduced, totals_by_dimension
 
 
 def product_revenue(fact: DataFrame, products: DataFrame) -> DataFrame:
@@ -44,13 +44,14 @@ def fewest_orders(
 ) -> DataFrame:
     """Customers with the fewest distinct orders, among those with a sales line.
 
-    ``keys_verified`` asserts that the fact has no dangling customer key and spares the
-    line-level lookup. The cut is made on keys and counts, before names are attached.
+    ``keys_verified`` asserts that the fact has no dangling customer key and spares the lookup, which
+    sees customers and orders, not lines. The cut is made on keys and counts, before names are attached.
     """
-    lines = fact.select("customer_key", "order_number")
+    pairs = fact.select("customer_key", "order_number").distinct().withColumn(
+        "_order", F.col("order_number").isNotNull().cast("int"))
     if not keys_verified:
-        lines = resolve_keys(lines, customers, "customer_key")
-    counts = lines.groupBy("customer_key").agg(F.count_distinct("order_number").alias("total_orders"))
+        pairs = resolve_reduced(pairs, customers, "customer_key", "order_number", "_order")
+    counts = pairs.groupBy("customer_key").agg(F.sum("_order").alias("total_orders"))
     fewest_first = [F.col("total_orders").asc(), F.col("customer_key").asc_nulls_first()]
     fewest = counts.orderBy(*fewest_first).limit(n)
     names = customers.select("customer_key", "first_name", "last_name")

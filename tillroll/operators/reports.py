@@ -9,13 +9,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tillroll.functions.dates import as_of_date, months_crossed, years_crossed
 from tillroll.functions.numbers import int_divide
 from tillroll.operators import labels
-from tillroll.operators.totals import order_totals, resolve_keys
+from tillroll.operators.totals import order_totals
 
 
-def _dated_lines(fact: DataFrame, dimension: DataFrame, key: str, keys_verified: bool) -> DataFrame:
-    lines = fact.where(F.col("order_date").isNotNull()).select(
+def _dated_lines(fact: DataFrame) -> DataFrame:
+    return fact.where(F.col("order_date").isNotNull()).select(
         "customer_key", "product_key", "order_number", "order_date", "sales_amount", "quantity")
-    return lines if keys_verified else resolve_keys(lines, dimension, key)
 
 
 def _per_month(sales: Column, lifespan: Column) -> Column:
@@ -38,8 +37,8 @@ def report_customers(
     count and ``total_products`` is missing. ``keys_verified`` asserts that the fact has no
     dangling customer key.
     """
-    lines = _dated_lines(fact, customers, "customer_key", keys_verified)
-    totals = order_totals(lines, "customer_key", "product_key", "total_products")
+    totals = order_totals(_dated_lines(fact), "customer_key", "product_key", "total_products",
+                          dimension=None if keys_verified else customers)
     today = as_of_date(as_of)
     people = customers.select(
         "customer_key",
@@ -85,8 +84,8 @@ def report_products(
     keys_verified: bool = False,
 ) -> DataFrame:
     """Activity, performance segment and averages per product with a dated sales line."""
-    lines = _dated_lines(fact, products, "product_key", keys_verified)
-    totals = order_totals(lines, "product_key", "customer_key", "total_customers", with_price=True)
+    totals = order_totals(_dated_lines(fact), "product_key", "customer_key", "total_customers", with_price=True,
+                          dimension=None if keys_verified else products)
     attributes = products.select("product_key", "product_name", "category", "subcategory", "cost")
     lifespan = F.col("lifespan")
     rows = totals.withColumn(

@@ -39,8 +39,24 @@ def totals_by_dimension(
     return joined.groupBy(*groups).agg(*[f(name).alias(name) for name, (f, _) in measures.items()])
 
 
+def resolve_reduced(pairs: DataFrame, dimension: DataFrame, key: str, second: str, flag: str,
+                    **measures: Callable[[str], Column]) -> DataFrame:
+    """Rows by (``key``, ``second``) summed to keys the dimension knows, and NULL for all others.
+
+    ``flag`` is 1 for a pair that counts. Known keys add theirs up. Pairs of unknown keys can meet
+    in NULL with the same ``second``, so there a row for each ``second`` is left. The lookup sees pairs
+    that are reduced already, never lines.
+    """
+    known = dimension.select(F.col(key).alias("_known_key"))
+    unknown = F.col("_known_key").isNull()
+    found = pairs.join(known, F.col(key) == F.col("_known_key"), "left")
+    summed = found.groupBy(F.col("_known_key").alias(key), F.when(unknown, F.col(second)).alias("_second")).agg(
+        F.sum(flag).alias("_all"), F.max(flag).alias("_one"), *[f(name).alias(name) for name, f in measures.items()])
+    return summed.select(key, F.when(F.col(key).isNull(), F.col("_one")).otherwise(F.col("_all")).alias(flag), *measures)
+
+
 def order_totals(
-    fact: DataFrame, key: str, other_key: str, others: str, with_price: bool = False
+    fact: DataFrame, key: str, other_key: str, others: str, with_price: bool = False, dimension: DataFrame | None = None,
 ) -> DataFrame:
     """Sales lines by ``key``: sums, first and last date, distinct orders and partners.
 
@@ -48,7 +64,8 @@ def order_totals(
     aggregation would send three wide copies of every line through the shuffle. Here each
     count has its own narrow first step, by (key, order) and by (key, partner), and a hot
     key is spread over its orders and partners until only counts are left. ``with_price``
-    adds the mean line price (amount / quantity) as ``avg_unit_price``.
+    adds the mean line price (amount / quantity) as ``avg_unit_price``. With a ``dimension``, lines
+    whose key it does not know form one group, NULL; they are looked up after the first steps.
     """
     unit_price = F.col("sales_amount") / F.nullif(F.col("quantity"), F.lit(0))
     price_parts = [
@@ -60,9 +77,15 @@ def order_totals(
         F.min("order_date").alias("first_date"),
         F.max("order_date").alias("last_date"),
         *price_parts,
-    ).withColumn("_order", F.col("order_number").isNotNull().cast("int")).drop("order_number")
-    per_other = fact.select(key, other_key).distinct().select(
-        key, F.col(other_key).isNotNull().cast("int").alias("_other"))
+    ).withColumn("_order", F.col("order_number").isNotNull().cast("int"))
+    per_other = fact.select(key, other_key).distinct().withColumn("_other", F.col(other_key).isNotNull().cast("int"))
+    if dimension is not None:
+        prices = {"_price_sum": F.sum, "_price_count": F.sum} if with_price else {}
+        per_order = resolve_reduced(
+            per_order, dimension, key, "order_number", "_order",
+            total_sales=F.sum, total_quantity=F.sum, first_date=F.min, last_date=F.max, **prices)
+        per_other = resolve_reduced(per_other, dimension, key, other_key, "_other")
+    per_order, per_other = per_order.drop("order_number"), per_other.select(key, "_other")
     parts = per_order.unionByName(per_other, allowMissingColumns=True)
     mean_price = [
         F.try_divide(F.sum("_price_sum"), F.sum("_price_count").cast("double")).alias("avg_unit_price"),

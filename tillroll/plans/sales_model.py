@@ -76,6 +76,7 @@ def build_sales(
     columns: Sequence[str] | None = None,
     segment_months: int = labels.SEGMENT_MONTHS,
     segment_spend: int = labels.SEGMENT_SPEND,
+    co_located: bool = False,
 ) -> DataFrame:
     """Dated sales lines with product, customer and segment attributes.
 
@@ -87,21 +88,32 @@ def build_sales(
     The profile is grouped by customer. Joined on that key its partitions would be taken as they
     are, and adaptive execution could not split a hot customer, or the lines without one. Both
     sides therefore join on an image of the key: each is shuffled for the join alone, whatever
-    the number of lines per key.
+    the number of lines per key. ``co_located`` says that the lines are stored in buckets by
+    customer without hot ones (`plans.co_located`): then the join takes the buckets as they are.
     """
     wanted = set(columns or SALES_COLUMNS)
     dated = fact.where(F.col("order_date").isNotNull())
     sales = with_periods(dated)
-    if wanted & {*_FROM_PRODUCTS, "profit"}:
-        sales = sales.join(products.select("product_key", *_FROM_PRODUCTS), "product_key", "left")
-        sales = sales.withColumn("profit", line_profit())
+    def with_products(sales: DataFrame) -> DataFrame:
+        if not wanted & {*_FROM_PRODUCTS, "profit"}:
+            return sales
+        found = sales.join(products.select("product_key", *_FROM_PRODUCTS), "product_key", "left")
+        return found.withColumn("profit", line_profit())
+
+    sales = sales if co_located else with_products(sales)
     if wanted & {*_FROM_CUSTOMERS, *_FROM_SEGMENTS, "is_returning"}:
         profile = customer_profile(
             dated, customers, segments, as_of, wanted, segment_months, segment_spend)
-        profile = profile.withColumn("_join_key", F.bitwise_not("customer_key")).drop("customer_key")
-        sales = sales.withColumn("_join_key", F.bitwise_not("customer_key")).join(profile, "_join_key", "left")
+        if co_located:
+            profile = profile.withColumnRenamed("customer_key", "_join_key").hint("merge")
+            sales = sales.join(profile, F.col("customer_key") == F.col("_join_key"), "left")
+        else:
+            profile = profile.withColumn("_join_key", F.bitwise_not("customer_key")).drop("customer_key")
+            sales = sales.withColumn("_join_key", F.bitwise_not("customer_key")).join(profile, "_join_key", "left")
         sales = sales.withColumn(
             "is_returning", F.coalesce(F.col("order_year") > F.col("_first_year"), F.lit(False)))
+    # a product join shuffles the lines by product, so those in buckets meet their customers first
+    sales = with_products(sales) if co_located else sales
     return sales.select(*[c for c in SALES_COLUMNS if c in wanted])
 
 
@@ -152,3 +164,9 @@ def apply_filters(
         if allowed:
             out = out.where(F.col(column).isin(allowed))
     return out
+
+
+def date_slice(fact: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
+    """Lines of an inclusive date range from a fact stored by order year: only its years' folders are read,
+    and in these, sorted by date, only the row groups that meet the range."""
+    return apply_filters(fact.where(F.col("order_year").between(start.year, end.year)), (start, end))

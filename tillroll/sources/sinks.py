@@ -56,7 +56,7 @@ def export_csv(rows: DataFrame, path: str) -> str:
 
 
 def publish_view(rows: DataFrame, name: str) -> DataFrame:
-    """(Re)create a session view and return it."""
+    """(Re)create a session view and return it; `sources.views` has views that outlive the session."""
     rows.createOrReplaceTempView(name)
     return rows.sparkSession.table(name)
 
