@@ -188,23 +188,64 @@ def test_prints_do_not_depend_on_neighbours():
     assert parsing.likeness(together[:1], together[1:2])[0] == 0
 
 
-def test_fingerprints_of_odd_rows(odd, empty, monkeypatch):
-    rows = [(r.doc_id, r.text, r.h) for r in odd.select(
-        "doc_id", "text", substrings.text_hash(F.col("text")).alias("h")).collect()]
-    rows.sort(key=lambda r: (r[0] is None, -(r[0] or 0), -r[2]))
+@pytest.fixture
+def partitions(spark):
+    """Sets the number of shuffle partitions, which decides how many ranges there are."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+
+    def use(n):
+        spark.conf.set("spark.sql.shuffle.partitions", str(n))
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+
+    yield use
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def slow_comparisons(rows):
+    """Of (id, text, hash) rows: id, characters and edited text of each."""
+    rows = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), -r[2]))
     want = collections.Counter()
     for k, (i, text, _) in enumerate(rows):
-        changed = parsing.edited(text or "", rows[(k + 1) % len(rows)][1] or "")
-        want[i, len(text or ""), changed] += 1
-    for size in (4 << 20, 1 << 10):
-        monkeypatch.setattr(parsing, "BUCKET_BYTES", size)
-        got = collections.Counter((r.id, r.n_chars, r.edited) for r in parsing.compare_edited(odd).collect())
-        assert got == want
+        want[i, len(text or ""), parsing.edited(text or "", rows[(k + 1) % len(rows)][1] or "")] += 1
+    return want
+
+
+def with_hashes(frame):
+    return [(r.doc_id, r.text, r.h) for r in frame.select(
+        "doc_id", "text", substrings.text_hash(F.col("text")).alias("h")).collect()]
+
+
+@pytest.mark.parametrize("ranges", [1, 5, 60])
+def test_fingerprints_of_odd_rows(odd, empty, partitions, ranges):
+    partitions(ranges)
+    got = collections.Counter((r.id, r.n_chars, r.edited) for r in parsing.compare_edited(odd).collect())
+    assert got == slow_comparisons(with_hashes(odd))
     assert parsing.compare_edited(empty).count() == 0
     lone = odd.where("doc_id = 1")
     assert lone.count() == 1 and parsing.compare_edited(lone).first().near_next == 1
 
 
+@pytest.mark.parametrize("ranges", [1, 40])
+def test_fingerprints_with_ids_that_cannot_be_null_or_repeat(spark, partitions, ranges):
+    partitions(ranges)
+    text = F.concat(F.lit("text number "), F.col("id").cast("string"))
+    strict = spark.range(0, 700, 1, 3).select(F.col("id").alias("doc_id"), text.alias("text"))
+    assert not strict.schema["doc_id"].nullable
+    hot = spark.range(0, 300, 1, 5).select(F.lit(350).cast("long").alias("doc_id"), F.lit("one text for a third of all rows").alias("text"))
+    for docs in (strict, strict.unionByName(hot), strict.withColumn("doc_id", F.col("doc_id").cast("int"))):
+        found = parsing.compare_edited(docs).collect()
+        assert collections.Counter((r.id, r.n_chars, r.edited) for r in found) == slow_comparisons(with_hashes(docs))
+        prints = {r.id: r for r in found}
+        assert prints[600].near_next == parsing.likeness(*(
+            parsing.fingerprints([f"text number {k}".encode()]) for k in (600, 599)))[0]
+
+
+def test_fingerprints_keep_no_row_a_range_on_the_driver(spark, odd):
+    text = parsing.compare_edited(odd)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LocalRelation" not in text and "ResolvedHint" not in text
+
+
 # --- pipeline ------------------------------------------------------------------------------
 
 def test_every_stage_works_on_all_that_is_left(spark, sf_dir):

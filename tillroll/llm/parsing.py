@@ -17,15 +17,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from tillroll.llm.common import Batches, batch_of, small_batches, text_hash
+from tillroll.llm.common import Batches, small_batches, stored, text_hash
 
 LEVELS = 3                # phrases of about 27 bytes
 BINS = 64
 EMPTY = 0xFFFF            # a bin without a phrase
 BATCH_BYTES = 1 << 20     # bytes parsed together
-BUCKET_BYTES = 4 << 20    # text in one range of ids
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
@@ -130,34 +129,74 @@ def edited(text: str, following: str) -> str:
     return text[:len(text) - cut] + following[:cut]
 
 
-def _compared(digest: bool):
-    """Texts in order, each bucket ended by the text that follows it, to each text's comparison."""
+_INSIDE, _HEAD, _TAIL = range(3)  # a comparison; the first and the last text of a range
+
+
+def _fields(id_type: str) -> str:
+    return (f"id {id_type}, n_chars long, edited string, fingerprint string, edited_fingerprint string, "
+            "near_edited double, near_next double")
+
+
+def _comparisons(ids: pa.Array, texts: list[str], following: list[str], own: np.ndarray, theirs: np.ndarray,
+                 digest: bool) -> dict[str, pa.Array]:
+    """The columns of texts with the texts that follow them; ``own`` and ``theirs`` are their prints."""
+    changed = [edited(t, f).encode() for t, f in zip(texts, following)]
+    prints = fingerprints(changed)
+    return {
+        "id": ids, "n_chars": pa.array([len(t) for t in texts], pa.int64()),
+        "edited": pa.array([hashlib.sha256(t).hexdigest() if digest else t.decode() for t in changed], pa.string()),
+        "fingerprint": pa.array(shown(own), pa.string()), "edited_fingerprint": pa.array(shown(prints), pa.string()),
+        "near_edited": pa.array(likeness(own, prints), pa.float64()),
+        "near_next": pa.array(likeness(own, theirs), pa.float64())}
+
+
+def _inside(digest: bool):
+    """Texts of a range in order to the comparison of each with the next; the range's ends go on as texts."""
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
-        held = None  # the last text, whose successor is not seen yet: (bucket, kind, id, text, print)
+        kind_of = None
+        last = None  # (range, id, text, print) of the text whose successor is not seen yet
+
+        def end(kind: int, bucket: int, id_, text: str) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({
+                "kind": pa.array([kind], pa.int32()), "bucket": pa.array([bucket], pa.int32()),
+                "text": pa.array([text], pa.string()), "id": pa.array([id_], kind_of),
+                **{c: pa.array([None], t) for c, t in (
+                    ("n_chars", pa.int64()), ("edited", pa.string()), ("fingerprint", pa.string()),
+                    ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()))}})
+
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("bucket", "kind", "id", "text")]
-            rows = list(zip(*columns))
-            prints = fingerprints([(t or "").encode() for t in columns[3]])
-            if held is not None:
-                rows.insert(0, held[:4])
-                prints = np.concatenate((held[4][None], prints))
-            # a text is compared with the next row of its bucket; the bucket's end (kind 1) is only compared with
-            pairs = [k for k in range(len(rows) - 1) if rows[k][1] == 0 and rows[k + 1][0] == rows[k][0]]
-            held = (*rows[-1], prints[-1]) if rows else held
-            if not pairs:
+            buckets, ids, texts = (batch.column(c).to_pylist() for c in ("bucket", "id", "text"))
+            if not ids:
                 continue
-            texts = [rows[k][3] or "" for k in pairs]
-            changed = [edited(t, rows[k + 1][3] or "").encode() for t, k in zip(texts, pairs)]
-            theirs = fingerprints(changed)
-            own, following = prints[pairs], prints[[k + 1 for k in pairs]]
-            ids = pa.array([rows[k][2] for k in pairs], batch.column("id").type)
-            schema = pa.schema([
-                ("id", ids.type), ("n_chars", pa.int64()), ("edited", pa.string()), ("fingerprint", pa.string()),
-                ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
-            yield batch_of(
-                schema, ids, [len(t) for t in texts],
-                [hashlib.sha256(t).hexdigest() for t in changed] if digest else [t.decode() for t in changed],
-                shown(own), shown(theirs), likeness(own, theirs), likeness(own, following))
+            kind_of = batch.column("id").type
+            texts = [t or "" for t in texts]
+            prints = fingerprints([t.encode() for t in texts])
+            if last is None:
+                yield end(_HEAD, buckets[0], ids[0], texts[0])
+            else:
+                ids, texts, prints = [last[1], *ids], [last[2], *texts], np.concatenate((last[3][None], prints))
+            last = (buckets[-1], ids[-1], texts[-1], prints[-1])
+            n = len(texts) - 1
+            if n:
+                found = _comparisons(pa.array(ids[:-1], kind_of), texts[:-1], texts[1:], prints[:-1], prints[1:], digest)
+                yield pa.RecordBatch.from_pydict({
+                    "kind": pa.array([_INSIDE] * n, pa.int32()), "bucket": pa.array([buckets[-1]] * n, pa.int32()),
+                    "text": pa.nulls(n, pa.string()), **found})
+        if last is not None:
+            yield end(_TAIL, *last[:3])
+
+    return run
+
+
+def _across(digest: bool):
+    """Last texts of ranges with the first text of the next one to comparisons."""
+    def run(batches: Batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, following = (batch.column(c).to_pylist() for c in ("text", "following"))
+            if texts:
+                own, theirs = (fingerprints([t.encode() for t in some]) for some in (texts, following))
+                yield pa.RecordBatch.from_pydict(
+                    _comparisons(batch.column("id"), texts, following, own, theirs, digest))
 
     return run
 
@@ -166,37 +205,30 @@ def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                    digest: bool = False) -> DataFrame:
     """(id, n_chars, edited, fingerprint, edited_fingerprint, near_edited, near_next) of every row.
 
-    Ids are numbers. The next document is the one with the next smaller id, after the last the first;
-    a lone document follows itself. Rows with the same id follow each other by a hash of the text, and
-    rows without an id come last, in that order too. Null texts count as empty: no characters, empty
-    bins, likeness 1 to each other and 0 to any other text. With ``digest`` edited is its SHA-256.
+    The next document is the one with the next smaller id, after the last the first; a lone document
+    follows itself. Rows with the same id follow each other by a hash of the text, and rows without an
+    id come last, in that order too. Null texts count as empty: no characters, empty bins, likeness 1
+    to each other and 0 to any other text. With ``digest`` edited is its SHA-256.
+
+    Texts are dealt out by ranges in that order, equal rows over several ranges if they are many, and
+    compared inside each. A range's last text meets the first one of the next range by a join on their
+    numbers; only these two texts of a range are stored.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), text_hash(F.col(text_col)).alias("th"))
-    # ranges of ids with about as much text each; only their bounds reach the driver
-    stats = slim.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("id").alias("ids")).first()
-    n = max(1, int((stats["bytes"] or 0) // BUCKET_BYTES))
-    cuts = sorted(set(slim.approxQuantile("id", [k / n for k in range(1, n)], 0.2 / n))) if n > 1 and stats["ids"] else []
-    bounds = F.array(*[F.lit(float(c)) for c in cuts]) if cuts else F.array().cast("array<double>")
-    smaller = F.size(F.filter(bounds, lambda c: c > F.col("id"))) if cuts else F.lit(0)
-    blank = len(cuts) + 1 + F.floor((F.lit(0x7FFFFFFF) - F.col("th")) * float(n) / 2.0 ** 31).cast("int")
-    placed = slim.withColumn("bucket", F.when(F.col("id").isNull(), blank).otherwise(smaller))
-
-    heads = placed.select("bucket", "id", "th").groupBy("bucket").agg(
-        F.max(F.struct("id", "th")).alias("head")).orderBy("bucket").collect()  # one row per range
-    tails = [(now["bucket"], now["head"]["id"], now["head"]["th"], heads[k - 1]["bucket"])
-             for k, now in enumerate(heads)]
-    ends = F.broadcast(spark.createDataFrame(
-        tails, f"b int, i {slim.schema['id'].dataType.simpleString()}, h int, into int"))
-    at_head = placed.join(ends, (F.col("bucket") == F.col("b")) & F.col("id").eqNullSafe(F.col("i"))
-                          & (F.col("th") == F.col("h")), "left")
-    once = F.array(F.struct(F.col("bucket").alias("bucket"), F.lit(0).alias("kind")))
-    twice = F.concat(once, F.array(F.struct(F.col("into").alias("bucket"), F.lit(1).alias("kind"))))
-    rows = at_head.select("id", "th", "text", F.explode(
-        F.when(F.col("into").isNull(), once).otherwise(twice)).alias("at")).select("id", "th", "text", "at.*")
-    ordered = rows.repartition("bucket").sortWithinPartitions(
-        "bucket", "kind", F.desc_nulls_last("id"), F.desc("th"))
-    return ordered.select("bucket", "kind", "id", "text").mapInArrow(
-        _compared(digest), f"id {slim.schema['id'].dataType.simpleString()}, n_chars long, edited string, "
-        "fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    small_batches(docs.sparkSession)
+    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"),
+                       text_hash(F.col(text_col)).alias("th"), F.monotonically_increasing_id().alias("nth"))
+    id_type = slim.schema["id"].dataType.simpleString()
+    order = [F.desc_nulls_last("id"), F.desc("th"), F.col("nth")]
+    ranges = slim.repartitionByRange(*order).sortWithinPartitions(*order).select(
+        F.spark_partition_id().alias("bucket"), "id", "text")
+    found = stored(ranges.mapInArrow(_inside(digest), f"kind int, bucket int, text string, {_fields(id_type)}"))
+
+    tails = found.where(F.col("kind") == _TAIL).select("bucket", "id", "text")
+    heads = found.where(F.col("kind") == _HEAD).select(F.col("bucket").alias("next"), F.col("text").alias("following"))
+    numbers = heads.select(F.col("next").alias("bucket"))  # one row a range
+    ring = numbers.select("bucket", F.coalesce(
+        F.lead("bucket").over(Window.orderBy("bucket")), F.min("bucket").over(Window.partitionBy())).alias("next"))
+    across = tails.join(ring, "bucket").join(heads, "next").select("id", "text", "following")
+    columns = [c.split()[0] for c in _fields(id_type).split(", ")]
+    return found.where(F.col("kind") == _INSIDE).select(*columns).unionByName(
+        across.mapInArrow(_across(digest), _fields(id_type)))
