@@ -3,14 +3,18 @@
 import collections
 import hashlib
 import math
+import random
+import re
+import time
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tillroll.llm import bpe, language_model, pipeline, quality_model, queries, toxicity
-from tillroll.llm.common import read_table
+from tillroll.llm.common import labelled_sample, read_table
 
 TABLES = "/root/testdata/sf0.01"
 
@@ -96,6 +100,108 @@ def test_toxicity_finds_most_held_out_toxic_texts(spark):
     assert len(found) > 50 and sum(found) >= 0.8 * len(found), f"{sum(found)} of {len(found)}"
 
 
+# --- the grammar as a whole, by brute force -------------------------------------------------
+
+def slow_features(text, insults):
+    """What each clause with an attack adds, from the rules in words: no tables, no automaton, no marks."""
+    total = dict.fromkeys(toxicity.KINDS, 0.0)
+    for clause in re.split(r"[.;:!?\n]", (text or "").lower()):
+        words = re.findall(r"[^\W\d_]+(?:'[^\W\d_]+)?", clause)
+
+        def strength(word):
+            return max([insults.get(word + "$", 0.0)] + [v for p, v in insults.items() if not p.endswith("$") and word.startswith(p)])
+
+        def role(word):
+            return "insult" if strength(word) else next(
+                (name for name, some in (("threat", toxicity.THREATS), ("target", toxicity.TARGETS),
+                                         ("negation", toxicity.NEGATIONS), ("report", toxicity.REPORTS)) if word in some), None)
+
+        roles = [role(w) for w in words]
+        for k, (word, mine) in enumerate(zip(words, roles)):
+            if mine not in ("insult", "threat"):
+                continue
+            before, after = roles[max(0, k - toxicity.REACH):k], roles[k + 1:k + 1 + toxicity.REACH]
+            if "negation" in before:
+                kind = "denied"
+            elif "report" in roles[:k]:
+                kind = "reported"
+            elif "target" in before or "target" in after:
+                kind = "aimed" if mine == "insult" else "threat"
+            elif mine == "insult":
+                kind = "plain"
+            else:
+                continue
+            total[kind] += strength(word) or 1.0
+    return [total[k] for k in toxicity.KINDS]
+
+
+def test_clauses_against_brute_force(texts):
+    insults = {"fool$": 1.0, "dolt": 0.7, "idi": 0.5, "idiot$": 1.2}
+    grammar = toxicity.Grammar(insults, toxicity.PRIOR)
+    draw = random.Random(3)
+    words = ("fool dolt dolts idiotic idiot you your they not never said called kill hurt murder a the of time "
+             "isn't FOOL Dolt's . ; : ! ? \n , é fools xfool").split(" ")
+    samples = [" ".join(draw.choice(words) for _ in range(draw.randint(0, 30))) for _ in range(3000)]
+    samples += [None, "", "...", "fool", ".fool.", "kill", "kill you", "x" * 50_000, *list(texts.values())[:100]]
+    for text in samples:
+        assert grammar.features(text).tolist() == pytest.approx(slow_features(text, insults)), text
+
+
+def test_a_long_text_full_of_attacks_is_read_in_one_go():
+    grammar = toxicity.Grammar({"fool$": 1.0}, toxicity.PRIOR)
+    took = []
+    for n in (20_000, 160_000):
+        start = time.perf_counter()
+        assert grammar.features("a fool. " * n).tolist() == [n, 0, 0, 0, 0]
+        took.append(time.perf_counter() - start)
+    assert took[1] < 30 * took[0] + 0.5
+
+
+def test_the_fitted_grammar_decides_as_it_is_meant_to(spark):
+    grammar = queries.fitted_grammar(spark, TABLES.replace("sf0.01", "sf0.1"))
+
+    def rejected(text):
+        return grammar.scores(grammar.features(text)[None])[0] >= 0.5
+
+    for text in ("You are an idiot", "you moron", "I will kill you", "They are stupid, all of them.", "we are going to murder you all",
+                 "du bist ein vollidiot", "A report. And you are a bastard. The end"):
+        assert rejected(text), text
+    for text in ("He is not an idiot", "she said he is an idiot", "we will kill time", "do not kill them", "", None,
+                 "He wrote that they would kill him", "nobody is stupid here", "A shooting star, and you"):
+        assert not rejected(text), text
+
+
+def test_the_sample_is_bounded_by_texts_not_by_ids(spark):
+    """One id in 40,000 rows, copies under many ids, and an id with two labels."""
+    same = spark.range(40_000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("row "), F.col("id").cast("string")).alias("text"))
+    copies = spark.range(10, 500).select(F.col("id").alias("doc_id"), F.lit("you fool, copied").alias("text"))
+    docs = same.unionByName(copies).unionByName(spark.createDataFrame(
+        [(600, None), (601, ""), (None, "x")], "doc_id long, text string"))
+    known = spark.createDataFrame([(1, 0), *[(k, 1) for k in range(10, 500)], (600, 0), (601, 0)], "id long, label int")
+    rows = labelled_sample(docs, known, {1: 7, 0: 20}, "doc_id", "text").collect()
+    found = collections.Counter(r.label for r in rows)
+    assert found == {0: 20, 1: 1} and len({(r.label, r.h) for r in rows}) == 21
+    labels = known.withColumnsRenamed({"id": "doc_id", "label": "toxic"})
+    assert toxicity.fit(docs, labels.unionByName(labels.limit(3)), sample=10).weights.shape == (6,)
+
+
+def test_weights_do_not_depend_on_how_labels_were_drawn():
+    rng = np.random.default_rng(5)
+    y = (rng.random(4000) < 0.1).astype(float)
+    x = np.column_stack([rng.poisson(0.2 + 1.5 * y) for _ in range(5)]).astype(float)
+    whole = toxicity._fit_weights(x, y)
+    keep = (y > 0) | (rng.random(4000) < 0.25)
+    part = toxicity._fit_weights(x[keep], y[keep], (int((y == 0).sum()), int((y > 0).sum())))
+    other = toxicity._fit_weights(x[keep], y[keep])
+    assert abs(part[0] - whole[0]) < 0.4 < abs(other[0] - whole[0])
+    x2 = rng.normal(size=(12_000, 2 * quality_model.DIMS + 1))
+    y2 = (x2[:, 0] + 0.7 * rng.normal(size=len(x2)) > 1.2).astype(float)
+    keep = (y2 > 0) | (rng.random(len(x2)) < 0.2)
+    each = np.where(y2 > 0, 1.0, (y2 == 0).sum() / (y2[keep] == 0).sum())[keep]
+    fitted = [quality_model.fit_network(x2[keep], y2[keep], share, epochs=6).probabilities(x2).mean() for share in (each, None)]
+    assert abs(fitted[0] - y2.mean()) < 0.05 < abs(fitted[1] - y2.mean()), (fitted, y2.mean())
+
+
 def test_network_learns_and_calibrates():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(600, 2 * quality_model.DIMS + 1))

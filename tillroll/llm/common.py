@@ -7,6 +7,7 @@ import posixpath
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 from pathlib import Path
 
 import pyarrow as pa
@@ -80,6 +81,24 @@ def checkpointed(rows: DataFrame) -> DataFrame:
     return rows.checkpoint()
 
 
+def labelled_sample(docs: DataFrame, known: DataFrame, most: dict[int, int], id_col: str, text_col: str) -> DataFrame:
+    """(text, label, h) of at most ``most[label]`` distinct texts of each label, stored.
+
+    ``known`` has a label for each id. Ids and texts with the smallest hashes are taken. All that is
+    broadcast has at most that many rows.
+    """
+    def first(rows: DataFrame, *order: Column | str) -> DataFrame:
+        parts = [rows.where(F.col("label") == label).orderBy(*order).limit(n) for label, n in most.items()]
+        return reduce(DataFrame.unionByName, parts)
+
+    ids = first(known, F.xxhash64("id"), "id")
+    whole = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
+    found = whole.select("id", "h").join(F.broadcast(ids), "id").select("label", "h").distinct()
+    picked = stored(first(found, "h"))
+    texts = whole.join(F.broadcast(ids), "id").join(F.broadcast(picked), ["label", "h"])
+    return stored(texts.groupBy("label", "h").agg(F.first("text").alias("text")))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

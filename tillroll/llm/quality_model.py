@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tillroll.llm.common import Batches, batch_of, packed, small_batches
+from tillroll.llm.common import Batches, batch_of, labelled_sample, packed, small_batches
 
 SLOTS = 1 << 13           # hashed terms of each kind
 DIMS = 48
@@ -177,21 +177,23 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature, -40, 40)))
 
 
-def _temperature(logits: np.ndarray, labels: np.ndarray) -> float:
+def _temperature(logits: np.ndarray, labels: np.ndarray, share: np.ndarray) -> float:
     """The temperature under which held-back labels are likeliest."""
     if not len(labels):
         return 1.0
 
     def loss(t: float) -> float:
         z = logits / t
-        return float(np.mean(np.logaddexp(0, z) - labels * z))
+        return float(np.mean(share * (np.logaddexp(0, z) - labels * z)))
 
     return min((2.0 ** (k / 8) for k in range(-16, 33)), key=loss)
 
 
-def fit_network(x: np.ndarray, labels: np.ndarray, seed: int = 11, epochs: int = 60) -> Network:
-    """Adam on the log loss of four fifths of the rows; the rest sets the temperature."""
+def fit_network(x: np.ndarray, labels: np.ndarray, weights: np.ndarray | None = None, seed: int = 11,
+                epochs: int = 60) -> Network:
+    """Adam on the weighted log loss of four fifths of the rows; the rest sets the temperature."""
     rng = np.random.default_rng(seed)
+    share = np.ones(len(labels)) if weights is None else weights / max(1e-12, weights.mean())
     if not len(labels) or labels.min() == labels.max():
         only = float(labels[0]) if len(labels) else 0.5
         zero = np.zeros((2 * DIMS + 1, HIDDEN))
@@ -209,7 +211,7 @@ def fit_network(x: np.ndarray, labels: np.ndarray, seed: int = 11, epochs: int =
         for batch in np.array_split(fit, max(1, len(fit) // 64)):
             hidden = np.tanh(z[batch] @ w[0] + w[1])
             out = 1 / (1 + np.exp(-np.clip(hidden @ w[2] + w[3], -40, 40)))
-            error = (out - labels[batch]) / len(batch)
+            error = share[batch] * (out - labels[batch]) / len(batch)
             inner = np.outer(error, w[2]) * (1 - hidden ** 2)
             slopes = [z[batch].T @ inner + 1e-4 * w[0], inner.sum(axis=0),
                       hidden.T @ error + 1e-4 * w[2], np.array([error.sum()])]
@@ -219,7 +221,7 @@ def fit_network(x: np.ndarray, labels: np.ndarray, seed: int = 11, epochs: int =
                 v += 0.001 * (g * g - v)
                 p -= 0.003 * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
     net = Network(mean, scale, w[0], w[1], w[2], float(w[3][0]))
-    net.temperature = _temperature(net.logits(x[back]), labels[back])
+    net.temperature = _temperature(net.logits(x[back]), labels[back], share[back])
     return net
 
 
@@ -243,23 +245,27 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         label_col: str = "quality", sample: int = SAMPLE) -> Model:
     """Word vectors from all documents, a network from at most ``sample`` labelled ones of each label.
 
-    The sample takes the ids with the smallest hashes. Rows without id or label are passed over. With
-    one label only, every text gets a probability near it; without labels, one half.
+    The sample takes the ids with the smallest hashes, and of their texts each distinct one once. A text
+    counts for as many as its label stands for among all labelled ids, in the network and in the
+    temperature, so probabilities do not shift with the size of the table. An id with two labels has
+    the greater one; rows without id or label are passed over. With one label only, every text gets a
+    probability near it; without labels, one half.
     """
     spark = docs.sparkSession
     vectors = word_vectors(docs, text_col)
-    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).dropna()
-    half = sample // 2
-    chosen = known.where("label = 1").orderBy(F.xxhash64("id"), "id").limit(half).unionByName(
-        known.where("label = 0").orderBy(F.xxhash64("id"), "id").limit(half))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).join(
-        F.broadcast(chosen), "id").select("text", "label")  # at most ``sample`` ids
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).dropna() \
+        .where("label IN (0, 1)").groupBy("id").agg(F.max("label").alias("label"))
+    counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    texts = labelled_sample(docs, known, {1: sample // 2, 0: sample // 2}, id_col, text_col).select(
+        F.col("text").cast("binary").alias("text"), "label")
     rows = texts.mapInArrow(_pooled_rows(spark.sparkContext.broadcast(vectors)), "label int, vector array<float>") \
         .collect()  # small vectors of the sample
     x = np.array([r["vector"] for r in rows], np.float64).reshape(-1, 2 * DIMS + 1)
     y = np.array([r["label"] for r in rows], np.float64)
     order = np.lexsort((*x.T[:4], y))  # one order, however the rows arrived
-    return Model(vectors, fit_network(x[order], y[order]))
+    drawn = np.bincount(y.astype(int), minlength=2)
+    each = np.array([counts.get(k, 0) / max(1, drawn[k]) for k in (0, 1)])
+    return Model(vectors, fit_network(x[order], y[order], each[y[order].astype(int)]))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

@@ -13,6 +13,7 @@ in toxic texts only; the other classes are fixed words of four languages.
 
 from __future__ import annotations
 
+import heapq
 import itertools
 import re
 from collections import Counter
@@ -25,10 +26,13 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tillroll.llm.common import Batches, batch_of, packed, small_batches, stored
+from tillroll.llm.common import Batches, batch_of, labelled_sample, packed, small_batches
 
 # Words of each class, lower case.
-INSULTS = "idiot moron stupid imbecile scumbag asshole bastard bitch dumbass retard".split()
+INSULTS = ("idiot moron stupid imbecile scumbag asshole bastard bitch dumbass retard cretin dimwit halfwit jackass "
+           "dickhead douchebag wanker twat slut whore | dummkopf vollidiot arschloch trottel depp wichser hurensohn "
+           "schlampe missgeburt | idiota imbécil estúpido estúpida gilipollas cabrón pendejo puta | "
+           "idiote imbécile connard connasse salope abruti crétin").replace("|", "").split()
 THREATS = ("kill murder strangle shoot stab hurt beat destroy | töten umbringen erschießen | "
            "matar matarte golpear | tuer frapper égorger").replace("|", "").split()
 TARGETS = ("you your you're he she they them him her | du dich dir ihr euch sie | tú te ti usted ustedes él ella | "
@@ -43,9 +47,6 @@ KINDS = ("plain", "aimed", "denied", "reported", "threat")  # what an attack cou
 UNDECIDED = len(KINDS)  # a threat that only a target behind it confirms
 REACH = 4            # words over which negation and address carry
 SAMPLE = 4_000       # toxic texts a grammar is fitted on at most; twice as many others
-CANDIDATES = 5_000   # patterns considered for the insult list
-MOST_INSULTS = 300
-CLEAN_COST = 2.0     # of a clean text in the fit, against 1 for a toxic one
 PRIOR = np.array([-3.0, 3.0, 4.0, 1.0, 1.0, 3.0])  # bias and weight of each kind before any label is seen
 
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
@@ -132,15 +133,16 @@ class Grammar:
         if not text:
             return total
         text = text.lower()
-        done = -1
+        done, begin, ends = -1, 0, _CLAUSE_END.finditer(text)
+        mark = next(ends, None)
         for end, length in self.finder.iter(text):
             start = end - length + 1
             if start < done or start and text[start - 1].isalpha():
                 continue
-            cuts = [text.rfind(c, 0, start) for c in ".;:!?\n"]
-            close = _CLAUSE_END.search(text, start)
-            done = close.start() if close else len(text)
-            total += self.clause(text[max(cuts) + 1:done])
+            while mark and mark.start() < start:  # every mark is passed once, however many words are found
+                begin, mark = mark.end(), next(ends, None)
+            done = mark.start() if mark else len(text)
+            total += self.clause(text[begin:done])
         return total
 
     def scores(self, features: np.ndarray) -> np.ndarray:
@@ -178,32 +180,49 @@ def _has_rows(names: dict[str, int]):
     return run
 
 
+def _least(toxic: int) -> int:
+    """Toxic texts a pattern has to explain by itself; fewer may be chance."""
+    return max(3, toxic // 1000) if toxic > 30 else 2
+
+
 def _cover(has: list[list[int]], names: list[str], counts: list[tuple[int, int]], cost: float) -> list[int]:
     """Patterns that explain the toxic texts: each the one that explains most of what is left.
 
     Chance words of copied texts are never chosen, as their texts are explained already. Common
     patterns that explain nothing new are insults too if they stand beside many different sets of
-    chosen ones, which the chance words of a group of copies do not.
+    chosen ones, which the chance words of a group of copies do not. What a pattern explains only
+    shrinks, so a heap has the next best one; nothing is capped.
     """
     everywhere: dict[int, set[int]] = {}
     for row, found in enumerate(has):
         for p in found:
             everywhere.setdefault(p, set()).add(row)
-    members = dict(everywhere)
+    place = {p: k for k, p in enumerate(sorted(everywhere, key=lambda p: (len(names[p]), names[p])))}
+    left = {p: set(rows) for p, rows in everywhere.items()}
+
+    def worth(p: int) -> tuple[float, int, int]:
+        return cost * counts[p][1] - len(left[p]), -place[p], p
+
+    heap = [worth(p) for p in left]
+    heapq.heapify(heap)
     chosen: list[int] = []
-    least = max(3, len(has) // 1000) if len(has) > 30 else 2  # fewer may be chance
-    while members and len(chosen) < MOST_INSULTS:
-        best = max(members, key=lambda p: (
-            len(members[p]) - cost * counts[p][1], len(names[p]), names[p]))
-        gain = members.pop(best)
-        if len(gain) < least or len(gain) <= cost * counts[best][1]:
+    while heap:
+        known = heapq.heappop(heap)
+        best = known[2]
+        if known != (now := worth(best)):
+            heapq.heappush(heap, now)
+            continue
+        gain = set(left[best])
+        if len(gain) < _least(len(has)) or len(gain) <= cost * counts[best][1]:
             break
         chosen.append(best)
-        members = {p: left for p, rows in members.items() if (left := rows - gain)}
+        for row in gain:
+            for p in has[row]:
+                left[p].discard(row)
     picked = set(chosen)
     beside = [frozenset(picked.intersection(found)) for found in has]
     for p in sorted(everywhere, key=lambda p: (-counts[p][0], -len(names[p]), names[p])):
-        if len(everywhere[p]) < max(10, len(has) // 50) or len(chosen) >= MOST_INSULTS:
+        if len(everywhere[p]) < max(10, len(has) // 50):
             break
         stem = names[p].rstrip("$")
         if any(stem.startswith(names[c].rstrip("$")) or names[c].startswith(stem) for c in chosen):
@@ -214,19 +233,31 @@ def _cover(has: list[list[int]], names: list[str], counts: list[tuple[int, int]]
     return chosen
 
 
-def _fit_weights(features: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """Logistic weights, drawn towards the prior, by Newton steps. A wrong rejection costs more than a miss."""
+def _fit_weights(features: np.ndarray, labels: np.ndarray, counts: tuple[int, int] | None = None) -> np.ndarray:
+    """Logistic weights, drawn towards the prior, by Newton steps.
+
+    ``counts`` has how many (clean, toxic) texts the rows stand for; without it they stand for themselves.
+    Labelled texts can lack what the grammar is for, so its order holds whatever they show: an insult
+    weighs no less for being aimed at someone, and one clause that aims a strong insult or threat reaches
+    one half.
+    """
     x = np.column_stack([np.ones(len(features)), np.log1p(features)])
-    share = np.where(labels > 0, 1.0, CLEAN_COST)
+    toxic = labels > 0
+    each = [n / max(1, int(mine.sum())) for n, mine in zip(counts, (~toxic, toxic))] if counts else (1.0, 1.0)
+    share = np.where(toxic, each[1], each[0])
     share *= 200 / max(1.0, share.sum())
     w, pull = PRIOR.copy(), np.full(len(PRIOR), 0.05)
-    for _ in range(50):
+    for _ in range(200):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         slope = x.T @ (share * (p - labels)) + pull * (w - PRIOR)
         step = np.linalg.solve((x * (share * p * (1 - p))[:, None]).T @ x + np.diag(pull), slope)
-        w -= step
-        if np.abs(step).max() < 1e-8:
+        far = np.abs(step).max()
+        w -= step * min(1.0, 1.0 / max(far, 1e-12))  # a whole step may leap over the minimum
+        if far < 1e-8:
             break
+    plain, aimed, threat = (1 + KINDS.index(k) for k in ("plain", "aimed", "threat"))
+    enough = -w[0] / np.log(2) + 1e-9
+    w[aimed], w[threat] = max(w[aimed], w[plain], enough), max(w[threat], enough)
     return w
 
 
@@ -244,16 +275,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         label_col: str = "toxic", sample: int = SAMPLE) -> Grammar:
     """Learn the insult list and the weights from at most ``sample`` toxic texts and twice as many others.
 
-    The sample takes the ids with the smallest hashes. Rows without id or label are passed over.
-    Without labelled toxic texts the fixed insults and the prior weights remain.
+    The sample takes the ids with the smallest hashes, and of their texts each distinct one once, so
+    repeated ids and rows do not make it larger. Weights count a text for as many as its label stands
+    for among all labelled ids, so they do not depend on the size of the table. An id with two labels is
+    toxic; rows without id or label are passed over. Without labelled toxic texts the fixed insults and
+    the prior weights remain.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).dropna()
-    chosen = known.where("label = 1").orderBy(F.xxhash64("id"), "id").limit(sample).unionByName(
-        known.where("label = 0").orderBy(F.xxhash64("id"), "id").limit(2 * sample))
-    texts = stored(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(
-        F.broadcast(chosen), "id").select("text", "label"))  # at most 3 * sample ids
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).dropna() \
+        .where("label IN (0, 1)").groupBy("id").agg(F.max("label").alias("label"))
+    counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    texts = labelled_sample(docs, known, {1: sample, 0: 2 * sample}, id_col, text_col)
     sizes = {r["label"]: r["count"] for r in texts.groupBy("label").count().collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     base = {w + "$": 1.0 for w in INSULTS}
@@ -262,26 +295,26 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     cost = 20 * toxic / max(clean, toxic)  # a pattern must be 20 times as common in toxic texts
     found = texts.mapInArrow(_count_rows, "pattern string, toxic long, clean long").groupBy("pattern").agg(
         F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where(
-        F.expr(f"toxic > 1 AND toxic > clean * {cost}")).orderBy(
-        F.desc("toxic"), F.desc(F.length("pattern")), "pattern").limit(CANDIDATES).collect()
+        (F.col("toxic") >= _least(toxic)) & F.expr(f"toxic > clean * {cost}")).orderBy("pattern").collect()
     names = [r["pattern"] for r in found]
-    counts = [(r["toxic"], r["clean"]) for r in found]
-    has = texts.where("label = 1").mapInArrow(
+    numbers = [(r["toxic"], r["clean"]) for r in found]
+    has = texts.where("label = 1").orderBy("h").mapInArrow(
         _has_rows({n: k for k, n in enumerate(names)}), "has array<int>").collect()
-    picked = _cover([r["has"] for r in has], names, counts, cost)
-    learned = {names[p]: float(np.clip(np.log((counts[p][0] + 1) / toxic * clean / (counts[p][1] + 1)) / 3, 0.5, 1.5))
+    picked = _cover([r["has"] for r in has], names, numbers, cost)
+    learned = {names[p]: float(np.clip(np.log((numbers[p][0] + 1) / toxic * clean / (numbers[p][1] + 1)) / 3, 0.5, 1.5))
                for p in picked}
     grammar = Grammar(base | learned, PRIOR)
     rows = texts.mapInArrow(_feature_rows(grammar), "label int, features array<double>").collect()
     grammar.weights = _fit_weights(
-        np.array([r["features"] for r in rows]), np.array([r["label"] for r in rows], float))
+        np.array([r["features"] for r in rows]), np.array([r["label"] for r in rows], float),
+        (counts.get(0, 0), counts.get(1, 0)))
     return grammar
 
 
 def score(docs: DataFrame, grammar: Grammar, text_col: str = "text") -> DataFrame:
     """(row, score) of every row: the whole text's score, 0 to 1. Null and empty texts score as clean."""
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast((grammar.insults, grammar.weights))  # MOST_INSULTS words
+    shared = docs.sparkSession.sparkContext.broadcast((grammar.insults, grammar.weights))  # words of a bounded sample
 
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
         mine = Grammar(*shared.value)
