@@ -390,7 +390,7 @@ def _silver_queries() -> dict[str, Query]:
 
 def _gold_queries() -> dict[str, Query]:
     def fact(s: dict[str, DataFrame]) -> DataFrame:
-        return gold.build_fact_sales(s, gold.build_dim_products(s), gold.build_dim_customers(s))
+        return gold.build_fact_sales(s, gold.product_keys(s), gold.customer_keys(s))
 
     return {
         "c01_dim_customers": on_silver(gold.build_dim_customers),

@@ -50,12 +50,16 @@ def join_customer_sources(silver: dict[str, DataFrame]) -> DataFrame:
     )
 
 
-def build_dim_customers(silver: dict[str, DataFrame]) -> DataFrame:
-    """Customers numbered by id. Ids are numbered before the sources are joined, from one narrow column."""
-    keys = dense_keys(silver["crm_cust_info"].select(F.col("cst_id").alias("customer_id")),
+def customer_keys(silver: dict[str, DataFrame]) -> DataFrame:
+    """(customer_key, customer_id), numbered by id from one narrow column; all that a fact looks up."""
+    return dense_keys(silver["crm_cust_info"].select(F.col("cst_id").alias("customer_id")),
                       "customer_id", "customer_key")
+
+
+def build_dim_customers(silver: dict[str, DataFrame]) -> DataFrame:
+    """Customers numbered by id. Ids are numbered before the sources are joined."""
     sources = join_customer_sources(silver)
-    return keys.join(sources, "customer_id").select("customer_key", *sources.columns)
+    return customer_keys(silver).join(sources, "customer_id").select("customer_key", *sources.columns)
 
 
 def current_products(silver: dict[str, DataFrame]) -> DataFrame:
@@ -64,11 +68,16 @@ def current_products(silver: dict[str, DataFrame]) -> DataFrame:
     return latest_per(versions, "prd_key", "prd_start_dt", F.col("prd_id"))
 
 
+def product_keys(silver: dict[str, DataFrame]) -> DataFrame:
+    """(product_key, product_id, product_number) of current products, by id, and by number where two share one."""
+    return dense_keys(
+        current_products(silver).select(F.col("prd_id").alias("product_id"), F.col("prd_key").alias("product_number")),
+        "product_id", "product_key", "product_number")
+
+
 def build_dim_products(silver: dict[str, DataFrame]) -> DataFrame:
-    """Current products numbered by id, and by number where two share one."""
+    """Current products with their category, numbered by `product_keys`."""
     current = current_products(silver)
-    keys = dense_keys(current.select(F.col("prd_id").alias("product_id"), F.col("prd_key").alias("product_number")),
-                      "product_id", "product_key", "product_number")
     lookup = unique_rows(silver["erp_px_cat"], "id", "erp_px_cat_g1v2")
     enriched = current.join(lookup, current.cat_id == lookup.id, "left").select(
         F.col("prd_id").alias("product_id"),
@@ -82,7 +91,7 @@ def build_dim_products(silver: dict[str, DataFrame]) -> DataFrame:
         F.col("prd_line").alias("product_line"),
         F.col("prd_start_dt").alias("start_date"),
     )
-    return keys.join(enriched, ["product_id", "product_number"]).select("product_key", *enriched.columns)
+    return product_keys(silver).join(enriched, ["product_id", "product_number"]).select("product_key", *enriched.columns)
 
 
 def build_fact_sales(
@@ -90,6 +99,8 @@ def build_fact_sales(
 ) -> DataFrame:
     """Sales lines with surrogate keys; a line that finds no dimension row keeps NULL.
 
+    Of the dimensions only ids and keys are needed, so `product_keys` and `customer_keys` do as well.
+
     Both lookups shuffle line and dimension directly into the join, the shape in which
     adaptive execution splits a hot (or NULL) key over many tasks.
     """

@@ -24,13 +24,11 @@ def build_silver(bronze: dict[str, DataFrame], as_of: dt.date | None = None) ->
 
 
 def build_gold(cleaned: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """The three star tables."""
-    customers = gold.build_dim_customers(cleaned)
-    products = gold.build_dim_products(cleaned)
+    """The three star tables. The fact looks up keys alone, not the dimensions' other sources."""
     return {
-        "dim_customers": customers,
-        "dim_products": products,
-        "fact_sales": gold.build_fact_sales(cleaned, products, customers),
+        "dim_customers": gold.build_dim_customers(cleaned),
+        "dim_products": gold.build_dim_products(cleaned),
+        "fact_sales": gold.build_fact_sales(cleaned, gold.product_keys(cleaned), gold.customer_keys(cleaned)),
     }
 
 
