@@ -241,21 +241,65 @@ def test_op6(spark, sf_dir, texts):
     assert sum(r.score for r in held) >= sum(r.base_score for r in held)
 
 
-def test_filter_reads_back_what_it_holds(monkeypatch):
+def test_filter_reads_back_what_it_holds():
     rng = np.random.default_rng(1)
-    keys = np.unique(rng.integers(0, 1 << 44, 20_000, dtype=np.uint64))
-    levels = rng.integers(1, 6, len(keys)).astype(np.uint8)
-    monkeypatch.setattr(language_model, "FILTER_BYTES", 1 << 18)
-    shape = language_model.Filter(np.zeros(0, np.uint8), 256, 1, 5)
-    bits = np.zeros(shape.segment_bits * 256, np.uint8)
-    for level in range(1, 6):
-        for probe in range(language_model.PROBES):
-            bits[shape.spots(keys[levels >= level], level, probe)] = 1
-    held = language_model.Filter(np.packbits(bits, bitorder="little"), 256, 1, 5)
+    keys = np.unique(rng.integers(0, 1 << 64, 40_000, dtype=np.uint64))
+    levels = rng.integers(0, 6, len(keys)).astype(np.uint8)
+    held = language_model.Filter.of(
+        {b: language_model.segment(keys[s], levels[s]).tobytes() for b, s in language_model._pieces(keys, 64)}, 64)
     got = held.levels(keys)
-    assert (got >= levels).all() and (got == levels).mean() > 0.95
-    other = rng.integers(0, 1 << 44, 20_000, dtype=np.uint64)
-    assert (held.levels(other) >= 0).mean() < 0.05
+    assert (got >= levels).all() and (got == levels).mean() > 0.9
+    other = rng.integers(0, 1 << 64, 40_000, dtype=np.uint64)
+    assert abs((held.levels(other) >= 0).mean() - 0.5 ** language_model.PROBES) < 0.02
+    assert (language_model._unpacked(language_model._packed(keys)) == keys).all()
+    nothing = language_model.Filter.of({}, 64)
+    assert (nothing.levels(keys) == -1).all() and len(language_model._unpacked(b"")) == 0
+
+
+def slow_pairs(rows, shares):
+    """The pair model from plain dictionaries: each count rounded down to a power of two."""
+    train = [t for i, t in rows if i is None or zlib.crc32(str(i).encode()) % 7 != 2]
+    split = lambda t: (t or "").encode().lower().split() + [b"\n"]
+    words = collections.Counter(w for t in train for w in split(t))
+    pairs = collections.Counter(p for t in train for p in zip([b"\n", *split(t)], split(t)))
+    n, v = sum(words.values()), len(words)
+    out = {}
+    for i, t in rows:
+        total = 0.0
+        for before, word in zip([b"\n", *split(t)], split(t)):
+            c = words[before]
+            share = shares[min(int(math.log2(c + 1)), language_model.CLASSES - 1)]
+            seen = pairs[before, word]
+            held = min(2 ** (seen.bit_length() - 1), c) / max(c, 1) if seen else 0.0
+            total += math.log10((1 - share) * held + share * (words[word] + 1) / (n + v + 1))
+        out[i, t] = total
+    return out
+
+
+def test_every_counted_pair_is_held_at_any_size(spark, sf_dir, texts, odd, monkeypatch):
+    from pyspark.sql import functions as F
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    monkeypatch.setattr(language_model, "CHUNK_BYTES", 200_000)   # many chunks
+    fitted, fit = [], language_model._fitted_shares
+    monkeypatch.setattr(language_model, "_fitted_shares", lambda *a: fitted.append(fit(*a)) or fitted[-1])
+
+    def scores(docs, probes=language_model.PROBES):
+        rows = language_model.score(docs, held_out, probes=probes).collect()
+        return collections.Counter((r.id, r.n_tokens, round(r.score, 6)) for r in rows)
+
+    docs = read_table(spark, sf_dir, "documents")
+    whole = scores(docs)
+    slow = slow_pairs(list(texts.items()), fitted[-1])
+    by_id = {i: s for (i, _), s in slow.items()}
+    assert all(s >= by_id[i] - 1e-5 for i, _, s in whole)         # a filter errs upwards only
+    monkeypatch.setattr(language_model, "FILTER_BYTES", 0)        # segments are dealt, not broadcast
+    assert scores(docs) == whole and (fitted[0] == fitted[1]).all()
+    for table, rows in ((docs, list(texts.items())), (odd, [(r.doc_id, r.text) for r in odd.select("doc_id", "text").collect()])):
+        found = scores(table, probes=24)  # hardly an error
+        slow = slow_pairs(rows, fitted[-1])
+        want = collections.Counter(i for i, _ in rows)
+        assert collections.Counter(i for i, _, _ in found.elements()) == want
+        assert sorted(s for _, _, s in found.elements()) == pytest.approx(sorted(slow[r] for r in rows), abs=1e-4)
 
 
 # --- tokens --------------------------------------------------------------------------------
