@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import json
 import math
 import random
 import re
@@ -277,7 +278,6 @@ def slow_pairs(rows, shares):
 
 
 def test_every_counted_pair_is_held_at_any_size(spark, sf_dir, texts, odd, monkeypatch):
-    from pyspark.sql import functions as F
     held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
     monkeypatch.setattr(language_model, "CHUNK_BYTES", 200_000)   # many chunks
     fitted, fit = [], language_model._fitted_shares
@@ -325,6 +325,36 @@ def test_pieces_merge_as_in_the_library(library):
     assert encoder.encode(ODD) == encoder.encode(ODD) and encoder.encode([]) == []
 
 
+def test_long_unbroken_pieces(library, monkeypatch):
+    vocabulary = bpe.Vocabulary(pipeline.vocabulary_path())
+    rng = np.random.default_rng(3)
+    drawn = lambda letters, n: "".join(rng.choice(list(letters), n))
+    prose = "".join(drawn("etaoinshrdlucmfwyp", 5) for _ in range(400))
+    pieces = [drawn("ab", 3000), "a" * 2001, "ab" * 1500, prose * 3, drawn("漢字テスト", 900), "=" * 1023, drawn("aab", 700) + "a" * 600]
+    want = [e.ids for e in library.encode_batch(pieces, add_special_tokens=False)]
+    got = [np.frombuffer(i, "<u4").tolist() for i in bpe.merge_long([p.encode() for p in pieces], vocabulary)]
+    assert got == want
+    assert bpe.merge_long([b"", *(p.encode() for p in pieces), b"x"], vocabulary)[1:-1] \
+        == bpe.merge_pieces([p.encode() for p in pieces], vocabulary)
+    monkeypatch.setattr(bpe, "LONG_PIECE", 1)                     # every piece with links
+    for text, ids, e in zip(ODD, bpe.Encoder(vocabulary).encode(ODD), library.encode_batch(ODD, add_special_tokens=False)):
+        assert np.frombuffer(ids, "<u4").tolist() == e.ids, repr(text)
+    monkeypatch.undo()
+    text = drawn("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", 1_000_000)
+    begun = time.process_time()
+    ids = bpe.Encoder(vocabulary).encode([text])[0]
+    assert time.process_time() - begun < 60 and np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_other_kinds_of_vocabulary_are_refused(library):
+    said = json.loads(library.to_str())
+    bpe.Vocabulary(json.dumps(said).encode())
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": None}, {"model": said["model"] | {"unk_token": "?"}},
+                   {"added_tokens": [said["added_tokens"][0] | {"lstrip": True}]}):
+        with pytest.raises(ValueError):
+            bpe.Vocabulary(json.dumps(said | change).encode())
+
+
 def test_op9(spark, sf_dir, texts, library):
     found = queries.op9_bpe(spark, sf_dir).collect()
     assert len(found) == len(texts)

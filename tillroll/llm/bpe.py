@@ -4,13 +4,17 @@ A text is cut into pieces by the vocabulary's pattern. The pieces of a batch tha
 lie as byte symbols in one flat array. Each round looks up all neighbouring pairs by binary search
 among the sorted pair keys, finds the lowest rank of every piece, and merges that pair wherever it
 stands in the piece, from left to right. Pieces without a known pair are finished and leave.
+
+Pieces without any break can be as long as their text. Those above ``LONG_PIECE`` bytes share a flat
+array of their own whose symbols are linked to their neighbours. Known pairs wait there by rank; a round
+takes the lowest rank, merges its pairs, and looks up only the pairs that a merge has made.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +28,9 @@ from tillroll.llm.common import Batches, batch_of, packed, small_batches
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 KNOWN_PIECES = 500_000   # pieces a worker remembers before it starts anew
 LONGEST_KNOWN = 64       # longer pieces are not remembered
+LONG_PIECE = 512         # bytes from which on pieces are merged with links
 NO_RANK = np.iinfo(np.int64).max
+_UNREAD = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")
 
 
 def _byte_names() -> dict[str, int]:
@@ -35,12 +41,22 @@ def _byte_names() -> dict[str, int]:
 
 
 class Vocabulary:
-    """Tokens, ranked merges and added tokens of a byte-level BPE file."""
+    """Tokens, ranked merges and added tokens of a byte-level BPE file, given as its path or content.
+
+    Files that ask for more than `PATTERN`, byte symbols, ranked merges and plain added tokens are refused.
+    """
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as file:
-            said = json.load(file)
-        names, model = _byte_names(), said["model"]
+    def __init__(self, source: str | bytes):
+        if isinstance(source, str):
+            with open(source, "rb") as file:
+                source = file.read()
+        said = json.loads(source)
+        names, model, cut = _byte_names(), said["model"], said.get("pre_tokenizer") or {}
+        if model.get("type") != "BPE" or said.get("normalizer") or cut.get("type") != "ByteLevel" \
+                or cut.get("add_prefix_space") or not cut.get("use_regex", True) or any(model.get(k) for k in _UNREAD):
+            raise ValueError("not a plain byte-level BPE vocabulary")
+        if any(t.get(k) for t in said["added_tokens"] for k in ("single_word", "lstrip", "rstrip")):
+            raise ValueError("added tokens with conditions are not supported")
         self.text = {i: bytes(names[c] for c in t) for t, i in model["vocab"].items()}
         self.added = {t["content"]: t["id"] for t in said["added_tokens"]}
         self.text |= {i: t.encode() for t, i in self.added.items()}
@@ -52,6 +68,7 @@ class Vocabulary:
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         left, right, made = (np.array([ids[x] for x in c], np.int64) for c in zip(*((a, b, a + b) for a, b in merges)))
         keys = left << 32 | right
+        self.pair_of, self.made_of = keys, made  # by rank
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks, self.made = keys[order], order.astype(np.int64), made[order]
         size = max(self.text) + 1
@@ -96,6 +113,57 @@ def merge_pieces(pieces: list[bytes], vocabulary: Vocabulary) -> list[bytes]:
     return [raw[a:b] for a, b in zip([0, *ends], ends)]
 
 
+def merge_long(pieces: list[bytes], vocabulary: Vocabulary) -> list[bytes]:
+    """As `merge_pieces`; a round costs what it merges, not the length of the pieces."""
+    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    n = int(sizes.sum())
+    symbols = np.append(vocabulary.byte_ids[np.frombuffer(b"".join(pieces), np.uint8)], -1)  # -1: no symbol
+    after, before, ends = np.arange(1, n + 2), np.arange(-1, n), np.cumsum(sizes)
+    after[ends[sizes > 0] - 1] = n
+    before[(ends - sizes)[sizes > 0]] = n
+    waiting: dict[int, list[np.ndarray]] = {}
+    ranks: list[int] = []
+
+    def look_up(place: np.ndarray) -> None:
+        pair = symbols[place] << 32 | symbols[after[place]]
+        at = np.minimum(np.searchsorted(vocabulary.keys, pair), len(vocabulary.keys) - 1)
+        known = vocabulary.keys[at] == pair
+        place, rank = place[known], vocabulary.ranks[at[known]]
+        order = np.argsort(rank, kind="stable")
+        place, rank = place[order], rank[order]
+        edges = np.flatnonzero(np.concatenate(([True], rank[1:] != rank[:-1]))).tolist() if len(rank) else []
+        for a, b in zip(edges, [*edges[1:], len(rank)]):
+            one = int(rank[a])
+            if one not in waiting:
+                waiting[one] = []
+                heapq.heappush(ranks, one)
+            waiting[one].append(place[a:b])
+
+    look_up(np.arange(n))
+    while ranks:
+        rank = heapq.heappop(ranks)
+        pair = int(vocabulary.pair_of[rank])
+        place = np.unique(np.concatenate(waiting.pop(rank)))
+        place = place[symbols[place] << 32 | symbols[after[place]] == pair]  # others were merged meanwhile
+        if pair >> 32 == pair & 0xFFFFFFFF and len(place) > 1:
+            # of overlapping pairs every second one merges, from the left
+            first = np.concatenate(([True], after[place[:-1]] != place[1:]))
+            start = np.flatnonzero(first)[np.cumsum(first) - 1]
+            place = place[(np.arange(len(place)) - start) % 2 == 0]
+        if not len(place):
+            continue
+        gone = after[place]
+        symbols[place], symbols[gone] = vocabulary.made_of[rank], -1
+        after[place] = after[gone]
+        before[after[place]] = place  # that of the end is never read
+        left = before[place]
+        look_up(np.unique(np.concatenate((left[left < n], place))))
+    out = []
+    for a, b in zip((ends - sizes).tolist(), ends.tolist()):
+        out.append(symbols[a:b][symbols[a:b] >= 0].astype("<u4").tobytes())
+    return out
+
+
 class Encoder:
     """Encodes texts; remembers short pieces as their ids in little-endian 32-bit form."""
 
@@ -124,8 +192,12 @@ class Encoder:
             self.known = {n: np.array([i], "<u4").tobytes() for n, i in self.vocabulary.added.items()}
         cut = [self.pieces(t) for t in texts]
         fresh = list(set().union(*cut) - self.known.keys()) if cut else []
-        merged = merge_pieces([p.encode() for p in fresh], self.vocabulary)
-        now = dict(zip(fresh, merged))
+        now: dict[str, bytes] = {}
+        raw = [p.encode() for p in fresh]
+        for merge, chosen in ((merge_pieces, [k for k, p in enumerate(raw) if len(p) < LONG_PIECE]),
+                              (merge_long, [k for k, p in enumerate(raw) if len(p) >= LONG_PIECE])):
+            if chosen:
+                now |= zip([fresh[k] for k in chosen], merge([raw[k] for k in chosen], self.vocabulary))
         short = {p: ids for p, ids in now.items() if len(p) <= LONGEST_KNOWN}
         self.known |= short
         find = self.known.__getitem__ if len(short) == len(now) else (self.known | now).__getitem__
@@ -144,10 +216,7 @@ def _encoder(content: bytes) -> Encoder:
     """One encoder per worker and vocabulary."""
     key = hashlib.sha256(content).hexdigest()
     if key not in _ENCODERS:
-        with tempfile.NamedTemporaryFile(suffix=".json") as file:
-            file.write(content)
-            file.flush()
-            _ENCODERS[key] = Encoder(Vocabulary(file.name))
+        _ENCODERS[key] = Encoder(Vocabulary(content))
     return _ENCODERS[key]
 
 
