@@ -65,6 +65,12 @@ def test_one_row_of_each_component_stays(odd, empty):
     assert simhash.drop_near_duplicates(empty).count() == 0
 
 
+def test_keys_of_split_buckets_are_joined_by_shuffle(spark):
+    rows = spark.range(300).selectExpr("id * 7 AS fingerprint")
+    plan = simhash.link_table(rows, 3, 64)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_links_do_not_depend_on_bucket_size(spark):
     """A dense group of prints, random ones, and buckets that must be split."""
     rng = random.Random(5)

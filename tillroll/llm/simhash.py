@@ -21,8 +21,7 @@ from tillroll.llm.common import Batches, batch_of, checkpointed, packed, small_b
 from tillroll.llm.components import connected
 
 BITS = 64
-BUCKET_ROWS = 4096          # buckets above this are split by further bits
-MOST_SPLIT_KEYS = 100_000   # raises BUCKET_ROWS so far that the list of split keys stays below this
+BUCKET_ROWS = 4096          # buckets above this are split by further bits, at every input size
 PAIRWISE_ROWS = 16          # smaller buckets are compared at every lag, larger ones by search
 
 
@@ -172,15 +171,15 @@ def link_table(prints: DataFrame, max_distance: int = 3, bucket_rows: int = BUCK
 
     Small buckets give every link, large ones a spanning forest of theirs. A bucket above
     ``bucket_rows`` is not sent to one task: its members take finer keys until every bucket fits.
-    Each finer key fixes more bits, so this ends after a few rounds and loses no pair.
+    Each finer key fixes more bits, so this ends after a few rounds and loses no pair. The keys of
+    such buckets may be many: they meet the members in a shuffle join, in which Spark splits hot keys.
     """
     spark = prints.sparkSession
     if max_distance < 1:
         return spark.createDataFrame([], "a long, b long")
     rows = prints.select("fingerprint")
     masks, per_segment, found = _first_masks(max_distance), 2, []
-    total = rows.count() * len(masks)
-    limit = max(bucket_rows, 64, total // MOST_SPLIT_KEYS)
+    limit = max(bucket_rows, 64)
     paths = None
     while True:
         if paths is None:
@@ -196,7 +195,7 @@ def link_table(prints: DataFrame, max_distance: int = 3, bucket_rows: int = BUCK
             ).select("fingerprint", "path", F.xxhash64("path", F.col("fingerprint").bitwiseAND(
                 F.element_at(table, F.col("path") + 1))).alias("key"))
         crowded = checkpointed(keyed.groupBy("key").count().where(F.col("count") > limit).select("key"))
-        split = F.broadcast(crowded)  # below MOST_SPLIT_KEYS keys by the choice of limit
+        split = crowded.hint("merge")
         fit = keyed.join(split, "key", "left_anti")
         found.append(fit.repartition("key").sortWithinPartitions("key", "path").mapInArrow(
             _bucket_links(max_distance, per_segment), "a long, b long"))
@@ -204,8 +203,6 @@ def link_table(prints: DataFrame, max_distance: int = 3, bucket_rows: int = BUCK
             break
         paths = checkpointed(keyed.join(split, "key", "left_semi").select("fingerprint", "path"))
         masks, per_segment = _finer_masks(masks, max_distance), per_segment * (max_distance + 1)
-        # a path's members can multiply, so the bound on the list of split keys is kept anew
-        limit = max(limit, paths.count() * (max_distance + 1) // MOST_SPLIT_KEYS)
     return reduce(DataFrame.unionByName, found)
 
 
