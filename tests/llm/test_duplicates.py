@@ -66,7 +66,7 @@ def test_one_row_of_each_component_stays(odd, empty):
 
 
 def test_keys_of_split_buckets_are_joined_by_shuffle(spark):
-    rows = spark.range(300).selectExpr("id * 7 AS fingerprint")
+    rows = spark.range(300).selectExpr("shiftrightunsigned(xxhash64(id), 24) AS fingerprint")  # one crowded bucket
     plan = simhash.link_table(rows, 3, 64)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
