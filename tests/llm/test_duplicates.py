@@ -167,13 +167,60 @@ def test_merging_in_small_steps_changes_nothing(spark, monkeypatch):
     rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(5)
     want = slow_repeats([(k, t) for k, t in enumerate(texts)], 6)
     for step in (1, 500_000):
-        monkeypatch.setattr(substrings, "MERGE_ROWS", step)
+        monkeypatch.setattr(substrings, "MERGE_PIECES", step)
         got = {r.row.doc_id: (r.n_words, r.n_removed, bytes(r.kept or b"")) for r in
                substrings.remove_repeats(rows, window=6).collect()}
         assert {k: v[:2] for k, v in got.items()} == {k: want[(k, t)][:2] for k, t in enumerate(texts)}
         assert all(got[k][2].split() == want[(k, t)][2].split() for k, t in enumerate(texts))
 
 
+def test_lengthened_prefixes_and_small_trees_change_nothing(spark, monkeypatch):
+    rng = random.Random(8)
+    shared = [f"s{k}" for k in range(40)]
+    texts = []
+    for _ in range(80):
+        at = rng.randint(0, 25)
+        texts.append(" ".join([*(rng.choice("abc") for _ in range(rng.randint(0, 9))), *shared[at:at + rng.randint(3, 15)],
+                               *(rng.choice("abc") for _ in range(rng.randint(0, 9)))]))
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    want = slow_repeats([(k, t) for k, t in enumerate(texts)], 6)
+    for places, suffixes, pieces in ((1, 1, 1), (5, 3, 100_000), (30_000, 7, 3)):
+        monkeypatch.setattr(substrings, "GROUP_PIECES", places)
+        monkeypatch.setattr(substrings, "TREE_SUFFIXES", suffixes)
+        monkeypatch.setattr(substrings, "MERGE_PIECES", pieces)
+        got = {r.row.doc_id: (r.n_words, r.n_removed) for r in substrings.remove_repeats(rows, window=6).collect()}
+        assert got == {k: want[(k, t)][:2] for k, t in enumerate(texts)}
+
+
+def test_longest_repeats(odd, empty):
+    for window in (4, 20):
+        want, seen = Counter(), set()
+        for (no_id, id_, _), text in sorted(set(ordered(odd)), key=lambda r: r[0]):
+            words, starts, last = (text or "").encode().split(), [], None
+            for k in range(len(words) - window + 1):
+                if tuple(words[k:k + window]) in seen:
+                    starts.append(k)
+                seen.add(tuple(words[k:k + window]))
+            for k in starts:
+                if last is None or k != last[1]:
+                    last = [k, k + 1]
+                last[1] = k + 1
+                want[None if no_id else id_, last[0]] = last[1] - last[0] + window - 1
+        got = {(r.row.doc_id, r.first_word): r.n_words for r in substrings.longest_repeats(odd, window=window).collect()}
+        assert got == dict(want)
+    assert substrings.longest_repeats(empty).count() == 0
+
+
+def test_depth_is_counted_in_whole_words():
+    pieces = substrings._Pieces(4)
+    words = [bytes([0, 0, 0, 0, 0, 0, 0, k]) for k in range(9)]
+    pieces.add(b"".join(words[:6]), 0, (False, 1, 0, 0))
+    pieces.add(b"".join([words[8], *words[1:6]]), 0, (False, 2, 0, 7))
+    pieces.add(b"".join([words[8], *words[2:5], words[7]]), 0, (False, 3, 0, 0))
+    pieces.add_nodes()
+    assert list(pieces.runs()) == [(False, 2, 0, 8, 2)]
+
+
 def test_anchors_are_shared_by_equal_windows():
     rng = np.random.default_rng(2)
     shared = rng.integers(0, 2**63, 40, dtype=np.uint64)
@@ -182,6 +229,10 @@ def test_anchors_are_shared_by_equal_windows():
     for window in (4, 5, 8, 20, 23):
         one, two = substrings._anchors(a, window)[0], substrings._anchors(b, window)[0]
         n = 40 - window + 1
+        for hashes, values in ((a, one), (b, two)):
+            found, place = substrings._anchor_places(hashes, window)
+            assert (found == values).all() and (place >= np.arange(len(place))).all()
+            assert (substrings._grams(hashes, min(5, window))[place] == values).all()
         assert (one[17:17 + n] == two[:n]).all() and len(one) == len(a) - window + 1
 
 
