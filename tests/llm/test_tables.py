@@ -141,6 +141,20 @@ def test_rounding_is_unbiased(spark):
     assert total / 300 == pytest.approx(4.0, abs=0.9)
 
 
+def test_mix_is_the_same_however_rows_are_batched(spark, odd):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was, found = spark.conf.get(name), []
+    try:
+        for most in (1, 3, 1000):
+            spark.conf.set(name, most)
+            found.append(collections.Counter(
+                (r.row.doc_id, r.row.text, r.row.source, r.size, r.source_size, r.target, r.copies)
+                for r in mixing.mix(odd).collect()))
+    finally:
+        spark.conf.set(name, was)
+    assert found[0] == found[1] == found[2] and sum(found[0].values()) == odd.count()
+
+
 def test_mix_of_odd_rows(odd, empty):
     rows = mixing.mix(odd).collect()
     check_mix(odd.collect(), rows)

@@ -164,17 +164,20 @@ def _fates(opened: DataFrame, seed: int, levels: int) -> DataFrame:
 def _settled(seed: int):
     """Level 0 again, on whole rows, with the fate of each group's open document at its front."""
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
-        group, held, fate, pool, schema = None, None, False, None, None
+        group, held, fate, pool, before = None, None, False, None, None
         for batch in batches:
-            out: list[tuple] = []  # (row, source_size, target, size, copies)
+            out: list[tuple] = []  # (place of the row, size, copies)
             names = ("rank", "bucket", "kind", "fate", "size", "words", "draw", "whole", "fraction", "source_size")
             columns = [batch.column(c).to_pylist() for c in names]
+            # whole rows stay in Arrow: place 0 has the row still held, the others are the batch's
             carried = [batch.column(c) for c in ("row", "source_size", "target")]
+            before = before or [pa.nulls(1, c.type) for c in carried]
+            carried = [pa.concat_arrays([b, c]) for b, c in zip(before, carried)]
             schema = pa.schema([("row", carried[0].type), ("size", pa.int64()), ("source_size", pa.int64()),
                                 ("target", pa.float64()), ("copies", pa.int64())])
 
             def done(one: tuple, taken: bool) -> None:
-                out.append((*one[0], one[1], one[2] + taken))
+                out.append((one[0], one[1], one[2] + taken))
 
             for k, (rank, bucket, kind, said, size, words, draw, whole, fraction, total) in enumerate(zip(*columns)):
                 if (rank, bucket) != group:
@@ -184,7 +187,7 @@ def _settled(seed: int):
                 if kind == 0:
                     fate = said
                     continue
-                mine = (tuple(c[k] for c in carried), size, whole, words, draw)
+                mine = (k + 1, size, whole, words, draw)
                 if bucket == POOL:
                     pool = pool or (fraction, float(total))
                     taken, *pool = _pooled(*pool, size, _draw(seed, -2, draw))
@@ -207,14 +210,16 @@ def _settled(seed: int):
                             done(held, a > 0)
                             held = None
             if out:
-                yield _rows(schema, out)
+                yield _rows(schema, carried, out)
+            if held:
+                before, held = [c.take(pa.array([held[0]])) for c in carried], (0, *held[1:])
         if held:
-            yield _rows(schema, [(*held[0], held[1], held[2] + fate)])
+            yield _rows(schema, before, [(0, held[1], held[2] + fate)])
 
-    def _rows(schema: pa.Schema, out: list[tuple]) -> pa.RecordBatch:
-        row, source_size, target, size, taken = zip(*out)
-        return batch_of(schema, pa.array([r.as_py() for r in row], schema.field("row").type), size,
-                        [s.as_py() for s in source_size], [t.as_py() for t in target], taken)
+    def _rows(schema: pa.Schema, carried: list[pa.Array], out: list[tuple]) -> pa.RecordBatch:
+        at, size, copies = zip(*out)
+        row, source_size, target = (c.take(pa.array(at)) for c in carried)
+        return batch_of(schema, row, size, source_size, target, copies)
 
     return run
 
