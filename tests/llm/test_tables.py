@@ -6,11 +6,13 @@ import hashlib
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 import corpus_pipeline
 from compare import difference, duck
-from tillroll.llm import mixing, parsing, quality_rules, queries, substrings, url_rules
+from test_duplicates import slow_components, slow_print, slow_repeats
+from tillroll.llm import mixing, parsing, pipeline, quality_rules, queries, substrings, toxicity, url_rules
 from tillroll.llm.common import read_table
 
 SQL = queries.oracle_sql()
@@ -262,6 +264,54 @@ def test_fingerprints_keep_no_row_a_range_on_the_driver(spark, odd):
 
 # --- pipeline ------------------------------------------------------------------------------
 
+def test_stages_decide_as_brute_force_does(spark, sf_dir):
+    """Every stage on what the one before left, against plain Python."""
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    stages = dict(corpus_pipeline.STAGES)
+
+    def rows_of(frame):
+        return {r.doc_id: r for r in frame.collect()}
+
+    before, clean = rows_of(docs), stages["toxicity"](spark, docs, sf_dir).cache()
+    grammar = toxicity.fit(docs, toxicity.training_rows(labels))
+    found = {i: grammar.scores(np.array([grammar.features(r.text)]))[0] for i, r in before.items()}
+    assert rows_of(clean) == {i: r for i, r in before.items() if found[i] < 0.5}
+
+    before, single = rows_of(clean), stages["near duplicates"](spark, clean, sf_dir).cache()
+    least = slow_components([(i, slow_print(r.text)) for i, r in before.items()])
+    assert rows_of(single) == {i: r for i, r in before.items() if least[slow_print(r.text)] == i}
+
+    before, fresh = rows_of(single), stages["substrings"](spark, single, sf_dir).cache()
+    want = slow_repeats([(i, r.text) for i, r in before.items()], 20)
+    after = rows_of(fresh)
+    assert after.keys() == before.keys()
+    for (i, text), (_, gone, kept) in want.items():
+        assert after[i].text == (kept.decode() if gone else text) and after[i].n_chars == len(after[i].text)
+        assert after[i].asDict() | {"text": 0, "n_chars": 0} == before[i].asDict() | {"text": 0, "n_chars": 0}
+
+    mixed = stages["mixing"](spark, fresh, sf_dir).cache()
+    copies = collections.Counter(mixed.collect())
+    assert set(copies) <= set(after.values()) and max(copies.values()) <= 3
+    sizes, taken = collections.Counter(), collections.Counter()
+    for r in after.values():
+        sizes[r.source] += len(r.text.encode().split())
+        taken[r.source] += copies[r] * len(r.text.encode().split())
+    target = slow_targets(sizes)
+    longest = max(len(r.text.encode().split()) for r in after.values())
+    assert all(abs(taken[s] - target[s]) <= longest for s in sizes)
+
+    library = Tokenizer.from_file(pipeline.vocabulary_path())
+    library.no_truncation()
+    library.no_padding()
+    want = collections.Counter()
+    for r, n in copies.items():
+        ids = library.encode(r.text, add_special_tokens=False).ids
+        want[r.doc_id, r.source, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(),
+             hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()] += n
+    got = stages["encoding"](spark, mixed, sf_dir).select("doc_id", "source", "n_tokens", "ids_sha256", "decoded_sha256")
+    assert collections.Counter(map(tuple, got.collect())) == want
+
+
 def test_every_stage_works_on_all_that_is_left(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
     left = [docs.count()]
