@@ -246,8 +246,8 @@ def _repeat_rows(window: int):
         held, size, group, schema = _Pieces(window), 0, None, None
 
         def rows() -> Iterator[pa.RecordBatch]:
-            held.add_nodes()
             out = [(*r[:3], r[3] << 32 | r[4]) for r in held.runs()]
+            held.repeats.clear()
             for at in range(0, len(out), 20_000):
                 yield batch_of(schema, *map(list, zip(*out[at:at + 20_000])))
 
@@ -256,9 +256,12 @@ def _repeat_rows(window: int):
                                 ("th", pa.int32()), ("run", pa.int64())])
             names = ("prefix", "piece", "no_id", "id", "th", "pos", "len")
             for prefix, piece, *place, length in zip(*(batch.column(c).to_pylist() for c in names)):
-                if prefix != group and size + len(held.repeats) >= TREE_SUFFIXES:
+                if prefix != group and size >= TREE_SUFFIXES:
+                    held.add_nodes()
                     yield from rows()
                     held, size = _Pieces(window), 0
+                elif len(held.repeats) >= TREE_SUFFIXES:  # known for good, so a large group sends them as it goes
+                    yield from rows()
                 group = prefix
                 if length:
                     held.repeats.append((*place, length))
@@ -268,6 +271,7 @@ def _repeat_rows(window: int):
                     held.add(piece, prefix, tuple(place))
                     size += held.windows(piece)
         if schema:
+            held.add_nodes()
             yield from rows()
 
     return run
