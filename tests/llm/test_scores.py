@@ -302,6 +302,36 @@ def test_every_counted_pair_is_held_at_any_size(spark, sf_dir, texts, odd, monke
         assert sorted(s for _, _, s in found.elements()) == pytest.approx(sorted(slow[r] for r in rows), abs=1e-4)
 
 
+def test_shares_are_fitted_on_every_training_document(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(f"w{w}" for w in rng.zipf(1.4, 40) % 300)) for i in range(900)]
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    train = [t for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    seen, fit = [], language_model._fitted_shares
+    monkeypatch.setattr(language_model, "_fitted_shares", lambda terms: seen.append(terms) or fit(terms))
+    language_model.score(spark.createDataFrame(rows, "doc_id long, text string"), held_out, probes=24).collect()
+
+    split = lambda t: t.encode().split() + [b"\n"]
+    words = collections.Counter(w for t in train for w in split(t))
+    pairs = collections.Counter(p for t in train for p in zip([b"\n", *split(t)], split(t)))
+    n, v, want = sum(words.values()), len(words), collections.Counter()
+    for t in train:  # the counts of all other texts, of pairs as the filter tells them
+        own, both = collections.Counter(split(t)), collections.Counter(zip([b"\n", *split(t)], split(t)))
+        for p in zip([b"\n", *split(t)], split(t)):
+            before, left = words[p[0]] - own[p[0]], int(1.4 * 2 ** (pairs[p].bit_length() - 1)) - both[p]
+            pair = min(2.0 ** (left.bit_length() - 1), before) / max(before, 1) if left > 0 else 0.0
+            ratio = pair / ((words[p[1]] - own[p[1]] + 1) / (n + v + 1))
+            low, high = language_model.OCTAVES
+            step = 1 + int((min(max(math.log2(ratio), low), high) - low) * language_model.STEPS) if ratio else 0
+            want[min(int(math.log2(before + 1)), language_model.CLASSES - 1), step] += 1
+    found = collections.Counter()
+    for cells, numbers in seen[0].where("cells IS NOT NULL").select("cells", "numbers").collect():
+        for cell, number in zip(cells, numbers):
+            found[divmod(cell, language_model._columns())] += number
+    assert sum(found.values()) == n  # every training token
+    assert sum(((found - want) + (want - found)).values()) < n / 100  # a ratio on an edge may round either way
+
+
 # --- tokens --------------------------------------------------------------------------------
 
 @pytest.fixture(scope="module")

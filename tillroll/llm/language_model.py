@@ -11,8 +11,10 @@ in its row: the distinct pairs of every chunk of texts are sent to the segments,
 back to the chunk. Both ways make the same probes and give the same scores.
 
 P(w | v) = (1 - b) * count(v w) / count(v) + b * (count(w) + 1) / (N + V + 1), where b depends on the
-size of count(v). It is fitted on a few training documents, whose own words and pairs are taken off
-their counts for it, and which are in the filter like all others.
+size of count(v). It is fitted on every training document, whose own words and pairs are taken off
+their counts for it, and which are in the filter like all others. A token's likelihood depends on b only
+by the ratio of its two terms, so that numbers of tokens by class and ratio are all the fit needs. The
+ratios are stored by text as they are counted; scores are summed from them.
 
 Word counts reach the texts by a shuffle: documents are dealt to chunks, every chunk's distinct words
 are counted over the corpus and come back to it as one sorted dictionary.
@@ -34,8 +36,8 @@ FILTER_BYTES = 64 << 20   # a filter up to this size is broadcast
 PROBES = 4                # bits of each level of a pair
 CHUNK_BYTES = 24 << 20    # text whose words share a dictionary
 FLUSH_TOKENS = 3_000_000  # tokens that a task counts before it sends them
-TUNING_DOCS = 300         # training documents that set the interpolation, at most
-TUNING_PART = 20          # and one in so many
+STEPS = 16                # of a ratio of pair to word model, by octave, for the fit
+OCTAVES = (-24, 64)
 SHARES = np.concatenate((np.linspace(0.02, 0.98, 49), [0.99, 0.995, 0.999]))
 CLASSES = 48              # of count(v), by powers of two
 _END = np.uint64(xxhash.xxh64_intdigest(b"\n"))  # no word has a line break
@@ -46,7 +48,7 @@ _FIRST = np.zeros(1, np.int64)
 SCORED_TOKENS = 300_000   # tokens of several texts that are looked up together
 ROWS_OUT = 200            # count rows of one batch
 
-WORDS, PAIRS, TUNING, DICTIONARY, SEGMENT = range(5)
+WORDS, PAIRS, TOTALS, DICTIONARY, SEGMENT = range(5)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -237,8 +239,8 @@ def _count_rows(word_buckets: int, pair_buckets: int):
 _SUMMED = "kind int, place int, keys binary, counts binary, types long, tokens long"
 
 
-def _summed(wanted: np.ndarray, probes: int):
-    """Sorted count rows to totals: dictionaries of the chunks, segments of the filter, counts of wanted hashes."""
+def _summed(probes: int):
+    """Sorted count rows to totals: dictionaries of the chunks, segments of the filter, numbers of words."""
     schema = pa.schema([("kind", pa.int32()), ("place", pa.int32()), ("keys", pa.binary()),
                         ("counts", pa.binary()), ("types", pa.int64()), ("tokens", pa.int64())])
 
@@ -246,9 +248,7 @@ def _summed(wanted: np.ndarray, probes: int):
         order = np.lexsort((chunks, keys))
         keys, counts, chunks = keys[order], counts[order], chunks[order]
         distinct, totals, first = _totals(keys, counts)
-        mine = np.isin(distinct, wanted)
-        yield (TUNING, WORDS, _packed(distinct[mine]), totals[mine].tobytes(),
-               int((totals > 0).sum()), int(totals.sum()))
+        yield TOTALS, WORDS, b"", b"", int((totals > 0).sum()), int(totals.sum())
         once = first | np.concatenate(([True], chunks[1:] != chunks[:-1]))
         totals = totals[np.cumsum(first) - 1]
         for chunk, held, numbers in _by_chunk(keys[once], chunks[once], totals[once]):
@@ -257,8 +257,6 @@ def _summed(wanted: np.ndarray, probes: int):
     def pairs(bucket, keys, counts) -> Iterator[tuple]:
         order = np.argsort(keys, kind="stable")
         keys, totals, _ = _totals(keys[order], counts[order])
-        mine = np.isin(keys, wanted)
-        yield TUNING, PAIRS, _packed(keys[mine]), totals[mine].tobytes(), 0, 0
         yield SEGMENT, bucket, segment(keys, np.log2(totals).astype(np.uint8), probes).tobytes(), b"", 0, 0
 
     def done(group, parts) -> Iterator[pa.RecordBatch]:
@@ -357,26 +355,39 @@ def _dealt_levels(texts: DataFrame, segments: DataFrame, buckets: int, tasks: in
 
 @dataclass
 class Model:
-    """What the workers get: the filter (None if dealt), the corpus totals, and the share of the word model by class."""
+    """What the workers get: the filter (None if dealt) and the corpus totals."""
 
     filter: Filter | None
     train_tokens: int
     types: int
-    shares: np.ndarray
 
-    def terms(self, counts: np.ndarray, levels: np.ndarray, starts: np.ndarray):
-        """Per token of texts that begin at ``starts``: word probability, relative pair count, class of the word before."""
-        before = _shifted(counts, starts, counts[starts[1] - 1 if len(starts) > 1 else -1])  # texts end alike
+    def terms(self, counts: np.ndarray, seen: np.ndarray, before: np.ndarray):
+        """Per token: word probability, relative pair count as a multiple of it, class of the word before."""
         word = (counts + 1.0) / (self.train_tokens + self.types + 1.0)
-        pair = np.where(levels >= 0, np.minimum(2.0 ** levels, before) / np.maximum(before, 1), 0.0)
-        return word, pair, np.minimum(np.log2(before + 1).astype(np.int64), CLASSES - 1)
+        pair = np.minimum(seen, before) / np.maximum(before, 1)
+        return word, pair / word, np.minimum(np.log2(before + 1).astype(np.int64), CLASSES - 1)
 
-    def log10(self, counts: np.ndarray, levels: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(word model, pair model) of each text."""
-        word, pair, kind = self.terms(counts, levels, starts)
-        share = self.shares[kind]
-        return (np.add.reduceat(np.log10(word), starts),
-                np.add.reduceat(np.log10((1 - share) * pair + share * word), starts))
+
+def _before(counts: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    return _shifted(counts, starts, counts[starts[1] - 1 if len(starts) > 1 else -1])  # texts end alike
+
+
+def _repeats(keys: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """How often each key stands in its own text."""
+    _, at, n = np.unique(_mixed(keys + number * _ODD), return_inverse=True, return_counts=True)
+    return n[at]
+
+
+def _cells(ratios: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """The cell of each token in a table of classes by ratios; the first column holds ratios of zero."""
+    low, high = OCTAVES
+    with np.errstate(divide="ignore"):
+        step = np.floor((np.clip(np.log2(ratios), low, high) - low) * STEPS).astype(np.int64) + 1
+    return classes * _columns() + np.where(ratios > 0, step, 0)
+
+
+def _columns() -> int:
+    return (OCTAVES[1] - OCTAVES[0]) * STEPS + 2
 
 
 def _lookup(keys: np.ndarray, values: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -386,32 +397,6 @@ def _lookup(keys: np.ndarray, values: np.ndarray, hashes: np.ndarray) -> np.ndar
     return np.where(keys[at] == hashes, values[at], 0).astype(np.float64)
 
 
-def _tuning_rows(shared, probes: int):
-    """Log likelihood of tuning texts for each class and share, by the counts of all other texts.
-
-    A pair that no other text has is read as seen once at the rate at which half-filled segments err.
-    """
-    def run(batches: Batches) -> Iterator[pa.RecordBatch]:
-        model, words, pairs = shared.value
-        wrong = 0.5 ** probes
-        out = np.zeros((CLASSES, len(SHARES)))
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                hashes = tokens(text)
-                counts, seen = _lookup(*words, hashes), _lookup(*pairs, _pair_keys(hashes, _FIRST))
-                levels = np.where(seen > 0, np.floor(np.log2(np.maximum(seen, 1))), -1)
-                word, pair, kind = model.terms(counts, levels, _FIRST)
-                _, once, _ = model.terms(counts, np.maximum(levels, 0), _FIRST)
-                likely, other = (np.log(word[:, None] * SHARES + p[:, None] * (1 - SHARES)) for p in (pair, once))
-                likely = (1 - wrong) * likely + wrong * other
-                for k in np.unique(kind):
-                    out[k] += likely[kind == k].sum(axis=0)
-        yield batch_of(pa.schema([("sums", pa.list_(pa.float64()))]),
-                       pa.array([out.reshape(-1)], pa.list_(pa.float64())))
-
-    return run
-
-
 def _dictionary(parts: list[tuple[bytes, bytes]], values: type) -> tuple[np.ndarray, np.ndarray]:
     if not parts:
         return np.zeros(0, np.uint64), np.zeros(0, values)
@@ -420,13 +405,33 @@ def _dictionary(parts: list[tuple[bytes, bytes]], values: type) -> tuple[np.ndar
     return keys[order], np.frombuffer(b"".join(v for _, v in parts), values)[order]
 
 
-def _score_rows(shared):
-    """Rows sorted by chunk, the chunk's words and dealt pairs before its texts, to scores."""
+def _without_own(model: Model, counts: np.ndarray, levels: np.ndarray, hashes: np.ndarray, asked: np.ndarray,
+                 starts: np.ndarray, train: np.ndarray) -> np.ndarray:
+    """Cells of the tokens of training texts, by the counts of all other texts.
+
+    A count of a level is taken as 1.4 times the least one, less the text's own, and rounded down again.
+    """
+    number = np.repeat(np.arange(len(starts), dtype=np.uint64), np.diff(np.append(starts, len(hashes))))
+    mine = train[number.astype(np.int64)]
+    # an end of the text itself stands before its first token
+    others = counts - _repeats(hashes, number)
+    seen = np.where(levels >= 0, np.floor(1.4 * 2.0 ** levels), 0) - _repeats(asked, number)
+    held = np.where(seen >= 1, 2.0 ** np.floor(np.log2(np.maximum(seen, 1))), 0.0)
+    _, ratios, classes = model.terms(np.maximum(others, 0), held, np.maximum(_before(others, starts), 0))
+    return _cells(ratios[mine], classes[mine])
+
+
+def _term_rows(shared):
+    """Rows sorted by chunk, the chunk's words and dealt pairs before its texts, to the terms of each text.
+
+    Rows without classes have the numbers of left-out training tokens by cell.
+    """
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
         model = shared.value
         chunk, parts, words, pairs = None, ([], []), None, None
+        fit, schema = np.zeros(CLASSES * _columns(), np.int64), None
 
-        def scored(rows: list[int], held: list[np.ndarray]) -> Iterator[tuple]:
+        def terms(rows: list[int], held: list[np.ndarray], train: list[bool]) -> Iterator[tuple]:
             sizes = np.fromiter(map(len, held), np.int64, len(held))
             starts = np.cumsum(sizes) - sizes
             hashes = np.concatenate(held)
@@ -434,16 +439,24 @@ def _score_rows(shared):
             asked = _pair_keys(hashes, starts)
             levels = model.filter.levels(asked) if model.filter else _lookup(*pairs, asked) - 1
             known = np.add.reduceat((found > 0).astype(np.int64), starts)
-            base, score = model.log10(found, levels, starts)
-            yield from zip(rows, sizes.tolist(), known.tolist(), base.tolist(), score.tolist())
+            word, ratios, classes = model.terms(
+                found, np.where(levels >= 0, 2.0 ** levels, 0.0), _before(found, starts))
+            base = np.add.reduceat(np.log10(word), starts)
+            if any(train):
+                fit[:] += np.bincount(
+                    _without_own(model, found, levels, hashes, asked, starts, np.array(train)), minlength=len(fit))
+            ratios, classes = ratios.astype(np.float32), classes.astype(np.uint8)
+            for k, n, n_known, total, at in zip(rows, sizes.tolist(), known.tolist(), base.tolist(), starts.tolist()):
+                yield k, n, n_known, total, classes[at:at + n].tobytes(), ratios[at:at + n].tobytes()
 
         for batch in batches:
-            out, rows, held, total = [], [], [], 0
-            columns = [batch.column(c).to_pylist() for c in ("chunk", "kind", "keys", "counts", "text")]
-            for k, (where, kind, some, counts, text) in enumerate(zip(*columns)):
+            out, rows, held, train, total = [], [], [], [], 0
+            schema = _terms_schema(batch.column("id").type)
+            columns = [batch.column(c).to_pylist() for c in ("chunk", "kind", "keys", "counts", "held_out", "text")]
+            for k, (where, kind, some, counts, apart, text) in enumerate(zip(*columns)):
                 if rows and (where != chunk or total >= SCORED_TOKENS):
-                    out += scored(rows, held)
-                    rows, held, total = [], [], 0
+                    out += terms(rows, held, train)
+                    rows, held, train, total = [], [], [], 0
                 if where != chunk:
                     chunk, parts, words = where, ([], []), None
                 if kind < 2:
@@ -454,18 +467,44 @@ def _score_rows(shared):
                     parts = ([], [])
                 rows.append(k)
                 held.append(tokens(text))
+                train.append(not apart)
                 total += len(held[-1])
             if rows:
-                out += scored(rows, held)
+                out += terms(rows, held, train)
             if out:
-                at, n_tokens, n_known, base, score = zip(*out)
+                at, *found = zip(*out)
                 at = pa.array(at)
-                schema = pa.schema([
-                    ("id", batch.column("id").type), ("held_out", pa.bool_()), ("n_tokens", pa.int64()),
-                    ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()),
-                    ("score", pa.float64())])
-                yield batch_of(schema, batch.column("id").take(at), batch.column("held_out").take(at), n_tokens,
-                               n_known, [model.train_tokens] * len(n_tokens), base, score)
+                yield batch_of(schema, batch.column("id").take(at), batch.column("held_out").take(at), *found,
+                               [None] * len(at), [None] * len(at))
+        cells = np.flatnonzero(fit)
+        if len(cells):
+            yield batch_of(schema, *[[None]] * 7, [cells.tolist()], [fit[cells].tolist()])
+
+    return run
+
+
+def _terms_schema(id_type: pa.DataType) -> pa.Schema:
+    return pa.schema([
+        ("id", id_type), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
+        ("base_score", pa.float64()), ("classes", pa.binary()), ("ratios", pa.binary()),
+        ("cells", pa.list_(pa.int32())), ("numbers", pa.list_(pa.int64()))])
+
+
+def _score_rows(shares: np.ndarray, train_tokens: int):
+    """The terms of texts to scores."""
+    def run(batches: Batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = []
+            for base, classes, ratios in zip(*(batch.column(c).to_pylist() for c in ("base_score", "classes", "ratios"))):
+                share = shares[np.frombuffer(classes, np.uint8)]
+                ratio = np.frombuffer(ratios, np.float32).astype(np.float64)
+                scores.append(base + float(np.log10((1 - share) * ratio + share).sum()))
+            schema = pa.schema([
+                ("id", batch.column("id").type), ("held_out", pa.bool_()), ("n_tokens", pa.int64()),
+                ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()),
+                ("score", pa.float64())])
+            yield batch_of(schema, *[batch.column(c) for c in ("id", "held_out", "n_tokens", "n_known")],
+                           [train_tokens] * len(scores), batch.column("base_score"), scores)
 
     return run
 
@@ -496,22 +535,15 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     texts = slim.select(F.pmod("place", F.lit(chunks)).cast("int").alias("chunk"), F.lit(2).alias("kind"),
                         "id", "held_out", "text")
 
-    chosen = slim.where("NOT held_out").where(F.pmod(F.xxhash64("place"), F.lit(TUNING_PART)) == 0) \
-        .select("place").orderBy("place").limit(TUNING_DOCS)
-    sample = stored(slim.where("NOT held_out").join(F.broadcast(stored(chosen)), "place", "left_semi")
-                    .dropDuplicates(["place"]).select("text"))
-    own = _sample_counts(sample)
-
     counted = texts.select("chunk", (~F.col("held_out")).alias("train"), "text") \
         .mapInArrow(_count_rows(word_buckets, pair_buckets), _COUNT_ROWS)
     summed = stored(counted.repartition(tasks, "kind", "bucket").sortWithinPartitions("kind", "bucket")
-                    .mapInArrow(_summed(own[0], probes), _SUMMED))
+                    .mapInArrow(_summed(probes), _SUMMED))
 
-    totals = summed.where(f"kind = {TUNING}").select("place", "keys", "counts", "types", "tokens")
-    types, train_tokens = (x or 0 for x in totals.agg(F.sum("types"), F.sum("tokens")).first())
+    totals = summed.where(f"kind = {TOTALS}").agg(F.sum("types"), F.sum("tokens"))
+    types, train_tokens = (x or 0 for x in totals.first())
     segments = summed.where(f"kind = {SEGMENT}").select("place", "keys")
-    model = Model(None, train_tokens, types, np.full(CLASSES, 0.9))
-    model.shares = _fitted_shares(sample, model, totals.where("length(keys) > 0").collect(), own, probes)
+    model = Model(None, train_tokens, types)
     words = summed.where(f"kind = {DICTIONARY}").select(
         F.col("place").alias("chunk"), F.lit(0).alias("kind"), "keys", "counts")
     ready = texts.unionByName(words, allowMissingColumns=True)
@@ -523,37 +555,31 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
         ready = ready.unionByName(dealt.withColumn("kind", F.lit(1)), allowMissingColumns=True)
     shared = spark.sparkContext.broadcast(model)  # FILTER_BYTES at most, and a few numbers
     ready = ready.repartition(tasks, "chunk").sortWithinPartitions("chunk", "kind")
-    return ready.mapInArrow(_score_rows(shared), f"id {slim.schema['id'].dataType.simpleString()}, held_out boolean, "
-                            "n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    id_type = slim.schema["id"].dataType.simpleString()
+    terms = stored(ready.mapInArrow(
+        _term_rows(shared), f"id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, "
+        "classes binary, ratios binary, cells array<int>, numbers array<long>"))
+    shares = _fitted_shares(terms)
+    return terms.where("classes IS NOT NULL").drop("cells", "numbers").mapInArrow(
+        _score_rows(shares, train_tokens), f"id {id_type}, held_out boolean, n_tokens long, n_known long, "
+        "train_tokens long, base_score double, score double")
 
 
-def _sample_counts(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the words and pairs of TUNING_DOCS texts, and how often those texts have them."""
-    def run(batches: Batches) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                hashes = tokens(text)
-                found, n = np.unique(np.concatenate((hashes, _pair_keys(hashes, _FIRST))), return_counts=True)
-                yield batch_of(pa.schema([("h", pa.int64()), ("n", pa.int64())]), found.view(np.int64), n)
+def _fitted_shares(terms: DataFrame) -> np.ndarray:
+    """The likeliest share of the word model for each class over all training tokens, each by the other texts.
 
-    rows = sample.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).collect()
-    keys = np.array([r["h"] for r in rows], np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    return keys[order], np.array([r["n"] for r in rows], np.int64)[order]
-
-
-def _fitted_shares(sample: DataFrame, model: Model, found: list, own: tuple[np.ndarray, np.ndarray],
-                   probes: int) -> np.ndarray:
-    """The likeliest share of the word model for each class; classes without tuning tokens take the next lower one's."""
-    def others(kind: int) -> tuple[np.ndarray, np.ndarray]:
-        keys, counts = _dictionary([(r["keys"], r["counts"]) for r in found if r["place"] == kind], np.uint64)
-        return keys, np.maximum(counts - _lookup(*own, keys), 0)
-
-    shared = sample.sparkSession.sparkContext.broadcast((model, others(WORDS), others(PAIRS)))
-    rows = sample.mapInArrow(_tuning_rows(shared, probes), "sums array<double>").collect()
-    sums = sum((np.array(r["sums"]) for r in rows), np.zeros(CLASSES * len(SHARES))).reshape(CLASSES, -1)
+    Classes without tokens take the next lower one's.
+    """
+    counted = terms.where("cells IS NOT NULL").select(F.explode(F.arrays_zip("cells", "numbers")).alias("c")) \
+        .groupBy("c.cells").agg(F.sum("c.numbers").alias("n")).collect()  # CLASSES times _columns() at most
+    table = np.zeros(CLASSES * _columns())
+    for r in counted:
+        table[r["cells"]] = r["n"]
+    table = table.reshape(CLASSES, -1)
+    ratios = np.concatenate(([0.0], 2.0 ** (OCTAVES[0] + (np.arange(_columns() - 1) + 0.5) / STEPS)))
+    likely = table @ np.log(np.outer(ratios, 1 - SHARES) + SHARES)
     shares, last = np.empty(CLASSES), 0.9
     for k in range(CLASSES):
-        last = SHARES[int(sums[k].argmax())] if sums[k].any() else last
+        last = SHARES[int(likely[k].argmax())] if table[k].any() else last
         shares[k] = last
     return shares
