@@ -27,6 +27,23 @@ def test_compact_dates(column):
     assert column(dates.parse_compact_date, values) == want
 
 
+def test_plain_texts_are_read_without_the_long_patterns(spark):
+    rows = spark.createDataFrame([("20240229", "12")], "d string, n string").select(
+        dates.parse_compact_date(F.col("d")).alias("d"), numbers.parse_number(F.col("n")).alias("n"),
+        numbers.lookup_integer(F.col("n"), "n").alias("k"))
+    text = rows._jdf.queryExecution().analyzed().toString()
+    assert text.count("RLIKE") >= 4 and tuple(rows.first()) == (dt.date(2024, 2, 29), 12.0, 12)
+
+
+def test_plain_and_odd_texts_mean_the_same(column):
+    odd = ["20240229", " 20240229", "\u20280240229", "20240229\n", "\x0020240229", "20230229", "2024022", "202402291"]
+    assert column(dates.parse_compact_date, odd) == [
+        dt.date(2024, 2, 29), dt.date(2024, 2, 29), None, dt.date(2024, 2, 29), None, None, None, None]
+    figures = ["0012", "12\n", "\x0012", "1" * 15, "9" * 16, "-7", "", "1e3", "\u0661"]
+    assert column(numbers.parse_number, figures) == [
+        12.0, 12.0, None, float("1" * 15), float("9" * 16), -7.0, None, 1000.0, None]
+
+
 def test_iso_dates(column):
     values = ["2025-01-01", "2025-02-30", "2025-1-1", "2025", "someday", "2999-01-01", "", None]
     assert column(dates.parse_iso_date, values) == [dt.date(2025, 1, 1)] + [None] * 7

@@ -6,15 +6,15 @@ import datetime as dt
 
 from pyspark.sql import Column, functions as F
 
-from tillroll.functions.text import SPACES
+from tillroll.functions.text import padded
 
 # Fixed value: nanoseconds per day. A text date whose nanoseconds do not fit 64 bits (before
 # 1677-09-22 or after 2262-04-11) reads as unknown.
 DAY_NANOS = 86_400_000_000_000
 
 _ISO_DATE = r"^([0-9]{4}-[0-9]{2}-[0-9]{2})$"
-# any other text is replaced whole, by dashes alone, which is no date
-_COMPACT_DATE = f"(?s)^(?:{SPACES}([0-9]{{4}})([0-9]{{2}})([0-9]{{2}}){SPACES}|.*)$"
+_PLAIN_DATE = r"^ ?[0-9]{8}\z"
+_COMPACT_DATE = padded("[0-9]{8}")
 
 
 def as_of_date(as_of: dt.date | Column | None) -> Column:
@@ -36,8 +36,14 @@ def parse_iso_date(c: Column) -> Column:
 
 
 def parse_compact_date(c: Column) -> Column:
-    """``yyyyMMdd`` text to date; anything but eight digits of a real day is NULL."""
-    return _in_nanos(F.regexp_replace(c, _COMPACT_DATE, "$1-$2-$3").try_cast("date"))
+    """``yyyyMMdd`` text to date; anything but eight digits of a real day is NULL.
+
+    Digits after a plain space or none, the usual case, are read without the long pattern. Other text leaves
+    dashes alone, which is no date.
+    """
+    digits = F.when(c.rlike(_PLAIN_DATE), F.trim(c)).otherwise(F.regexp_extract(c, _COMPACT_DATE, 1))
+    parts = [F.substring(digits, at, n) for at, n in ((1, 4), (5, 2), (7, 2))]
+    return _in_nanos(F.concat(parts[0], F.lit("-"), parts[1], F.lit("-"), parts[2]).try_cast("date"))
 
 
 def months_crossed(start: Column, end: Column) -> Column:

@@ -7,12 +7,18 @@ from pyspark.sql import Column, functions as F
 from tillroll.functions.text import padded, strip
 
 _NUMBER = padded(r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?")
+_DIGITS = r"^[0-9]{1,15}\z"  # exact as a double
 _INTEGER = padded("[+-]?[0-9]+")
 
 
 def parse_number(c: Column) -> Column:
-    """Text to double; text that is no finite decimal number is NULL."""
-    return F.regexp_extract(c, _NUMBER, 1).try_cast("double")
+    """Text to double; text that is no finite decimal number is NULL.
+
+    Plain digits, the usual case, are read without the long pattern. No match is no text to cast, as a
+    failed cast costs an exception.
+    """
+    found = F.nullif(F.regexp_extract(c, _NUMBER, 1), F.lit(""))
+    return F.when(c.rlike(_DIGITS), c.try_cast("bigint").cast("double")).otherwise(found.try_cast("double"))
 
 
 def strict_integer(c: Column, what: str) -> Column:
@@ -33,7 +39,8 @@ def whole(c: Column, what: str) -> Column:
 
 def lookup_integer(c: Column, what: str) -> Column:
     """Text key to bigint: ``'17'`` and ``'17.0'`` read as 17, other text as NULL."""
-    return F.coalesce(strip(c).try_cast("bigint"), whole(parse_number(c), what))
+    return F.when(c.rlike(_DIGITS), c.try_cast("bigint")).otherwise(
+        F.coalesce(strip(c).try_cast("bigint"), whole(parse_number(c), what)))
 
 
 def int_divide(a: Column, b: Column) -> Column:
