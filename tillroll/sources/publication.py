@@ -14,6 +14,7 @@ import uuid
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
@@ -52,19 +53,26 @@ class Build:
         """Store a table and return it as stored.
 
         ``cluster_by`` deals the rows out by ranges of these columns and sorts the files by them.
-        With ``partition_by`` each folder then has a file or two, each with a range of its own.
+        With ``partition_by`` each folder then has a file or two, each with a range of its own. Ranges are
+        sampled before rows are dealt out, so the rows are kept on the executors' disks meanwhile: the
+        sample would otherwise build the whole table a first time.
         """
+        built = table.persist(StorageLevel.DISK_ONLY) if cluster_by else None
         if cluster_by:
-            table = table.repartitionByRange(*cluster_by)
+            table = built.repartitionByRange(*cluster_by)
         seen = Observation(f"{name}-{self.build}")
         observed = table.observe(
             seen, F.count(F.lit(1)).alias("rows"),
             *[F.count_if(F.col(f"`{c}`").isNull()).alias(f"nulls.{c}") for c in table.columns],
             *[F.sum(F.col(f"`{c}`")).cast("bigint").alias(f"sums.{c}") for c in sums])
         folder = posixpath.join(self.out, "builds", self.build)
-        path = save_tables(
-            {name: observed}, folder, inputs=self.inputs, partition_by={name: partition_by},
-            sort_by={name: cluster_by})[name]
+        try:
+            path = save_tables(
+                {name: observed}, folder, inputs=self.inputs, partition_by={name: partition_by},
+                sort_by={name: cluster_by})[name]
+        finally:
+            if built is not None:
+                built.unpersist()
         found = seen.get
 
         def of(kind: str) -> dict[str, int]:
