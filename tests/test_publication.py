@@ -158,6 +158,22 @@ def test_views_are_seen_from_another_session_and_hold_no_rows(spark, sf_dir, tmp
         spark.sql(f"DROP VIEW {name}")
 
 
+def test_a_clustered_table_is_built_once(spark, tmp_path):
+    built = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            built.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(3_000, numPartitions=3).mapInArrow(count, "id long")
+    build = publication.Build(spark, str(tmp_path))
+    stored = build.write("t", rows, sums=["id"], cluster_by=["id"])
+    assert stored.count() == 3_000 and build.measures["t"].rows == 3_000
+    assert built.value == 3_000  # not once more for the ranges
+    assert not spark._jsparkSession.sharedState().cacheManager().lookupCachedData(rows._jdf).isDefined()
+
+
 # --- bucketed frames -----------------------------------------------------------------------
 
 def plan(df):
@@ -179,6 +195,17 @@ def test_the_bucketed_frame_is_the_frame(spark, sf_dir, tmp_path, hot_lines):
         spark.sql(f"DROP TABLE {name}_{part}")
 
 
+def test_buckets_follow_the_lines(spark, sf_dir, tmp_path, monkeypatch):
+    monkeypatch.setattr(co_located, "BUCKET_LINES", 100)
+    fact = fact_sales(spark, sf_dir)
+    co_located.store_by_customer(fact, dim_customers(spark, sf_dir), "many_buckets", str(tmp_path), buckets=4, hot_lines=60)
+    lines = spark.table("many_buckets_cold").count()
+    kept = {r.col_name: r.data_type for r in spark.sql("DESCRIBE EXTENDED many_buckets_cold").collect()}
+    assert int(kept["Num Buckets"]) == -(-lines // 100) > 4
+    for part in ("cold", "hot", "customers"):
+        spark.sql(f"DROP TABLE many_buckets_{part}")
+
+
 def test_bucketed_lines_meet_their_customers_without_an_exchange(spark, sf_dir, tmp_path):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:

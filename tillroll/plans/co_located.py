@@ -18,6 +18,7 @@ from tillroll.plans.sales_model import build_sales
 
 KEY = "customer_key"
 HOT_LINES = 1_000_000
+BUCKET_LINES = 1_000_000  # of one task
 
 
 def _save(rows: DataFrame, name: str, folder: str, buckets: int | None = None) -> None:
@@ -31,13 +32,16 @@ def store_by_customer(fact: DataFrame, customers: DataFrame, name: str, folder:
                       hot_lines: int = HOT_LINES) -> None:
     """Store fact and customers as catalog tables ``<name>_cold``, ``<name>_hot`` and ``<name>_customers``.
 
-    Choose ``buckets`` so that a bucket of lines fits a task; it stays with the tables. The lines are
-    dealt out by customer before they are written, so each bucket is one file.
+    ``buckets`` is the least number of them, and stays with the tables. A bucket is sorted in one task, so
+    there are more if they would hold over ``BUCKET_LINES`` lines each. The lines are dealt out by
+    customer before they are written, so each bucket is one file.
     """
     if buckets < 1 or hot_lines < 1:
         raise ValueError("buckets and hot_lines are at least 1")
     per_key = fact.where(F.col(KEY).isNotNull()).groupBy(KEY).agg(F.count("*").alias("_lines"))
     hot_keys = per_key.where(F.col("_lines") > hot_lines).select(KEY)  # fewer than lines / hot_lines
+    cold_lines = per_key.where(F.col("_lines") <= hot_lines).agg(F.sum("_lines")).first()[0] or 0
+    buckets = max(buckets, -(-cold_lines // BUCKET_LINES))
     _save(fact.join(hot_keys, KEY, "left_semi").unionByName(fact.where(F.col(KEY).isNull())), f"{name}_hot", folder)
     cold = fact.where(F.col(KEY).isNotNull()).join(hot_keys, KEY, "left_anti")
     _save(cold.select(*fact.columns).repartition(buckets, KEY), f"{name}_cold", folder, buckets)
