@@ -151,3 +151,17 @@ def test_gender_preference(spark):
     rows = spark.createDataFrame([("Male", "Female"), ("n/a", "Female"), ("n/a", None)], "crm string, erp string")
     got = [r[0] for r in rows.select(gold.preferred_gender(F.col("crm"), F.col("erp"))).collect()]
     assert got == ["Male", "Female", "n/a"]
+
+
+def test_a_session_without_settings_keeps_its_methods_compiled(spark, bronze):
+    name = "spark.sql.codegen.hugeMethodLimit"
+    kept = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "65535")
+        warehouse.build_silver(bronze)
+        assert int(spark.conf.get(name)) <= 8000
+        spark.conf.set(name, "4000")  # stricter than needed stays
+        warehouse.build_silver(bronze)
+        assert spark.conf.get(name) == "4000"
+    finally:
+        spark.conf.set(name, kept)

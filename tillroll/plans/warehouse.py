@@ -8,11 +8,13 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tillroll.operators import gold, quality, silver
+from tillroll.session import keep_methods_compiled
 from tillroll.sources import extracts, publication, sinks
 
 
 def build_silver(bronze: dict[str, DataFrame], as_of: dt.date | None = None) -> dict[str, DataFrame]:
     """All six cleaned extracts."""
+    keep_methods_compiled(bronze["crm_sales_details"].sparkSession)
     return {
         "crm_cust_info": silver.clean_crm_cust_info(bronze["crm_cust_info"]),
         "crm_prd_info": silver.clean_crm_prd_info(bronze["crm_prd_info"]),
